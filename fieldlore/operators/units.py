@@ -245,7 +245,7 @@ def _segments(pdf: pd.DataFrame) -> pd.DataFrame:
     level = [sum(s[i:j]) / sum(n[i:j]) for i, j in zip(starts, ends)]
     size = [sum(n[i:j]) for i, j in zip(starts, ends)]
     base = max(range(len(starts)), key=lambda k: (size[k], -k))
-    factors = sorted({f for f, o in spellings(name).values() if o == 0 and f != 1})
+    factors = sorted({1.0} | {f for f, o in spellings(name).values() if o == 0})
     rows = []
     for k, (i, j) in enumerate(zip(starts, ends)):
         shift = level[k] - level[base]
