@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldlore.llm import lookalike, mixing, tokenizer
+from fieldlore.llm import lookalike, mixing, names, tokenizer
 from fieldlore.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.link(table(spark, d, "mention_drafts"), table(spark, d, "seed_entities"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode(table(spark, d, "documents"))
 
@@ -28,5 +32,5 @@ def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.normalized(table(spark, d, "documents")).select("doc_id", "canonical")
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_canonical": p10_canonical}
+QUERIES = {"p1_found": p1_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_canonical": p10_canonical}
 ORACLES: dict[str, str] = {}
