@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldlore.llm import boilerplate, lookalike, mixing, names, tokenizer
+from fieldlore.llm import boilerplate, lookalike, mixing, names, ocr_repair, tokenizer
 from fieldlore.session import table
 
 
@@ -24,6 +24,14 @@ def p4_clean(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.without_lines(table(spark, d, "report_pages"), _repeated(spark, d))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return ocr_repair.defects(table(spark, d, "report_pages"), table(spark, d, "document_records")).distinct()
+
+
+def p5_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return ocr_repair.paragraphs(table(spark, d, "report_pages"), table(spark, d, "document_records"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode(table(spark, d, "documents"))
 
@@ -44,5 +52,5 @@ def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.normalized(table(spark, d, "documents")).select("doc_id", "canonical")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_clean": p4_clean, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_canonical": p10_canonical}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_clean": p4_clean, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_canonical": p10_canonical}
 ORACLES: dict[str, str] = {}
