@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldlore.llm import boilerplate, lookalike, mixing, names, ocr_repair, tokenizer
+from fieldlore.llm import boilerplate, lookalike, mixing, names, ocr_repair, sentences, tokenizer
 from fieldlore.session import table
 
 
@@ -32,6 +32,15 @@ def p5_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return ocr_repair.paragraphs(table(spark, d, "report_pages"), table(spark, d, "document_records"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "document_records"), "doc_id", "clean_text").select("doc_id", "start_pos")
+
+
+def p6_sentences(spark: SparkSession, d: str) -> DataFrame:
+    documents = sentences.sentences(table(spark, d, "document_records"), "doc_id", "clean_text").withColumnRenamed("doc_id", "record_id")
+    return documents.union(sentences.sentences(table(spark, d, "report_pages"), "page_id", "raw_ocr_text").withColumnRenamed("page_id", "record_id"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode(table(spark, d, "documents"))
 
@@ -52,5 +61,5 @@ def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.normalized(table(spark, d, "documents")).select("doc_id", "canonical")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_clean": p4_clean, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_canonical": p10_canonical}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_clean": p4_clean, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p6_found": p6_found, "p6_sentences": p6_sentences, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_canonical": p10_canonical}
 ORACLES: dict[str, str] = {}
