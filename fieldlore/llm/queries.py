@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldlore.llm import boilerplate, lookalike, mixing, names, ocr_repair, sentences, tokenizer
+from fieldlore.llm import boilerplate, lookalike, mixing, names, ocr_repair, pii, sentences, tokenizer
 from fieldlore.session import table
 
 
@@ -41,6 +41,19 @@ def p6_sentences(spark: SparkSession, d: str) -> DataFrame:
     return documents.union(sentences.sentences(table(spark, d, "report_pages"), "page_id", "raw_ocr_text").withColumnRenamed("page_id", "record_id"))
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "document_records").selectExpr("doc_id AS record_id", "clean_text AS text")
+    return documents.union(table(spark, d, "report_pages").selectExpr("page_id AS record_id", "raw_ocr_text AS text"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.items(_texts(spark, d))
+
+
+def p7_masked(spark: SparkSession, d: str) -> DataFrame:
+    return pii.masked(_texts(spark, d).dropDuplicates(["record_id"]))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode(table(spark, d, "documents"))
 
@@ -61,5 +74,5 @@ def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.normalized(table(spark, d, "documents")).select("doc_id", "canonical")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_clean": p4_clean, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p6_found": p6_found, "p6_sentences": p6_sentences, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_canonical": p10_canonical}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_clean": p4_clean, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p6_found": p6_found, "p6_sentences": p6_sentences, "p7_found": p7_found, "p7_masked": p7_masked, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_canonical": p10_canonical}
 ORACLES: dict[str, str] = {}
