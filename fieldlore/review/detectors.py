@@ -40,19 +40,24 @@ def ocr_fold(name: Column) -> Column:
 def greedy_groups(pairs: DataFrame) -> DataFrame:
     """anchor, member, score: what taking the names in order gives, each free name becoming an anchor that takes the
     free names similar to it (pairs: a < b, score). Done in rounds: a name without a smaller free neighbour is an
-    anchor, and its neighbours go to their smallest anchor; each round decides all names whose turn is known."""
+    anchor and frees its neighbours from being one; each round decides all names whose turn is known."""
     from fieldlore.session import cut
 
-    free = cut(pairs.select("a", "b", "score"))
-    done = None
+    pairs = cut(pairs.select("a", "b", "score"))
+    free, taken = pairs, None
     while free.limit(1).count():
-        anchors = free.select(F.col("a").alias("anchor")).distinct().join(free.select(F.col("b").alias("anchor")).distinct(), "anchor", "left_anti")
-        # a neighbour of an anchor is taken, by the smallest of its anchors
-        taken = cut(free.join(anchors, F.col("a") == F.col("anchor")).groupBy(F.col("b").alias("member")).agg(F.min("anchor").alias("anchor"), F.min_by("score", "anchor").alias("score")))
-        done = taken if done is None else done.unionByName(taken)
-        gone = cut(taken.select(F.col("member").alias("x")).union(anchors.select(F.col("anchor").alias("x"))).distinct())
+        now = free.select(F.col("a").alias("x")).distinct().join(free.select(F.col("b").alias("x")).distinct(), "x", "left_anti")
+        mine = cut(free.join(now, F.col("a") == F.col("x")).select("x", "b"))
+        lost = mine.select(F.col("b").alias("x")).distinct()
+        taken = lost if taken is None else taken.unionByName(lost)
+        gone = lost.union(mine.select("x").distinct())
         free = cut(free.join(gone, F.col("a") == F.col("x"), "left_anti").join(gone, F.col("b") == F.col("x"), "left_anti"))
-    return done.select("anchor", "member", "score") if done is not None else free.selectExpr("a AS anchor", "b AS member", "score")
+    if taken is None:
+        return pairs.selectExpr("a AS anchor", "b AS member", "score")
+    # what no anchor took is an anchor itself
+    anchors = pairs.select(F.col("a").alias("x")).distinct().join(taken, "x", "left_anti")
+    # no two anchors are neighbours, and a name goes to the first of the anchors before it
+    return pairs.join(anchors, F.col("a") == F.col("x")).groupBy(F.col("b").alias("member")).agg(F.min("a").alias("anchor"), F.min_by("score", "a").alias("score")).select("anchor", "member", "score")
 
 
 def entity_groups(entities: DataFrame, least: float = SIMILAR) -> DataFrame:
