@@ -58,11 +58,13 @@ UNITS: dict[str, list[tuple[float, float, str]]] = {
         (0.0630901964, 0, "gpm|gallons a minute|gallons per minute|gal. per min.|gal. per minute|gal/min|gals. per min."), (1 / 60, 0, "litres per minute|l/min"),
     ],
 }
-SMALL = {"a": 1, "an": 1, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90, "hundred": 100}
+SMALL = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90, "hundred": 100}
 WORDS = "|".join(sorted(SMALL, key=len, reverse=True))
 ONE = rf"(?:\d[\d,]*\s+\d+/\d+|\d+/\d+|\d[\d,]*(?:\.\d+)?\s?[½¼¾]?|\.\d+|[½¼¾]|(?:{WORDS})(?:[- ](?:{WORDS}))*(?![A-Za-z]))"
 #: A number or a range as raw_value gives it, with what stands before and behind.
 RAW = re.compile(rf"^\s*(?P<before>.*?)\s*(?P<number>[-−+]?{ONE}(?:\s*(?:to|-|–|and|or)\s*\$?[-−]?{ONE})?)\s*(?P<after>.*?)\s*$", re.I | re.S)
+#: Feet and inches in one value.
+FEET_INCHES = re.compile(r"^\D*?(\d+(?:\.\d+)?)\s*(?:feet|foot|ft\.?|['′’])\s*(?:and\s+)?(\d+(?:\.\d+)?)\s*(?:inches|inch|in\.?|[\"″”]|'')\s*$", re.I)
 #: Notes that give a scale, and the power of ten of each word in them.
 SCALE_WORD = re.compile(r"(?<!\w)(?:(tens?)|(hundreds?|100s?)|(thousands?|1,?000s?)|(millions?|1,?000,?000s?))(?!\w)", re.I)
 SCALES = (10.0, 100.0, 1000.0, 1e6)
@@ -157,6 +159,9 @@ def convert(name, raw, value, unit, low, high, note, sentence) -> tuple:
     """basis, factor, offset, scale, value, low, high in the common unit, changed."""
     scale = scale_of(note)
     basis, found = None, None
+    if (both := FEET_INCHES.match(raw or "")) and (foot := unit_of(name, "foot")):
+        # the recorded number may hold the feet alone
+        return "raw_value", *foot, scale, (float(both[1]) + float(both[2]) / 12) * scale * foot[0], None, None, True
     for basis, found in (("unit", unit_of(name, unit)), ("raw_value", unit_in_raw(name, raw)), ("methodology_note", in_note(name, note))):
         if found:
             break

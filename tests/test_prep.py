@@ -65,6 +65,8 @@ def test_convert(row, basis, changed):
 def test_conversion_values():
     assert math.isclose(units.convert("air_temperature", "212 F", 212.0, "F", None, None, None, None)[4], 100)
     assert math.isclose(units.convert("air_temperature", "0 K", 273.15, "K", None, None, None, None)[4], 0, abs_tol=1e-9)
+    assert math.isclose(units.convert("water_level", "19 feet and 6 inches", 19.0, None, None, None, None, None)[4], 19.5 * 0.3048) and math.isclose(units.convert("water_level", "19' 6\"", None, "'", None, None, None, None)[4], 19.5 * 0.3048)
+    assert units.convert("area_burned", "nine A.", None, None, None, None, None, None)[0] == "raw_value"
     assert units.convert("individual_count", "2 to 3 doz.", None, "doz.", 2.0, 3.0, None, None)[5:7] == (24.0, 36.0)
     assert math.isclose(units.convert("seed_sown", "18 1/2 lb", None, None, None, None, None, None)[4], 18.5 * units.POUND)
 
