@@ -33,14 +33,16 @@ from fieldlore.llm.names import formal, ratio
 TITLES = "Mr|Mrs|Ms|Miss|Messrs|Dr|Dra|Prof|Capt|Captain|Lt|Sgt|Col|Maj|Rev|Warden|Ranger|Mgr|Supt|Sr|Sra|Srta|señora|señor|Señora|Señor|guarda|Guarda|gardien|Hr|Fr|Herr|Frau|Mme|Mlle|Wärter|Deputy|Officer|Agent|Judge|Sheriff"
 BREAK = r"(?:[-¬­‐=]\s*\n\s*[a-zà-öø-ÿ]+)?"
 CAP = rf"[A-ZÀ-ÖØ-Þ][^\W_]{{2,}}{BREAK}"
-#: Between the words of a name: blanks and at most one line break.
-GAP = r"[^\S\n]*\n?[^\S\n]*"
+#: Between the words of a name: blanks, at most one line break, and a stray mark of the scan.
+GAP = r"[^\S\n]*(?:[*¦^\\|•~][^\S\n]*)?\n?[^\S\n]*"
 STREET_WORDS = "road rd street st avenue ave lane ln drive boulevard blvd court way".split()
 STRONG = re.compile(rf"(?:\b(?:{TITLES})\.?|(?<![\w.])[A-Z]\.){GAP}(?<=\s)({CAP})(?![^\W_])(?!\s+(?i:{'|'.join(STREET_WORDS)})\b)")
 WORD = re.compile(CAP)
 BEFORE_TITLE = re.compile(rf"(?:^|(?<![\w]))(?:{TITLES})\.?{GAP}(?<=\s)$")
 INITIALS = re.compile(rf"(?:(?<![\w.@])(?:[A-Z]\.{GAP}){{1,3}})$")
 PREVIOUS = re.compile(rf"(?<![\w.@-])([A-ZÀ-ÖØ-Þ][^\W\d_]+){GAP}(?<=\s)$")
+FOLLOWING = re.compile(r"\s+(?:[*¦^\\|•~]\s+)?([^\W_]+)")
+AT_PLACE = re.compile(r"\b(?:at|near|outside|below|left)\s+$")
 TITLE_SET = frozenset(TITLES.split("|"))
 RUN = re.compile(r"\d[\dOolI\s().,/+-]{4,}\d")
 PLACE = frozenset(
@@ -87,6 +89,15 @@ def is_place(word: str) -> bool:
     return w in PLACE or (len(w) > 3 and any(abs(len(w) - len(p)) < 3 and len(p) > 3 and distance(w, p) <= 0.3 for p in PLACE))
 
 
+@functools.lru_cache(100_000)
+def readings(word: str) -> tuple[str, ...]:
+    """What a folded word may have been before one confusion of the scan."""
+    from fieldlore.llm.ocr_repair import CONFUSIONS
+
+    out = {word[:i] + true + word[i + len(shown) :] for true, shown in CONFUSIONS for i in range(len(word)) if word.startswith(shown, i)}
+    return tuple(out)
+
+
 def digits(text: str) -> int:
     return sum(map(str.isdigit, text))
 
@@ -123,7 +134,7 @@ def find(text: str, surnames) -> list[tuple[int, int, str]]:
     for m in STREET.finditer(text):
         if is_street(m[2]):
             add(m.start(), m.end(), "address")
-    end = 0
+    end, judged = 0, {}
     for m in WORD.finditer(text):
         if m.start() < end:
             continue
@@ -131,13 +142,14 @@ def find(text: str, surnames) -> list[tuple[int, int, str]]:
         w = fold(word)
         if w in NOT_NAMES:
             continue
-        known = w in surnames
+        if (known := judged.get(w)) is None:
+            known = judged[w] = w in surnames or (len(w) > 5 and any(r in surnames for r in readings(w)))
         if not known:
             last = text[max(0, m.start() - 16) : m.start()].split()[-1:]
             if not last or not (len(last[0]) == 2 and last[0][1] == "." and last[0][0].isupper() or last[0].rstrip(".") in TITLE_SET or (last[0][0].isupper() and last[0].isalpha() and is_given(last[0]))):
                 continue
         left = text[max(0, m.start() - 48) : m.start()]
-        follow = re.match(r"\s+([^\W\d_]+)", text[m.end() : m.end() + 24])
+        follow = FOLLOWING.match(text, m.end())
         if follow and is_place(follow[1]):
             continue
         start, rest, strong = m.start(), left, False
@@ -158,6 +170,9 @@ def find(text: str, surnames) -> list[tuple[int, int, str]]:
             # French M. is a title where a verb of the language follows
             if start < m.start() and text[start : m.start()].strip() == "M." and re.match(r"\s+(?:a|et|est|nota|écrit|fut)\s", text[m.end() : m.end() + 12]):
                 start = m.start()
+        # a place cut off by the end of a page
+        if not strong and not follow and AT_PLACE.search(left):
+            continue
         if (known or strong) and not (not known and is_given(word)):
             add(start, m.end(), "name")
             end = m.end()
