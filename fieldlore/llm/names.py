@@ -54,7 +54,7 @@ def fold(text: str) -> str:
     t = "".join(c for c in t if not unicodedata.combining(c) and unicodedata.category(c) != "Cf").lower()
     t = re.sub(r"(?<=\w)[-¬‐]\s+(?=\w)", "", t).replace("’", "'").replace("co-op", "coop")
     t = re.sub(r"[^\W_]*[a-z][^\W_]*", lambda m: m[0].translate(MISREAD) if sum(map(str.isdigit, m[0])) < 0.5 * len(m[0]) else m[0], re.sub(r"(?<=[a-z])[|!](?=[a-z])", "l", t))
-    return t.replace("rn", "m")
+    return t
 
 
 @functools.lru_cache(200_000)
@@ -77,6 +77,14 @@ def ratio(a: str, b: str) -> float:
     return 1.0 if a == b else 2 * common(a, b) / (len(a) + len(b)) if a or b else 0.0
 
 
+def likeness(a: str, b: str) -> float:
+    """The better of the ratios as written and with "rn" read as "m"."""
+    best = ratio(a, b)
+    if best < 1 and ("rn" in a or "rn" in b):
+        best = max(best, ratio(a.replace("rn", "m"), b.replace("rn", "m")))
+    return best
+
+
 @functools.lru_cache(200_000)
 def orders(text: str) -> tuple[tuple[str, tuple[str, ...]], ...]:
     """The ways to read a text as (surname, given names)."""
@@ -112,7 +120,7 @@ def given_score(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     elif xs & ys:
         score = 0.95
     else:
-        score = max(ratio(m, n) for m in {x, *xs} for n in {y, *ys})
+        score = max(likeness(m, n) for m in {x, *xs} for n in {y, *ys})
         score = score if score >= GIVEN else 0.0
     if score and len(a) > 1 and len(b) > 1:
         score = score if a[1][0] == b[1][0] else 0.0
@@ -126,7 +134,7 @@ def person_score(form: str, name: str) -> float:
     best = 0.0
     for surname, given in orders(form):
         for other, names in orders(name)[:1]:
-            s = ratio(surname, other)
+            s = likeness(surname, other)
             if s >= SURNAME and len(surname) > 2 and (g := given_score(given, names)):
                 best = max(best, 0.6 * s + 0.4 * g)
     return best
@@ -155,7 +163,7 @@ def word_score(a: str, b: str) -> float:
     short, long = sorted((a, b), key=len)
     if 2 <= len(short) < len(long) and short[0] == long[0] and common(short, long) == len(short) and len(short) <= 0.75 * len(long):
         return 0.95
-    r = ratio(a, b)
+    r = likeness(a, b)
     return r if r >= WORD_RATIO else 0.0
 
 

@@ -8,7 +8,7 @@ FORMS = {
     "GRIBELQUIST, Edward": ["Edward Gribelquist"], "Girbelquist, Ed": ["Edward Gribelquist"], "Mr. Gribelquist": ["Edward Gribelquist"], "Edward  Gribel- quist": ["Edward Gribelquist"], "Ambrose Gribelquist": [],
     "Winnie Irvovane": ["W. Irvovane", "Winifred Irvovane"], "Len Irvvoane": ["Leonard C. Irvovane"], "Capt. Irvovane": [], "Quillbury": [], "F. Qui11bury": ["Florence Quillbury"], "R.A. Quillbury": ["Robert A. Quillbury"], "R. B. Quillbury": [],
     "H. Wickelwo": ["Harlan Wickelow"], "Dot Yarrorigg": ["Dorothy A. Yarrorigg"], "R.V.S.A.": ["Rushford Valley Sportsmen's Association"], "Rushford Vly. Sptsmns Assn.": ["Rushford Valley Sportsmen's Association"],
-    "The Selwick Twp. Historical Soc.": ["Historical Society of Selwick Township"], "HOLLIN COUNTY GRANGE": ["Hollin County Grange"], "HoUin Co. Grange": ["Hollin County Grange"], "Tamam Township Farmers’ Co-op": ["Tamarn Township Farmers' Cooperative"],
+    "The Selwick Twp. Historical Soc.": ["Historical Society of Selwick Township"], "HOLLIN COUNTY GRANGE": ["Hollin County Grange"], "HoUin Co. Grange": ["Hollin County Grange"], "Hollin County Grnage": ["Hollin County Grange"], "Tamaru Township Farmers Cooperative": ["Tamarn Township Farmers' Cooperative"], "Tamam Township Farmers’ Co-op": ["Tamarn Township Farmers' Cooperative"],
     "Hollin Valley": [], "Dunmarsh County Grange": [], "x": [], "  ": [], None: [], "Winifred " * 400: [],
 }
 
