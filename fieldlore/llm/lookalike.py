@@ -37,6 +37,8 @@ TO_LATIN = {other: latin for latin, others in LOOKS.items() for other in others}
 #: Characters that show nothing (fixed values): soft hyphen, joiners, marks of direction, word joiner, byte order mark, variation selectors.
 IGNORABLE = frozenset(map(chr, (0xAD, 0x34F, 0x61C, 0x180E, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xFEFF, *range(0xFE00, 0xFE10))))
 TRIES = 256
+#: Longer words meet by their fold, which is equal where a walk at no cost ends.
+LONGEST = 512
 PLAIN = re.compile(r"[\x20-\x7e\n\t]*")
 WORD = re.compile(r"\S+")
 
@@ -148,12 +150,16 @@ def respelled(documents: DataFrame, tries: int = TRIES) -> DataFrame:
     ambiguous = vocabulary.join(several, "fold", "left_semi").withColumn("trie", F.pmod(F.xxhash64("fold"), F.lit(tries)))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        trie = Trie()
-        for word, n in zip(pdf["word"], pdf["n"]):
-            trie.add(word, int(n))
+        trie, long = Trie(), {}
+        for word, fold, n in zip(pdf["word"], pdf["fold"], pdf["n"]):
+            if len(fold) > LONGEST:
+                # a whole text without a blank: a path of its own per character would take more than the text is worth
+                long.setdefault(fold, []).append((word, int(n)))
+            else:
+                trie.add(word, int(n))
         rows = []
-        for word in pdf["word"]:
-            best = canonical(trie.alike(word))
+        for word, fold in zip(pdf["word"], pdf["fold"]):
+            best = canonical(long[fold] if fold in long else trie.alike(word))
             if best != by_table(word):
                 rows.append((word, best))
         return pd.DataFrame(rows, columns=["word", "canonical"])

@@ -4,7 +4,7 @@ from fieldlore.llm import lookalike
 
 TEXTS = [
     "The lake is all but dry.", "Тhe lake is аll but dry.", "Ｔｈｅ　lake is all but dry．", "The lake is all but dry.", "The la​ke is­ all but dry.﻿", "the lake is all but dry.",
-    "Jessaström café ﬁre", "Jessaström café fire", "озеро сор", "oзеро cop", "blue-wing", "blue‑wing", "blue–wing", None, "", " ", "​", "1 l I", "a\r\nb", "a\nb", "𝓐lder", "Alder", "Alder", "½", "1/2",
+    "Jessaström café ﬁre", "Jessaström café fire", "озеро сор", "oзеро cop", "blue-wing", "blue‑wing", "blue–wing", None, "", " ", "​", "1 l I", "a\r\nb", "a\nb", "𝓐lder", "Alder", "Alder", "½", "1/2", "池塘" * 400 + "！", "池塘" * 400 + "!",
 ]
 
 
