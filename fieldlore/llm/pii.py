@@ -102,15 +102,18 @@ def digits(text: str) -> int:
     return sum(map(str.isdigit, text))
 
 
-def find(text: str, surnames) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the personal items of a text, in order, without overlaps."""
+def find(text: str, surnames, judged: dict[str, bool] | None = None) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the personal items of a text, in order, without overlaps; judged remembers words between texts."""
+    judged = {} if judged is None else judged
+    if len(judged) > 500_000:
+        judged.clear()
     found: list[tuple[int, int, str]] = []
 
     def add(start: int, end: int, kind: str) -> None:
         if not any(start < e and s < end for s, e, _ in found):
             found.append((start, end, kind))
 
-    if "@" in text or " at " in text or "at]" in text or "at)" in text:
+    if "@" in text or "at]" in text or "at)" in text or " dot " in text:
         for m in MAIL.finditer(text):
             add(m.start(), m.end(), "email")
     # only runs with six digits can hold a number, so the patterns look at these places alone
@@ -134,7 +137,7 @@ def find(text: str, surnames) -> list[tuple[int, int, str]]:
     for m in STREET.finditer(text):
         if is_street(m[2]):
             add(m.start(), m.end(), "address")
-    end, judged = 0, {}
+    end = 0
     for m in WORD.finditer(text):
         if m.start() < end:
             continue
@@ -286,8 +289,9 @@ def items(texts: DataFrame) -> DataFrame:
     surnames = surname_lexicon(rows)
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        judged: dict[str, bool] = {}
         for b in batches:
-            out = [(i, kind, s) for i, t in zip(b["record_id"], b["text"]) for s, _, kind in find(t, surnames.value)]
+            out = [(i, kind, s) for i, t in zip(b["record_id"], b["text"]) for s, _, kind in find(t, surnames.value, judged)]
             yield pd.DataFrame(out, columns=["record_id", "kind", "start_pos"])
 
     return rows.mapInPandas(kernel, "record_id string, kind string, start_pos int").distinct()
