@@ -234,4 +234,6 @@ ORACLES = {
     "d9_backfill": _WITH + "SELECT doc_id, 'refuge:kessock flats refuge' AS entity_id, 'ABOUT_REFUGE' AS relation_type FROM docs WHERE contains(lower(title), 'kessock') OR contains(lower(title), 'tamarn')",
     "t5_contrast": _WITH + "SELECT surface_form, count(DISTINCT mention_id) AS mentions, arg_max(source_sentence, (length(source_sentence), source_sentence)) AS longest FROM mention m LEFT JOIN (SELECT run_id, paragraph_id, source_sentence FROM claim) c USING (run_id, paragraph_id) WHERE surface_form IS NOT NULL GROUP BY 1",
     "o2_first_wins": _WITH + "SELECT entity_type, count(*) AS names FROM (SELECT name, arg_min(entity_type, CASE entity_type WHEN 'Person' THEN 0 ELSE 1 END) AS entity_type FROM entity GROUP BY 1) GROUP BY 1",
+    "r19_prewarm": _WITH + "SELECT \"range\", floor((r - 1) / 39)::bigint AS chunk, count(*) AS requests, sum(size)::bigint AS characters, round(sum(size) / 4 / 1e6 * 3.0, 8) AS cost FROM (SELECT substr(key, 1, 2) AS \"range\", size, row_number() OVER (PARTITION BY substr(key, 1, 2) ORDER BY key) AS r FROM (SELECT DISTINCT sha256(source_sentence) AS key, length(source_sentence) AS size FROM claim WHERE length(source_sentence) >= 40)) GROUP BY 1, 2",
+    "d13_periods": _WITH + "SELECT 'period_' || substr(sha1(lower(trim(coalesce(date_start, ''))) || '||' || lower(trim(coalesce(date_end, ''))) || '||' || regexp_replace(lower(trim(coalesce(title, ''))), '\\s+', ' ', 'g')), 1, 16) AS period_id, doc_id, coalesce(n, 0) AS claims FROM docs LEFT JOIN (SELECT doc_id, count(*) AS n FROM claim JOIN runs USING (run_id) GROUP BY 1) c USING (doc_id) WHERE date_start IS NOT NULL OR date_end IS NOT NULL",
 }

@@ -184,6 +184,8 @@ QUERIES = {
     "r7_proposals": proposals, "t3_review_queue": review_queue, "g17_tiers": tier_counts, "r14_spelling": spelling, "q5_answers": answers, "q1_classified_log": classified_log,
 }
 
+from fieldlore.plans.retrieval import _WITH  # noqa: E402
+
 _C = "(SELECT DISTINCT * EXCLUDE (loaded_at) FROM claims)"
 _D = f"(SELECT c.*, d.date_start, d.date_end, d.report_year, d.doc_id FROM {_C} c JOIN (SELECT DISTINCT * FROM extraction_runs) r USING (run_id) JOIN (SELECT DISTINCT doc_id, date_start, date_end, report_year FROM document_records) d ON d.doc_id = r.doc_id)"
 _Y = r"\b(1[89]\d{2}|20[0-2]\d)\b"
@@ -201,4 +203,7 @@ ORACLES = {
     "r3_junk": f"SELECT mention_id AS target_id, CASE reason WHEN 'ocr_garbage' THEN 'ocr_garbage_mention' ELSE reason END AS issue_class, split_part(paragraph_id, ':', 1) || '|' || reason AS group_key, 0.7::double AS confidence, reason FROM (SELECT *, {_junk} AS reason FROM (SELECT DISTINCT mention_id, paragraph_id, trim(surface_form) AS t, lower(trim(coalesce(normalized_form, ''))) AS f FROM mention_drafts WHERE surface_form IS NOT NULL)) WHERE reason IS NOT NULL",
     "r5_sensitive": f"SELECT claim_id AS target_id, hit.label AS group_key, hit.confidence AS confidence FROM (SELECT claim_id, list_max([{', '.join(_pii)}]) AS hit FROM {_C}) WHERE hit IS NOT NULL",
     "q1_classified_log": f"SELECT claim_id, CASE WHEN a > 0 AND c > 0 THEN 'hybrid' WHEN a > 0 THEN 'analytical' ELSE 'conversational' END AS bucket, round(CASE WHEN a > 0 AND c > 0 THEN greatest(a, c) / (a + c) WHEN a > 0 OR c > 0 THEN 1.0 ELSE 0.5 END, 6) AS confidence FROM (SELECT claim_id, {' + '.join(f'contains(lower(source_sentence), {w!r})::int' for w in planner.ANALYTICAL)} AS a, {' + '.join(f'contains(lower(source_sentence), {w!r})::int' for w in planner.CONVERSATIONAL)} AS c FROM {_C})",
+    "x13_claim_dates": "SELECT claim_id, CASE WHEN m IS NOT NULL AND y <> 0 THEN printf('%04d-%02d-%02d', y, m, d) END AS inferred_date FROM (SELECT claim_id, CASE lower(regexp_extract(source_sentence, '{p}', 1)) {months} END AS m, try_cast(regexp_extract(source_sentence, '{p}', 2) AS int) AS d, coalesce(try_cast(nullif(regexp_extract(source_sentence, '{p}', 3), '') AS int), report_year) AS y FROM {rows})".replace("{p}", r"\b([A-Za-z]{3,9})\.?\s+(\d{1,2})(?:,\s*(\d{4}))?\b").replace("{months}", " ".join(f"WHEN '{k}' THEN {v}" for k, v in extraction.MONTHS.items())).replace("{rows}", _D),
+    "d12_penalised": _WITH + "SELECT claim_id, round(greatest(0.0, extraction_confidence - 0.1 * coalesce(n, 0)), 4) AS extraction_confidence FROM claim LEFT JOIN (SELECT claim_id, count(*) AS n FROM edge JOIN claim USING (claim_id) WHERE claim_type || '|' || relation_type NOT IN (" + ", ".join(f"'{c}|{r}'" for c, r in derivation.TIERS) + ") GROUP BY 1) USING (claim_id)",
+    "d14_roles": _WITH + "SELECT claim_id, place_id, CASE WHEN claim_type = 'population_estimate' AND coalesce(species, 0) = 0 THEN 'Species' WHEN claim_type = 'fire_incident' AND coalesce(places, 0) = 0 THEN 'Place' ELSE '' END AS missing, coalesce(n, 0) AS roles FROM claim LEFT JOIN (SELECT claim_id, count(DISTINCT entity_type)::int AS n, count(*) FILTER (entity_type = 'Species') AS species, count(*) FILTER (entity_type = 'Place') AS places, arg_min(entity_id, (CASE entity_type WHEN 'Place' THEN 0 ELSE 1 END, entity_id)) FILTER (relation_type = 'OCCURRED_AT') AS place_id FROM edge GROUP BY 1) USING (claim_id)",
 }

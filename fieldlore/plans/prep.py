@@ -45,4 +45,10 @@ def p3_reversed(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_wide": p2_wide, "p3_found": p3_found, "p3_common": p3_common, "p3_shifts": p3_shifts, "p3_reversed": p3_reversed}
-ORACLES: dict[str, str] = {}
+_KEY = r"regexp_replace(regexp_replace(lower(regexp_replace(trim({}), '([a-z0-9])([A-Z])', '\1_\2', 'g')), '[^\p{{L}}\p{{N}}]+', '_', 'g'), '^_+|_+$', '', 'g')"
+_PLAIN = r"regexp_replace(regexp_replace(regexp_replace(v, '^([+-]?)\s*[$€£]\s*', '\1'), '^([+-]?\d{1,3}),(\d{3})', '\1\2'), '^([+-]?\d+),(\d{1,2})$', '\1.\2')"
+_DATES = " OR ".join(f"try_strptime(regexp_replace(v, ',(\\d)', ', \\1'), '{f}') IS NOT NULL" for f in ("%Y-%m-%d", "%Y%m%d", "%d.%m.%Y", "%m/%d/%Y", "%d/%m/%Y", "%d %B %Y", "%B %d, %Y"))
+ORACLES = {
+    "p2_found": f"""SELECT DISTINCT entity_type, name, attribute FROM (SELECT e.entity_type, e.name, a.attribute, a.value_type, trim(regexp_replace(prop_value, '[\\s\u00a0]+', ' ', 'g')) AS v FROM seed_entities e JOIN seed_attributes a ON a.entity_type = e.entity_type AND {_KEY.format('a.attribute')} = {_KEY.format('e.prop_key')})
+WHERE v IS NOT NULL AND lower(v) NOT IN {eav.NOTHING} AND CASE value_type WHEN 'int' THEN try_cast({_PLAIN} AS double) = floor(try_cast({_PLAIN} AS double)) WHEN 'double' THEN try_cast({_PLAIN} AS double) IS NOT NULL WHEN 'boolean' THEN lower(v) IN {eav.TRUE + eav.FALSE} WHEN 'date' THEN {_DATES} ELSE true END""",
+}
