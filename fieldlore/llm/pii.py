@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from fieldlore.llm.names import formal, ratio
 
 TITLES = "Mr|Mrs|Ms|Miss|Messrs|Dr|Dra|Prof|Capt|Captain|Lt|Sgt|Col|Maj|Rev|Warden|Ranger|Mgr|Supt|Sr|Sra|Srta|señora|señor|Señora|Señor|guarda|Guarda|gardien|Hr|Fr|Herr|Frau|Mme|Mlle|Wärter|Deputy|Officer|Agent|Judge|Sheriff"
-BREAK = r"(?:[-¬­‐=]\s*\n\s*[a-zà-öø-ÿ]+)?"
+BREAK = r"(?:[-¬­‐=]\s*\n\s*(?:[a-zà-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]{2,}))?"
 CAP = rf"[A-ZÀ-ÖØ-Þ][^\W_]{{2,}}{BREAK}"
 #: Between the words of a name: blanks, at most one line break, and a stray mark of the scan.
 GAP = r"[^\S\n]*(?:[*¦^\\|•~][^\S\n]*)?\n?[^\S\n]*"

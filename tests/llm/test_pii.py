@@ -5,7 +5,7 @@ from fieldlore.llm import pii
 SURNAMES = frozenset(("thorlegard", "druskstead", "umberander", "orvelbrook"))
 CASES = [
     ("Dr. Thorlegard of Hollin", [("name", "Thorlegard")]), ("the crew of A. J. Orvelbrook cleared", [("name", "A. J. Orvelbrook")]), ("by Liz\nUmberander near Druskstead Ridge", [("name", "Liz\nUmberander")]),
-    ("ROSALIND ORVELBROOK and Mrs. Unheard spoke", [("name", "ROSALIND ORVELBROOK"), ("name", "Unheard")]), ("schrieb Umberander im Juni", [("name", "Umberander")]), ("M. Thorlegard a visité", [("name", "Thorlegard")]), ("Thor-\nlegard came", [("name", "Thor-\nlegard")]),
+    ("ROSALIND ORVELBROOK and Mrs. Unheard spoke", [("name", "ROSALIND ORVELBROOK"), ("name", "Unheard")]), ("schrieb Umberander im Juni", [("name", "Umberander")]), ("M. Thorlegard a visité", [("name", "Thorlegard")]), ("Thor-\nlegard came", [("name", "Thor-\nlegard")]), ("ROSALIND ORVEL-\nBROOK came", [("name", "ROSALIND ORVEL-\nBROOK")]),
     ("The U.S. Marsh Survey at St. Ilvan's school, Druskstead Crcek", []), ("Write to r.thorlegard@marsh-survey.example or jo+records (at) a-b (dot) example.", [("email", "r.thorlegard@marsh-survey.example"), ("email", "jo+records (at) a-b (dot) example")]),
     ("the tr@pped hare c@me. Then", []), ("tel. (208) 555-0178, +44 1632 960117, 701 5550158, 509/555-0143 ext. 4, 1-406-555-0199, +1 701\n555 0131 or 555-0126.", [("phone", x) for x in ("(208) 555-0178", "+44 1632 960117", "701 5550158", "509/555-0143", "1-406-555-0199", "+1 701\n555 0131", "555-0126")]),
     ("Identity card B930 329283, social security no. 912-39-6155, passport X9675544, 956 17 6609 and KS-6124-996-23; 913144601", [("id_number", x) for x in ("B930 329283", "912-39-6155", "X9675544", "956 17 6609", "KS-6124-996-23", "913144601")]),
