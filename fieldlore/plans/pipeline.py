@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from fieldlore.functions.text import normalize_name
 from fieldlore.operators import derivation, extraction, resolution, structure
 from fieldlore.plans import planner
+from fieldlore.plans.audits import claim_links
 from fieldlore.plans.graph import EVENTS, OBSERVED, Access, Graph
 from fieldlore.review import detectors
-from fieldlore.session import table
+from fieldlore.session import cut, small_or_plain, table
 
 PREFERRED = {"population_estimate": ("Species", "Place", "SurveyMethod"), "fire_incident": ("Place", "Habitat"), "weather_observation": ("Place",), "economic_use": ("Organization", "Place", "Activity")}
 
@@ -129,9 +130,13 @@ def sensitive(spark: SparkSession, d: str) -> DataFrame:
 
 def _targets(spark: SparkSession, d: str) -> DataFrame:
     g = Graph(spark, d)
-    counts = g.edges.groupBy("entity_id").agg(F.count("claim_id").alias("n"))
-    named = g.mentions.where("normalized_form IS NOT NULL").select("run_id", "paragraph_id", "start_offset", "normalized_form").join(F.broadcast(g.entities.select("entity_id", "entity_type", F.lower("name").alias("normalized_form")).limit(100_000)), "normalized_form")
-    found = [detectors.ocr_entities(g.entities, counts), detectors.junk_mentions(g.mentions), detectors.missing_links(g.claims, g.edges, named), detectors.sensitive(g.claims), detectors.living_people(g.claims, g.edges, 2026)]
+    # both are small and read by several detectors
+    edges = cut(g.edges.select("claim_id", "entity_id", "entity_type", "relation_type"))
+    near = cut(_resolved(spark, d).where("entity_type IN ('Species', 'Place', 'Refuge')").select("run_id", "paragraph_id", "start_offset", "entity_id", "entity_type"))
+    counts = edges.groupBy("entity_id").agg(F.count("claim_id").alias("n"))
+    told = claim_links(g.claims, g.entities).where("relation_type = 'METHOD_FOCUS'").select("claim_id", F.concat_ws(":", F.lit("surveymethod"), "normalized_form").alias("entity_id"), "relation_type")
+    methods = edges.select("claim_id", "entity_id", "relation_type").unionByName(told)
+    found = [detectors.ocr_entities(g.entities, counts), detectors.junk_mentions(g.mentions), detectors.missing_links(g.claims, edges, near), detectors.method_overtrigger(g.claims, methods), detectors.sensitive(g.claims), detectors.living_people(g.claims, edges, 2026)]
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -155,6 +160,16 @@ def entity_groups(spark: SparkSession, d: str) -> DataFrame:
     return detectors.entity_groups(Graph(spark, d).entities).withColumn("score", F.round("score", 6))
 
 
+def group_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """R2, with the mentions found in the pages' own paragraphs: those of mention_drafts are numbered otherwise."""
+    g = Graph(spark, d)
+    text = _structure(spark, d)[2]
+    named = small_or_plain(g.entities.select("entity_id", normalize_name(F.col("name")).alias("form")))
+    found = extraction.mentions(text, g.entities).withColumn("form", normalize_name(F.col("surface_form"))).join(named, "form")
+    counts = g.edges.groupBy("entity_id").agg(F.count("claim_id").alias("n"))
+    return detectors.context_paragraphs(detectors.entity_groups(g.entities), found, text, counts).withColumn("surface_forms", F.array_join("surface_forms", "|"))
+
+
 def spelling(spark: SparkSession, d: str) -> DataFrame:
     g = Graph(spark, d)
     words = lambda df, c: df.select(F.explode(F.regexp_extract_all(F.lower(c), F.lit(r"([a-z][a-z0-9'-]*)"), F.lit(1))).alias("term"))
@@ -180,7 +195,7 @@ def classified_log(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p_structure_sections": sections, "p_structure_paragraphs": paragraphs, "j5_page_sections": page_sections, "x1_rule_claims": rule_claims, "x2_classified": classified, "x12_validated": validated, "x13_claim_dates": claim_dates, "x14_measurements": measurements, "x19_mentions": mentions,
-    "d5_resolved": resolved, "d14_roles": roles, "d15_claim_years": claim_years, "d16_observations": observations, "d17_events": events, "d18_document_years": document_years, "d20_concepts": concepts, "d12_penalised": penalised, "r1_entity_groups": entity_groups, "r3_junk": junk, "r5_sensitive": sensitive,
+    "d5_resolved": resolved, "d14_roles": roles, "d15_claim_years": claim_years, "d16_observations": observations, "d17_events": events, "d18_document_years": document_years, "d20_concepts": concepts, "d12_penalised": penalised, "r1_entity_groups": entity_groups, "r2_contexts": group_contexts, "r3_junk": junk, "r5_sensitive": sensitive,
     "r7_proposals": proposals, "t3_review_queue": review_queue, "g17_tiers": tier_counts, "r14_spelling": spelling, "q5_answers": answers, "q1_classified_log": classified_log,
 }
 
