@@ -5,10 +5,11 @@ people are found with a lexicon of surnames that the corpus itself gives: the ca
 initials. A surname counts alone, or with the given names and initials before it; a word of a place (Druskstead
 Ridge) does not count.
 
-A placeholder says what kind of item it replaces. Numbers are validated and permuted within their format by a keyed
-Feistel network on their digits (dates by the same network on the days of a century), so that equal numbers stay
-equal in all documents and unequal ones unequal, while signs, letters and grouping stay. Names, mail and postal
-addresses get a keyed short hash of their folded value for the same reason.
+A placeholder says what kind of item it replaces. Numbers are validated (area and range) and permuted within their
+format by a keyed Feistel network on their digits, so that equal numbers stay equal in all documents and unequal ones
+unequal, while signs, letters and grouping stay and valid ones stay valid. Dates (masked, but no items of ``find``) are
+permuted by the same network on the days of their century, without a year on those of a leap year. Names, mail, postal
+addresses and impossible numbers get a keyed short hash of their folded value for the same reason.
 
 Defined results: null, empty and blank texts have no items; of overlapping items the earlier, then the longer counts
 (mail, identity number, phone, address, name); repeated rows give each item once; empty tables give no items; rows
@@ -17,8 +18,10 @@ with a null key are left out.
 
 from __future__ import annotations
 
+import datetime
 import functools
 import hashlib
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -189,11 +192,10 @@ def _round(key: bytes, tweak: bytes, value: int, modulus: int) -> int:
     return int.from_bytes(hashlib.blake2b(tweak + value.to_bytes(16, "big"), key=key, digest_size=16).digest(), "big") % modulus
 
 
+@functools.lru_cache(200_000)
 def permute(value: int, size: int, key: bytes, tweak: bytes = b"", inverse: bool = False, rounds: int = 10) -> int:
     """A keyed permutation of 0 .. size-1: a Feistel network on the next larger square, walked until it falls inside."""
-    half = 1
-    while half * half < size:
-        half += 1
+    half = math.isqrt(size - 1) + 1
     while True:
         a, b = divmod(value, half)
         for r in reversed(range(rounds)) if inverse else range(rounds):
@@ -207,43 +209,161 @@ def permute(value: int, size: int, key: bytes, tweak: bytes = b"", inverse: bool
             return value
 
 
-def pseudonym(number: str, key: bytes, inverse: bool = False) -> str:
-    """A number with its digits permuted, all else (grouping, letters, signs) as it was."""
-    own = [c for c in number if c.isdigit() and c.isascii()]
+def pseudonym(number: str, key: bytes, inverse: bool = False, valid=lambda digits: True) -> str:
+    """A number with its digits permuted, all else (grouping, letters, signs) as it was; a valid one becomes a valid one."""
+    own = "".join(c for c in number if c.isdigit() and c.isascii())
     if not own:
         return number
-    shape = "".join("9" if c.isdigit() and c.isascii() else c for c in number if c.isalnum())
-    new = iter(f"{permute(int(''.join(own)), 10 ** len(own), key, shape.encode(), inverse):0{len(own)}d}")
-    return "".join(next(new) if c.isdigit() and c.isascii() else c for c in number)
+    shape = "".join("9" if c.isdigit() and c.isascii() else c for c in number if c.isalnum()).encode()
+    new, walk = own, valid(own)
+    while True:
+        new = f"{permute(int(new), 10 ** len(own), key, shape, inverse):0{len(own)}d}"
+        if not walk or valid(new):
+            break
+    put = iter(new)
+    return "".join(next(put) if c.isdigit() and c.isascii() else c for c in number)
+
+
+MISREAD_DIGITS = str.maketrans("OolI", "0011")
+
+
+def read_number(kind: str, value: str) -> str:
+    """A number with the letters that a scan shows for digits as digits; the letters before an identity number stay."""
+    head = 0
+    if kind == "id_number" and sum(map(str.isalnum, value)) != 9:
+        head = len(re.match(r"[A-Za-z]{0,2}", value)[0] if re.match(r"[A-Z]{2}-", value) else re.match(r"[A-Za-z]?", value)[0])
+    return value[:head] + value[head:].translate(MISREAD_DIGITS)
+
+
+def is_number(kind: str, number: str, digits_: str) -> bool:
+    """Range and area check of the digits of a phone or identity number."""
+    d = digits_
+    american = lambda x: x[0] > "1" and x[3] > "1"  # noqa: E731 # area and exchange
+    if kind == "phone":
+        if number.lstrip().startswith("+"):
+            return 7 <= len(d) <= 15 and d[0] != "0" and (d[0] != "1" or (len(d) == 11 and american(d[1:])))
+        if len(d) == 7:
+            return d[0] > "1"
+        return (len(d) == 10 and american(d)) or (len(d) == 11 and d[0] == "1" and american(d[1:]))
+    if len(d) == 9 and not any(map(str.isalpha, number)):
+        return d[:3] not in ("000", "666") and d[3:5] != "00" and d[5:] != "0000"
+    return len(d) >= 6 and d.strip("0") != ""
+
+
+#: Names of months, and the short ones of English (fixed values).
+MONTHS = {
+    "en": "January February March April May June July August September October November December".split(),
+    "short": "Jan Feb Mar Apr May Jun Jul Aug Sept Oct Nov Dec".split(),
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+    "de": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(),
+}
+_M, _Y = r"[^\W\d_][^\W_]*(?:[-¬­‐=]\s*\n\s*[^\W\d_]+)?", rf"{D}{{4}}(?![\w]|,\d)"
+MONTH_DAY = re.compile(rf"(?<![\w.-])(?P<m>{_M})\.?\s+(?P<d>{D}{{1,2}})(?:st|nd|rd|th)?(?![\w]|[.,/]\d)(?:,?\s+(?P<y>{_Y}))?")
+DAY_MONTH = re.compile(rf"(?<![\w.,/$-])(?P<d>{D}{{1,2}})(?P<mark>st|nd|rd|th|er|º|\.)?\s+(?P<of>of\s+|de\s+)?(?P<m>{_M})\.?(?:,?\s+(?:del?\s+)?(?P<y>{_Y}))?")
+ISO = re.compile(r"(?<![\w-])(?P<y>\d{4})-(?P<m>\d\d)-(?P<d>\d\d)(?![\w-])")
+
+
+@functools.lru_cache(100_000)
+def months(word: str) -> tuple[bool, tuple[tuple[str, int], ...]]:
+    """Whether a word is a month's name as written, and the (language, number) that it may be."""
+    from fieldlore.llm.ocr_repair import distance
+
+    w = fold(word)
+    names = [(k, i, fold(n)) for k, all_ in MONTHS.items() for i, n in enumerate(all_, 1)] + [("short", 9, "sep")]
+    if same := tuple((k, i) for k, i, n in names if n == w):
+        return True, same
+    return False, tuple((k, i) for k, i, n in names if len(w) > 3 and len(n) > 2 and abs(len(n) - len(w)) < 3 and distance(w, n) <= 0.3)
+
+
+def dates(text: str) -> list[tuple[int, int, re.Match, str, datetime.date, bool]]:
+    """(start, end, match, language, day, whether a year is told) of the dates of a text that are possible days, without
+    overlaps; a day without a year is one of a leap year."""
+    out, taken = [], []
+    for pattern, order in ((ISO, ()), (MONTH_DAY, ("en", "short")), (DAY_MONTH, ("en", "short", "fr", "es", "de"))):
+        for m in pattern.finditer(text):
+            language = "iso"
+            if order:
+                if not any(map(str.isdigit, m["d"])):
+                    continue
+                as_written, found = months(m["m"])
+                if pattern is DAY_MONTH:
+                    order = {"de ": ("es", "fr", "de"), "of ": ("en", "short")}.get((m["of"] or "").replace("\n", " ")[:3], ("de", "fr", "en", "short", "es") if m["mark"] == "." else ("en", "short", "fr", "es", "de"))
+                found = [(k, i) for k, i in found if k in order and (not as_written or k in ("fr", "es") or m["m"][0].isupper())]
+                if not found:
+                    continue
+                language, month = min(found, key=lambda x: order.index(x[0]))
+            else:
+                month = int(m["m"])
+            year = int(m["y"].translate(MISREAD_DIGITS)) if m["y"] else 1904
+            told = bool(m["y"]) and 1500 <= year < 2100
+            try:
+                day = datetime.date(year if told else 1904, month, int(m["d"].translate(MISREAD_DIGITS)))
+            except ValueError:
+                continue
+            parts = "mdy" if told else "md"
+            start, end = min(map(m.start, parts)), max(map(m.end, parts))
+            if (language == "iso" and not told) or any(start < e and s < end for s, e in taken):
+                continue
+            taken.append((start, end))
+            out.append((start, end, m, language, day, told))
+    return sorted(out, key=lambda x: x[:2])
+
+
+def moved(day: datetime.date, key: bytes, inverse: bool = False) -> datetime.date:
+    """Another day of the same century."""
+    century = day.year // 100
+    first, last = datetime.date(century * 100, 1, 1), datetime.date(century * 100 + 99, 12, 31)
+    tweak = b"date" if century == 19 else b"date%d" % century
+    return first + datetime.timedelta(permute((day - first).days, (last - first).days + 1, key, tweak, inverse))
+
+
+def date_placeholder(text: str, found: tuple, key: bytes, inverse: bool = False) -> str:
+    start, end, m, language, day, told = found
+    if told:
+        new = moved(day, key, inverse)
+    else:
+        first = datetime.date(1904, 1, 1)
+        new = first + datetime.timedelta(permute((day - first).days, 366, key, b"day", inverse))
+    if language == "iso":
+        return f"[DATE {new.isoformat()}]"
+    name, old = MONTHS[language][new.month - 1], m["m"]
+    name = name.upper() if len(old) > 1 and old.isupper() else name.capitalize() if old[0].isupper() else name
+    put = {"m": name, "d": f"{new.day:02d}" if m["d"][0] in "0Oo" else str(new.day)} | ({"y": str(new.year)} if told else {})
+    out, at = [], start
+    for part in sorted(put, key=m.start):
+        out += [text[at : m.start(part)], put[part]]
+        at = m.end(part)
+    return f"[DATE {''.join([*out, text[at:end]])}]"
 
 
 def date_pseudonym(date: str, key: bytes, inverse: bool = False) -> str:
     """An ISO date of 1900 to 1999 as another valid date of that century; others as they are."""
-    import datetime
-
     try:
         day = datetime.date.fromisoformat(date)
     except ValueError:
         return date
-    first, last = datetime.date(1900, 1, 1), datetime.date(1999, 12, 31)
-    if not first <= day <= last:
-        return date
-    return (first + datetime.timedelta(permute((day - first).days, (last - first).days + 1, key, b"date", inverse))).isoformat()
+    return moved(day, key, inverse).isoformat() if 1900 <= day.year <= 1999 else date
 
 
 def placeholder(kind: str, value: str, key: bytes) -> str:
     if kind in ("phone", "id_number"):
-        return f"[{kind.upper()} {pseudonym(value, key)}]"
+        number = read_number(kind, value)
+        if is_number(kind, number, "".join(filter(str.isdigit, number))):
+            return f"[{kind.upper()} {pseudonym(number, key, valid=lambda d: is_number(kind, number, d))}]"
     same = " ".join(fold(value).split())
     return f"[{kind.upper()} {hashlib.blake2b(same.encode(), key=key, digest_size=4).hexdigest()}]"
 
 
-def mask(text: str | None, surnames, key: bytes) -> str | None:
+def mask(text: str | None, surnames, key: bytes, judged: dict[str, bool] | None = None) -> str | None:
     if not text:
         return text
+    own = find(text, surnames, judged)
+    put = [(s, e, placeholder(kind, text[s:e], key)) for s, e, kind in own]
+    put += [(d[0], d[1], date_placeholder(text, d, key)) for d in dates(text) if not any(d[0] < e and s < d[1] for s, e, _ in own)]
     out, at = [], 0
-    for s, e, kind in find(text, surnames):
-        out += [text[at:s], placeholder(kind, text[s:e], key)]
+    for s, e, new in sorted(put):
+        out += [text[at:s], new]
         at = e
     return "".join([*out, text[at:]])
 
@@ -303,7 +423,8 @@ def masked(texts: DataFrame, key: bytes = b"fieldlore") -> DataFrame:
     surnames = surname_lexicon(rows)
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        judged: dict[str, bool] = {}
         for b in batches:
-            yield pd.DataFrame({"record_id": b["record_id"], "text": [mask(t, surnames.value, key) if isinstance(t, str) else None for t in b["text"]]})
+            yield pd.DataFrame({"record_id": b["record_id"], "text": [mask(t, surnames.value, key, judged) if isinstance(t, str) else None for t in b["text"]]})
 
     return rows.mapInPandas(kernel, "record_id string, text string")

@@ -48,3 +48,34 @@ def test_frames(spark):
     assert out["b"] is None and out["c"] == "" and "Quarrobury" not in out["a"] and "[NAME " in out["a"] and out["a"].count("[PHONE ") == 1
     assert out["a"].split("[PHONE ")[1][:12] == out["d"].split("[PHONE ")[1][:12]
     assert pii.items(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text, shape", [
+    ("seen May 27, 1936 and May\n10, Sept. 3", r"seen \[DATE [A-Z][a-z]+ \d{1,2}, 19\d\d\] and \[DATE [A-Z][a-z]+\n\d{1,2}\], \[DATE [A-Z][a-z]+\. \d{1,2}\]"),
+    ("el 7 de octubre de 1950. Am 3. März 1941, le 1er août 1888", r"el \[DATE \d{1,2} de [a-z]+ de 19\d\d\]\. Am \[DATE \d{1,2}\. [A-Z]\w+ 19\d\d\], le \[DATE \d{1,2}er \w+ 18\d\d\]"),
+    ("on 12 October 1950, 1936-02-29; Octobcr l2", r"on \[DATE \d{1,2} [A-Z][a-z]+ 19\d\d\], \[DATE 19\d\d-\d\d-\d\d\]; \[DATE [A-Z][a-z]+ \d{1,2}\]"),
+    ("June 31, May 1951, it may 5 times, 12 may go, permit 22, Page 3, 40 Mallards", r"June 31, May 1951, it may 5 times, 12 may go, permit 22, Page 3, 40 Mallards"),
+])
+def test_dates_are_masked_in_their_format(text, shape):
+    import re
+
+    assert re.fullmatch(shape, out := pii.mask(text, SURNAMES, b"k")), out
+    for d in pii.dates(text):
+        new = pii.date_placeholder(text, d, b"k")[6:-1]
+        back = pii.dates(new)[0]
+        assert pii.dates(pii.date_placeholder(new, back, b"k", inverse=True)[6:-1])[0][4] == d[4]
+
+
+def test_equal_dates_stay_equal_in_all_forms():
+    day = lambda t: pii.dates(pii.mask(t, SURNAMES, b"k"))[0][4]
+    assert day("May 27, 1936") == day("27 de mayo de 1936") == day("1936-05-27") == day("27. Mai 1936") != day("May 28, 1936")
+
+
+def test_numbers_are_validated_and_stay_valid():
+    assert pii.is_number("phone", "208-555-0178", "2085550178") and not pii.is_number("phone", "108-555-0178", "1085550178") and not pii.is_number("id_number", "000-12-3456", "000123456")
+    for i in range(300):
+        out = pii.placeholder("phone", f"208-555-{i:04d}", b"k")[7:-1]
+        assert pii.is_number("phone", out, out.replace("-", ""))
+    assert pii.placeholder("phone", "2O8-555-0l78", b"k") == pii.placeholder("phone", "208-555-0178", b"k")
+    assert "-" not in pii.placeholder("id_number", "666-12-3456", b"k")
+    assert pii.placeholder("id_number", "KS-6l24-996-23", b"k") == pii.placeholder("id_number", "KS-6124-996-23", b"k")
