@@ -408,6 +408,14 @@ def _repair(shared, text: bool):
 MOST_WORDS = 2_000_000
 
 
+def held(pairs: DataFrame, most: int = MOST_WORDS) -> dict[tuple[str, str], int]:
+    """All counted bigrams (a, b, n), or an error if they are too many for a worker."""
+    out = {(r.a, r.b): r.n for r in pairs.limit(most + 1).toLocalIterator()}
+    if len(out) > most:
+        raise MemoryError(f"more than {most} bigrams of ambiguous words; repair the corpus by source or language")
+    return out
+
+
 def _shared(pages: DataFrame):
     """Broadcast of corrections, counts and bigrams, whose size is checked."""
     from fieldlore.session import cut
@@ -426,7 +434,7 @@ def _shared(pages: DataFrame):
     if rivals:
         wanted = pages.sparkSession.sparkContext.broadcast(rivals)
         pairs = pages.select("raw_ocr_text").mapInPandas(_bigrams(wanted), "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1")
-        bigrams = {(r.a, r.b): r.n for r in pairs.limit(MOST_WORDS).toLocalIterator()}
+        bigrams = held(pairs)
     return pages.sparkSession.sparkContext.broadcast((fixes, counts, bigrams))
 
 

@@ -57,3 +57,10 @@ def test_defects_and_paragraphs(spark):
 
 def test_empty(spark):
     assert o.defects(spark.createDataFrame([], PAGE), spark.createDataFrame([], RECORD)).count() == 0
+
+
+def test_bigrams_are_all_held_or_none(spark):
+    pairs = spark.createDataFrame([("a", "b", 2), ("b", "c", 3), ("c", "d", 4)], "a string, b string, n int")
+    assert o.held(pairs, 3) == {("a", "b"): 2, ("b", "c"): 3, ("c", "d"): 4}
+    with pytest.raises(MemoryError):
+        o.held(pairs, 2)
