@@ -423,7 +423,7 @@ def _shared(pages: DataFrame):
     words = cut(lexicon(pages))
     rated = candidates(words)
     order = Window.partitionBy("form").orderBy("cost", F.desc("n"), "word")
-    best = cut(rated.withColumn("rank", F.row_number().over(order)).withColumn("least", F.min("cost").over(Window.partitionBy("form"))).where((F.col("rank") <= 4) & (F.col("cost") <= F.col("least") + 0.05)).groupBy("form").agg(F.array_sort(F.collect_list(F.struct("rank", "word")))["word"].alias("words")))
+    best = cut(rated.withColumn("rank", F.row_number().over(order)).withColumn("least", F.min("cost").over(Window.partitionBy("form"))).where(F.col("cost") <= F.col("least") + 0.05).groupBy("form").agg(F.array_sort(F.collect_list(F.struct("rank", "word")))["word"].alias("words")))
     used = words.where("n >= 2")
     if used.count() + best.count() > MOST_WORDS:
         raise MemoryError(f"the lexicon has more than {MOST_WORDS} words; repair the corpus by source or language")

@@ -64,3 +64,12 @@ def test_bigrams_are_all_held_or_none(spark):
     assert o.held(pairs, 3) == {("a", "b"): 2, ("b", "c"): 3, ("c", "d"): 4}
     with pytest.raises(MemoryError):
         o.held(pairs, 2)
+
+
+def test_the_sixth_of_equally_cheap_words_can_be_chosen(spark):
+    form = "laltlolelul"
+    words = sorted(form[:i] + "i" + form[i + 1 :] for i in range(0, 11, 2))
+    pages = [(f"b{k}{i}", f"body{k}{i}", 1, f"gauge{k} {w} tower{k}", None) for k, w in zip("abcdef", words) for i in range(20)]
+    df = spark.createDataFrame([*pages, ("p", "d", 1, f"gaugef {form} towerf", None)], PAGE)
+    got = [r.text for r in o.paragraphs(df, spark.createDataFrame([], RECORD)).where("doc_id = 'd'").collect()]
+    assert got == [f"gaugef {words[5]} towerf"]
