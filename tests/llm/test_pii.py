@@ -79,3 +79,11 @@ def test_numbers_are_validated_and_stay_valid():
     assert pii.placeholder("phone", "2O8-555-0l78", b"k") == pii.placeholder("phone", "208-555-0178", b"k")
     assert "-" not in pii.placeholder("id_number", "666-12-3456", b"k")
     assert pii.placeholder("id_number", "KS-6l24-996-23", b"k") == pii.placeholder("id_number", "KS-6124-996-23", b"k")
+
+
+@pytest.mark.parametrize("text, item", [
+    ("write jo [ at ] marsh.example now", "jo [ at ] marsh.example"), ("write jo at\nmarsh dot\nexample now", "jo at\nmarsh dot\nexample"), ("to P. O. B0x 12 there", "P. O. B0x 12"), ("to RFD 2 there", "RFD 2"),
+    ("SOCIAL SECURITY NO. 12 34 56 78", "12 34 56 78"), ("IDENTITY CARD 12 34 56 78", "12 34 56 78"),
+])
+def test_no_item_is_skipped_for_lack_of_a_usual_mark(text, item):
+    assert item in [text[s:e] for s, e, _ in pii.find(text, SURNAMES)]
