@@ -2,17 +2,22 @@
 
 Each line (a line break always ends a sentence) is cut by semi-Markov dynamic programming: a state is a place where a
 sentence may end, and whole spans between two such places are scored jointly by the word that opens them, the word
-and mark that close them, their length, and whether their quotations and brackets are balanced. The best chain of
-spans is the sequence of sentences.
+and mark that close them, their length, and whether they cut a quotation or bracket. The best chain of spans is the
+sequence of sentences. Every mark is a place, however poor; starts that can no longer be in the best chain are dropped
+by a bound on what a whole span can lose, so that the search is exact and linear in practice.
+
+Only quotations and brackets that are closed in their line count. A quotation that a sentence goes on around (words
+before it that no mark ends, or a small letter after it) belongs to that sentence whole, however many sentences it
+holds; one that stands alone is cut like running text.
 
 Defined results: null, empty and blank texts have no sentences, nor has a line without a letter or digit; a heading or
 list item on its own line is one sentence with its number; positions are offsets in code points of the stored text; a
-document given twice counts once; texts of any length are read whole (a span reaches over at most WINDOW places at
-which a sentence could well end).
+document given twice counts once; texts and spans of any length are read whole.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -20,9 +25,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-WINDOW = 64
+#: What a span loses at most by cutting a quotation, by having less than three characters, and by its length.
+CUT, TINY, LENGTH = 4.0, 2.0, 0.6
+#: Characters of a usual sentence, in scripts that write syllables or words as single characters, and how far (as a factor) lengths stray.
+USUAL, USUAL_DENSE, STRAY = 70.0, 16.0, 3.0
 ENDS, CLOSERS, OPENERS = ".!?…。！？।॥؟۔‼⁇⁈．｡", "\"'”’»)]}」』）】›＂", "\"'“‘„«([{¿¡「『（【‹‚＂"
 PAIRS = {"“": "”", "«": "»", "(": ")", "[": "]", "「": "」", "『": "』", "（": "）", "【": "】", "‹": "›"}
+WORD = re.compile(r"[^\W\d_]+")
 LINE = re.compile(r"[^\n\r  \x0b\x0c\x85]+")
 ITEM = re.compile(r"\s*(?:[-*•–—]\s+)?(?:\(?(?:\d{1,3}|[A-Za-z]|[ivxIVX]{1,5})[.)])(?=\s)")
 #: Abbreviations after which a sentence goes on (fixed values, lower case, without the last period).
@@ -31,10 +40,21 @@ NEVER = frozenset(
     sr sra srta dra ud uds núm núms pág págs aprox es gral nr nrn hr fr hrn bzw ca z b d h u a vgl abb s sog ggf str bd mme mlle env av chap pl
     г-н г-жа т п д с ст рис табл ок см им ул стр гл проф акад напр т.е т.к и.о डॉ श्री श्रीमती प्रो सं कृ से पृ د أ م ص ج พ.ศ ค.ศ ดร นพ นาย""".split()
 )
+#: Those of them that a title is, which hold without a blank before them too.
+TITLES = frozenset("mr mrs ms dr prof capt hr hrn sra srta mme mlle".split())
 #: Abbreviations that may also close a sentence.
 MAYBE = frozenset("jan feb mar apr jun jul aug sep sept oct nov dec ave rd blvd ln hwy co inc ltd corp jr bros lbs lb in ft mi yd oz gal min hr hrs sq cu km cm mm kg etc usw u.s.w ff г гг в вв р руб коп т.д т.п др см.ч से.मी मी से.मी कि.मी ध.मी".split())
 STRONG = frozenset("a.m p.m am pm etc usw т.д т.п др m h".split())
 MONTHS = frozenset("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
+#: Words that hardly close a sentence, and words that often open one (fixed values of this operator).
+HARDLY_LAST = frozenset(
+    """the a an of and or with into from to at by in on for der die das dem den des ein eine einer eines und oder mit von zum zur im
+    el la los las un una y o de del con por para en le les des un une et ou du au aux avec dans sur pour и в на с по от до""".split()
+)
+OFTEN_FIRST = frozenset(
+    """the it he she we they this these there in on at no after when then all our der die das er sie es wir am im ein eine nach
+    el la los las se no en un una después le les il elle nous on un une des après в на мы он она это после""".split()
+)
 #: Chinese and Japanese words by which a quotation goes on.
 SPEECH = re.compile(r"\s*(?:と|って|という|[^，。！？、\s“「]{1,9}(?:写道|寫道|说道|說道|说|說|问道|问|答道|喊道|喊|回答|道))")
 
@@ -74,7 +94,7 @@ def _closing(line: str, end: int, nxt: str) -> float:
         return 1.0 if low in MAYBE else -3.0
     if low == "st" and re.search(r"\d+\s+(?:[NSEW]\.\s+)?[A-Z]\w+$", before):
         return 0.8
-    if low in NEVER:
+    if low in NEVER or low.rpartition(".")[2] in TITLES:
         return -6.0
     if low in MAYBE:
         return 1.0
@@ -87,7 +107,7 @@ def _closing(line: str, end: int, nxt: str) -> float:
         return 1.5
     if word and all("ऀ" <= c <= "ॿ" or c == "." for c in word):
         return -2.0
-    return 2.0
+    return 1.0 if low in HARDLY_LAST else 2.0
 
 
 def _opening(line: str, start: int) -> tuple[float, str]:
@@ -98,7 +118,8 @@ def _opening(line: str, start: int) -> tuple[float, str]:
         k += 1
     c = _class(line[k]) if k < len(line) else "-"
     if c == "u":
-        return 1.5, c
+        word = WORD.match(line, k)
+        return (2.0 if word and word[0].lower() in OFTEN_FIRST else 1.5), c
     if c == "d" or (c == "-" and k + 1 < len(line) and line[k] in ".$£€№#+" and line[k + 1].isdigit()):
         return 0.7, "d"
     if c in "ot":
@@ -134,8 +155,7 @@ def _places(line: str, begin: int) -> list[tuple[int, int, float]]:
                     score = _closing(line, k, kind) + good - 2.0 - (0.3 if not spaced and kind in "uld" else 0.0)
                     if line[k - 1] in "”」』\"’»" and kind in "o" and SPEECH.match(line, k):
                         score -= 6.0
-                    if score > -4.0:
-                        out.append((k, s, score))
+                    out.append((k, s, score))
             i = k
         elif thai and c.isspace():
             s = i
@@ -149,54 +169,97 @@ def _places(line: str, begin: int) -> list[tuple[int, int, float]]:
     return [*out, (n, n, 2.0)]
 
 
-def _depths(line: str) -> list[tuple[int, ...]]:
-    """Before each character: open pairs, and the parity of the straight double quotes."""
-    kinds = {c: i for i, pair in enumerate(PAIRS.items()) for c in pair}
-    level, parity, out = [0] * len(PAIRS), 0, []
-    low = False
-    for c in line:
-        out.append((*level, parity))
-        if c == "„":
-            low = True
-            level[kinds["“"]] += 1
-        elif c == "“" and low:
-            low = False
-            level[kinds["“"]] -= 1
+CLOSING = {closing: opening for opening, closing in PAIRS.items()}
+
+
+def _quotations(line: str) -> list[tuple[int, int]]:
+    """(place of the opening mark, place of the closing one) of the quotations and brackets that are closed in the line."""
+    held: list[tuple[str, int]] = []
+    out = []
+    for i, c in enumerate(line):
+        if c in "\"＂":
+            opens = (not i or line[i - 1].isspace() or line[i - 1] in OPENERS) and i + 1 < len(line) and not line[i + 1].isspace()
+            at = next((k for k in range(len(held) - 1, -1, -1) if held[k][0] == c), None)
+            if at is not None and not (opens and i and line[i - 1].isspace()):
+                out.append((held[at][1], i))
+                del held[at:]
+            elif opens:
+                held.append((c, i))
+        elif c == "„":
+            held.append((c, i))
+        elif c in "“”" and (at := next((k for k in range(len(held) - 1, -1, -1) if held[k][0] == "„"), None)) is not None:
+            out.append((held[at][1], i))
+            del held[at:]
         elif c in PAIRS:
-            level[kinds[c]] += 1
-        elif c in kinds:
-            level[kinds[c]] = max(0, level[kinds[c]] - 1)
-        elif c in "\"＂":
-            parity ^= 1
-    out.append((*level, parity))
+            held.append((c, i))
+        elif c in CLOSING and (at := next((k for k in range(len(held) - 1, -1, -1) if held[k][0] == CLOSING[c]), None)) is not None:
+            out.append((held[at][1], i))
+            del held[at:]
     return out
 
 
+def _inside(line: str, begin: int = 0) -> list[int] | None:
+    """Before each character the number of quotations around it that a sentence goes on around; None if there are none."""
+    steps: list[int] | None = None
+    for a, b in _quotations(line):
+        before, after = line[begin:a].rstrip(), line[b + 1 :].lstrip()
+        # a comma or dash after it, a small letter, or in scripts without case a verb of speech: the sentence goes on
+        on_right = bool(after) and (after[0] in ",;:،，、—–" or _class(after[0]) == "l" or SPEECH.match(line, b + 1) is not None)
+        on_left = bool(before) and before[-1] not in ENDS and before[-1] not in CLOSERS
+        if on_left or on_right or line[a] in "([（【":
+            if steps is None:
+                steps = [0] * (len(line) + 2)
+            steps[a + 1] += 1
+            steps[b + 1] -= 1
+    if steps is not None:
+        for i in range(1, len(steps)):
+            steps[i] += steps[i - 1]
+    return steps
+
+
+def _length(size: int, usual: float) -> float:
+    """What a span of so many characters loses by its length: nothing at the usual one, LENGTH at most."""
+    off = math.log(max(size, 1) / usual) / math.log(STRAY)
+    return min(LENGTH, 0.1 * off * off)
+
+
+def usual_length(line: str) -> float:
+    return USUAL_DENSE if 2 * sum("\u3040" <= c <= "\u9fff" for c in line) > sum(map(str.isalpha, line)) else USUAL
+
+
+def span_score(inside: list[int] | None, a: int, b: int, usual: float = USUAL) -> float:
+    """What a whole span a to b adds to the score of its closing place: never more than 0."""
+    score = -_length(b - a, usual)
+    if inside is not None and (inside[a] or inside[b]):
+        score -= CUT
+    return score - TINY if b - a < 3 else score
+
+
 def starts_in(line: str) -> list[int]:
     """Starts of the sentences of one line."""
     begin = len(line) - len(line.lstrip())
     if not any(c.isalnum() for c in line):
         return []
     item = ITEM.match(line)
-    places = _places(line, max(begin, item.end() if item else 0))
+    first = max(begin, item.end() if item else 0)
+    places = _places(line, first)
     if len(places) == 1:
         return [begin]
-    depth = _depths(line) if any(c in line for c in "\"＂„“«([「『（【‹") else None
+    inside = _inside(line, first) if any(c in line for c in "\"＂„“«([「『（【‹") else None
     starts = [begin, *[s for _, s, _ in places[:-1]]]
-    ends = [e for e, _, _ in places]
-    local = [x for *_, x in places]
     n = len(places)
-    best, back = [0.0] + [float("-inf")] * n, [0] * (n + 1)
+    best, back, live = [0.0] + [float("-inf")] * n, [0] * (n + 1), [0]
+    most, usual = CUT + TINY + LENGTH, usual_length(line)
     for j in range(1, n + 1):
-        for i in range(max(0, j - WINDOW), j):
-            a, b = starts[i], ends[j - 1]
-            score = best[i] + local[j - 1]
-            if depth is not None and depth[a] != depth[b]:
-                score -= 3.0
-            if b - a < 3:
-                score -= 2.0
+        end, local = places[j - 1][0], places[j - 1][2]
+        for i in live:
+            score = best[i] + local + span_score(inside, starts[i], end, usual)
             if score > best[j]:
                 best[j], back[j] = score, i
+        # a start that trails by more than a span can lose is never caught up with
+        live = [i for i in live if best[i] > best[j] - most]
+        if all(best[j] > best[i] - most for i in live):
+            live.append(j)
     out, j = [], n
     while j:
         out.append(starts[back[j]])

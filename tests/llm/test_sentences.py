@@ -34,21 +34,43 @@ def test_lines_headings_and_positions():
     assert s.starts(None) == s.starts("") == s.starts(" \n\t") == []
 
 
-def test_dynamic_program_finds_the_best_chain(monkeypatch):
+def test_dynamic_program_finds_the_best_chain():
     """Against all chains of places, on lines short enough for that."""
     rng = random.Random(8)
     parts = ["He left at 5 p.m.", 'She said "No. Stop!"', "Mr. X came", "(see p. 3.)", "It fell 3 in.", "Why?", "and then.", "“Yes. No.”", "A."]
     for _ in range(150):
-        line = " ".join(rng.choice(parts) for _ in range(rng.randint(1, 5)))
+        line = " ".join(rng.choice(parts) for _ in range(rng.randint(1, 4)))
         places = s._places(line, 0)
-        starts, ends, depth = [0, *[b for _, b, _ in places[:-1]]], [e for e, _, _ in places], s._depths(line)
-        span = lambda i, j: places[j][2] - 3.0 * (depth[starts[i]] != depth[ends[j]]) - 2.0 * (ends[j] - starts[i] < 3)
+        if len(places) > 11:
+            continue
+        starts, ends, inside = [0, *[b for _, b, _ in places[:-1]]], [e for e, _, _ in places], s._inside(line)
+        span = lambda i, j: places[j][2] + s.span_score(inside, starts[i], ends[j])
         value = lambda cuts: sum(span(i, j - 1) for i, j in zip(cuts, [*cuts[1:], len(places)]))
         chains = [(0, *c) for k in range(len(places)) for c in itertools.combinations(range(1, len(places)), k)]
         got = tuple(starts.index(p) for p in s.starts_in(line))
         assert value(got) == pytest.approx(max(map(value, chains)))
 
 
+@pytest.mark.parametrize("k", range(2, 11))
+@pytest.mark.parametrize("pair", ['""', "“”", "«»", "„“"])
+def test_a_quotation_in_a_running_sentence_ends_nothing(k, pair):
+    held = " ".join(["The lake is dry."] * k)
+    line = f"The sign reads {pair[0]}{held}{pair[1]} and stays. We left."
+    assert s.starts_in(line) == [0, line.index("We left")]
+    line = f"{pair[0]}{held}{pair[1]}, wrote the warden. We left."
+    assert s.starts_in(line) == [0, line.index("We left")]
+
+
+def test_a_quotation_of_its_own_is_cut_and_an_open_one_holds_nothing():
+    assert [x for _, x in s.spans("It ended. “The lake is dry. The ducks left.” We went home.")] == ["It ended.", "“The lake is dry.", "The ducks left.”", "We went home."]
+    assert [x for _, x in s.spans('The board was 5" wide. It broke. He said "so it goes. We left.')] == ['The board was 5" wide.', "It broke.", 'He said "so it goes.', "We left."]
+
+
+def test_opening_and_closing_words_count():
+    assert s._closing("sent to the. X", 12, "u") < s._closing("sent to them. X", 13, "u")
+    assert s._opening("The end", 0)[0] > s._opening("Xerxes came", 0)[0]
+
+
 def test_long_text_and_frame(spark):
     long = "The lake is dry. " * 20000
     assert len(s.starts(long)) == 20000
