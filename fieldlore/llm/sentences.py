@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: What a span loses at most by cutting a quotation, by having less than three characters, and by its length.
 CUT, TINY, LENGTH = 4.0, 2.0, 0.6
@@ -40,8 +41,6 @@ NEVER = frozenset(
     sr sra srta dra ud uds núm núms pág págs aprox es gral nr nrn hr fr hrn bzw ca z b d h u a vgl abb s sog ggf str bd mme mlle env av chap pl
     г-н г-жа т п д с ст рис табл ок см им ул стр гл проф акад напр т.е т.к и.о डॉ श्री श्रीमती प्रो सं कृ से पृ د أ م ص ج พ.ศ ค.ศ ดร นพ นาย""".split()
 )
-#: Those of them that a title is, which hold without a blank before them too.
-TITLES = frozenset("mr mrs ms dr prof capt hr hrn sra srta mme mlle".split())
 #: Abbreviations that may also close a sentence.
 MAYBE = frozenset("jan feb mar apr jun jul aug sep sept oct nov dec ave rd blvd ln hwy co inc ltd corp jr bros lbs lb in ft mi yd oz gal min hr hrs sq cu km cm mm kg etc usw u.s.w ff г гг в вв р руб коп т.д т.п др см.ч से.मी मी से.मी कि.मी ध.मी".split())
 STRONG = frozenset("a.m p.m am pm etc usw т.д т.п др m h".split())
@@ -94,7 +93,9 @@ def _closing(line: str, end: int, nxt: str) -> float:
         return 1.0 if low in MAYBE else -3.0
     if low == "st" and re.search(r"\d+\s+(?:[NSEW]\.\s+)?[A-Z]\w+$", before):
         return 0.8
-    if low in NEVER or low.rpartition(".")[2] in TITLES:
+    tail = word.rpartition(".")[2]
+    if low in NEVER or (tail[:1].isupper() and len(tail) > 1 and tail.lower() in NEVER):
+        # with or without a blank before it
         return -6.0
     if low in MAYBE:
         return 1.0
@@ -285,12 +286,22 @@ def spans(text: str | None) -> list[tuple[int, str]]:
 
 
 def sentences(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, start_pos and sentence of every row's text; repeated rows give each sentence once."""
+    """key, start_pos and sentence of every row's text; repeated rows give each sentence once.
+
+    Only the texts of repeated keys are shuffled, to find equal ones: the others go from the scan to their sentences.
+    """
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = [(k, p, s) for k, t in zip(b["key"], b["text"]) if isinstance(t, str) for p, s in spans(t)]
             yield pd.DataFrame(out, columns=["key", "start_pos", "sentence"])
 
+    from fieldlore.session import small_or_plain
+
+    schema = "key string, start_pos int, sentence string"
     plain = rows.select(rows[key].alias("key"), rows[text].alias("text"))
-    return plain.mapInPandas(kernel, "key string, start_pos int, sentence string").distinct().withColumnRenamed("key", key)
+    repeated = plain.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("again"))
+    marked = plain.join(small_or_plain(repeated.withColumn("more", F.lit(True))), F.col("key").eqNullSafe(F.col("again")), "left")
+    once = marked.where("more IS NULL").select("key", "text").mapInPandas(kernel, schema)
+    more = marked.where("more").select("key", "text").distinct().mapInPandas(kernel, schema).distinct()
+    return once.unionByName(more).withColumnRenamed("key", key)
