@@ -7,13 +7,14 @@ Ridge) does not count.
 
 A placeholder says what kind of item it replaces. Numbers are validated (area and range) and permuted within their
 format by a keyed Feistel network on their digits, so that equal numbers stay equal in all documents and unequal ones
-unequal, while signs, letters and grouping stay and valid ones stay valid. Dates (masked, but no items of ``find``) are
-permuted by the same network on the days of their century, without a year on those of a leap year. Names, mail, postal
-addresses and impossible numbers get a keyed short hash of their folded value for the same reason.
+unequal, while country codes, signs, letters and grouping stay and valid ones stay valid. Dates (masked, but no items of
+``find``) are permuted by the same network on the days of their century, without a year on those of a leap year. Names,
+mail, postal addresses and impossible numbers get a keyed 64-bit hash of their folded value for the same reason. There
+is no key of its own: who masks must give one, since whoever has it can undo the numbers.
 
 Defined results: null, empty and blank texts have no items; of overlapping items the earlier, then the longer counts
 (mail, identity number, phone, address, name); repeated rows give each item once; empty tables give no items; rows
-with a null key are left out.
+with a null key have no items, but are masked like every row.
 """
 
 from __future__ import annotations
@@ -157,7 +158,8 @@ def find(text: str, surnames, judged: dict[str, bool] | None = None) -> list[tup
             last = text[max(0, m.start() - 16) : m.start()].split()[-1:]
             if not last or not (len(last[0]) == 2 and last[0][1] == "." and last[0][0].isupper() or last[0].rstrip(".") in TITLE_SET or (last[0][0].isupper() and last[0].isalpha() and is_given(last[0]))):
                 continue
-        left = text[max(0, m.start() - 48) : m.start()]
+        window = 48
+        left = text[max(0, m.start() - window) : m.start()]
         follow = FOLLOWING.match(text, m.end())
         if follow and is_place(follow[1]):
             continue
@@ -174,6 +176,11 @@ def find(text: str, surnames, judged: dict[str, bool] | None = None) -> list[tup
                     break
                 rest = rest[: i.start()]
                 start = m.start() - (len(left) - len(rest))
+                if len(rest) < 24 and start > len(rest):
+                    # names that reach further to the left than the window: widen it
+                    window *= 2
+                    left = text[max(0, m.start() - window) : m.start()]
+                    rest = left[: len(left) - (m.start() - start)]
             if strong and not known and start < m.start() and re.fullmatch(r"\s*(?:[A-Z]\.\s*)+", text[start : m.start()]) and re.search(r"(?:U\.\s*S\.|P\.\s*O\.|D\.\s*C\.)\s*$", text[start : m.start()]):
                 continue
             # French M. is a title where a verb of the language follows
@@ -212,6 +219,12 @@ def permute(value: int, size: int, key: bytes, tweak: bytes = b"", inverse: bool
             return value
 
 
+def country_code(number: str) -> str:
+    """The country code of a phone number with its sign: up to the first separator, else one digit for 1 and 7 and two for others."""
+    m = re.match(r"\s*(?:\+(?:[17](?=\d{10}$)|\d{1,3}(?=[^\d])|[17]|\d\d)|1(?=[-.\s(]))", number)
+    return m[0] if m else ""
+
+
 def pseudonym(number: str, key: bytes, inverse: bool = False, valid=lambda digits: True) -> str:
     """A number with its digits permuted, all else (grouping, letters, signs) as it was; a valid one becomes a valid one."""
     own = "".join(c for c in number if c.isdigit() and c.isascii())
@@ -279,12 +292,41 @@ def months(word: str) -> tuple[bool, tuple[tuple[str, int], ...]]:
     return False, tuple((k, i) for k, i, n in names if len(w) > 3 and len(n) > 2 and abs(len(n) - len(w)) < 3 and distance(w, n) <= 0.3)
 
 
+#: A day of a month in figures, one misread.
+SHORT = re.compile(rf"(?<![\w.,/$-])(?=\d|[OolI]\d){D}{{1,2}}(?!\d)")
+
+
+def _word_before(text: str, at: int) -> int:
+    """Where the word before a place begins, with its first part if it is broken at a line end; the place itself if there is none."""
+    j = at
+    while j and text[j - 1].isspace():
+        j -= 1
+    k = j - (j > 0 and text[j - 1] == ".")
+    while k and (text[k - 1].isalnum() or text[k - 1] == "_"):
+        k -= 1
+    q = k
+    while q and text[q - 1].isspace():
+        q -= 1
+    if q and "\n" in text[q:k] and text[q - 1] in "-¬­‐=":
+        q -= 1
+        while q and (text[q - 1].isalnum() or text[q - 1] == "_"):
+            q -= 1
+        return q
+    return k if j < at else at
+
+
 def dates(text: str) -> list[tuple[int, int, re.Match, str, datetime.date, bool]]:
     """(start, end, match, language, day, whether a year is told) of the dates of a text that are possible days, without
     overlaps; a day without a year is one of a leap year."""
-    out, taken = [], []
-    for pattern, order in ((ISO, ()), (MONTH_DAY, ("en", "short")), (DAY_MONTH, ("en", "short", "fr", "es", "de"))):
-        for m in pattern.finditer(text):
+    out, taken, month_first, day_first = [], [], [], []
+    for s in SHORT.finditer(text):
+        # the patterns look only at places where a day stands
+        if (k := _word_before(text, s.start())) < s.start() and (m := MONTH_DAY.match(text, k)) and m.start("d") == s.start():
+            month_first.append(m)
+        if m := DAY_MONTH.match(text, s.start()):
+            day_first.append(m)
+    for pattern, found_at, order in ((ISO, ISO.finditer(text) if "-" in text else (), ()), (MONTH_DAY, month_first, ("en", "short")), (DAY_MONTH, day_first, ("en", "short", "fr", "es", "de"))):
+        for m in found_at:
             language = "iso"
             if order:
                 if not any(map(str.isdigit, m["d"])):
@@ -353,19 +395,30 @@ def placeholder(kind: str, value: str, key: bytes) -> str:
     if kind in ("phone", "id_number"):
         number = read_number(kind, value)
         if is_number(kind, number, "".join(filter(str.isdigit, number))):
-            return f"[{kind.upper()} {pseudonym(number, key, valid=lambda d: is_number(kind, number, d))}]"
+            head = country_code(number) if kind == "phone" else ""
+            fixed = "".join(filter(str.isdigit, head))
+            return f"[{kind.upper()} {head}{pseudonym(number[len(head):], key, valid=lambda d: is_number(kind, number, fixed + d))}]"
     same = " ".join(fold(value).split())
-    return f"[{kind.upper()} {hashlib.blake2b(same.encode(), key=key, digest_size=4).hexdigest()}]"
+    return f"[{kind.upper()} {hashlib.blake2b(same.encode(), key=key, digest_size=8).hexdigest()}]"
+
+
+def replacements(text: str | None, surnames, key: bytes, judged: dict[str, bool] | None = None, with_dates: bool = True) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, placeholder) of all that is masked in a text, in order; dates have the kind 'date'."""
+    if not text:
+        return []
+    own = find(text, surnames, judged)
+    put = [(s, e, kind, placeholder(kind, text[s:e], key)) for s, e, kind in own]
+    if with_dates:
+        put += [(d[0], d[1], "date", date_placeholder(text, d, key)) for d in dates(text) if not any(d[0] < e and s < d[1] for s, e, _ in own)]
+        put.sort()
+    return put
 
 
 def mask(text: str | None, surnames, key: bytes, judged: dict[str, bool] | None = None) -> str | None:
     if not text:
         return text
-    own = find(text, surnames, judged)
-    put = [(s, e, placeholder(kind, text[s:e], key)) for s, e, kind in own]
-    put += [(d[0], d[1], date_placeholder(text, d, key)) for d in dates(text) if not any(d[0] < e and s < d[1] for s, e, _ in own)]
     out, at = [], 0
-    for s, e, new in sorted(put):
+    for s, e, _, new in replacements(text, surnames, key, judged):
         out += [text[at:s], new]
         at = e
     return "".join([*out, text[at:]])
@@ -396,38 +449,71 @@ def _strong(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield out()
 
 
-def surname_lexicon(texts: DataFrame):
-    """Broadcast of the corpus' surnames; texts has column text."""
+def surnames_of(texts: DataFrame) -> DataFrame:
+    """surname: the corpus' surnames; texts has column text."""
     counted = texts.select("text").where("text IS NOT NULL").mapInPandas(_strong, "surname string, strong bigint, total bigint").groupBy("surname").agg(F.sum("strong").alias("strong"), F.sum("total").alias("total"))
-    kept = counted.where((F.col("strong") >= LEAST_STRONG) & (F.col("strong") >= STRONG_SHARE * F.col("total"))).select("surname")
-    names = [r.surname for r in kept.limit(MOST_SURNAMES + 1).toLocalIterator() if r.surname not in NOT_NAMES]
-    if len(names) > MOST_SURNAMES:
-        raise MemoryError(f"more than {MOST_SURNAMES} surnames; mask the corpus by source")
-    return texts.sparkSession.sparkContext.broadcast(frozenset(names))
+    return counted.where((F.col("strong") >= LEAST_STRONG) & (F.col("strong") >= STRONG_SHARE * F.col("total")) & ~F.col("surname").isin(*NOT_NAMES)).select("surname")
+
+
+def _asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """record_id, same (hash of the text) and every folded word that ``find`` may look up in the lexicon for a text."""
+    for b in batches:
+        rows = []
+        for i, h, t in zip(b["record_id"], b["same"], b["text"]):
+            words = {fold(w) for w in WORD.findall(t)} - NOT_NAMES
+            rows += [(i, h, w) for w in words.union(*(readings(w) for w in words if len(w) > 5))]
+        yield pd.DataFrame(rows, columns=["record_id", "same", "surname"])
+
+
+def _with_surnames(rows: DataFrame, kernel, schema: str) -> DataFrame:
+    """rows (record_id, text) through ``kernel(batches, lexicon of a row)``. A lexicon within MOST_SURNAMES goes to every
+    worker; beyond it each text meets only its own words, in a shuffled join, with the same result."""
+    from fieldlore.session import cut
+
+    surnames = cut(surnames_of(rows))
+    if surnames.count() <= MOST_SURNAMES:
+        every = rows.sparkSession.sparkContext.broadcast(frozenset(r.surname for r in surnames.toLocalIterator()))
+
+        def with_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            yield from kernel(batches, lambda b: [every.value] * len(b))
+
+        return rows.mapInPandas(with_all, schema)
+    keyed = rows.withColumn("same", F.xxhash64("text"))
+    asked = keyed.where("text IS NOT NULL").select("record_id", "same", "text").mapInPandas(_asked, "record_id string, same bigint, surname string").distinct()
+    own = asked.join(surnames, "surname").groupBy("record_id", "same").agg(F.collect_list("surname").alias("known"))
+    met = keyed.alias("k").join(own.alias("o"), F.col("k.record_id").eqNullSafe(F.col("o.record_id")) & (F.col("k.same") == F.col("o.same")), "left").select("k.record_id", "k.text", "o.known")
+
+    def with_own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from kernel(batches, lambda b: [frozenset(k) if k is not None else frozenset() for k in b["known"]])
+
+    return met.mapInPandas(with_own, schema)
 
 
 def items(texts: DataFrame) -> DataFrame:
-    """record_id, kind, start_pos of the personal items; texts has columns record_id and text."""
+    """record_id, kind, start_pos of the personal items: where ``masked`` puts its placeholders, dates aside; texts has
+    columns record_id and text."""
     rows = texts.where("record_id IS NOT NULL AND text IS NOT NULL").select("record_id", "text")
-    surnames = surname_lexicon(rows)
 
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def kernel(batches: Iterator[pd.DataFrame], lexicon) -> Iterator[pd.DataFrame]:
         judged: dict[str, bool] = {}
         for b in batches:
-            out = [(i, kind, s) for i, t in zip(b["record_id"], b["text"]) for s, _, kind in find(t, surnames.value, judged)]
+            # what is remembered of words holds for one lexicon
+            shared = "known" not in b
+            out = [(i, kind, s) for i, t, known in zip(b["record_id"], b["text"], lexicon(b)) for s, _, kind, _ in replacements(t, known, b"found", judged if shared else None, False)]
             yield pd.DataFrame(out, columns=["record_id", "kind", "start_pos"])
 
-    return rows.mapInPandas(kernel, "record_id string, kind string, start_pos int").distinct()
+    return _with_surnames(rows, kernel, "record_id string, kind string, start_pos int").distinct()
 
 
-def masked(texts: DataFrame, key: bytes = b"fieldlore") -> DataFrame:
-    """record_id and the text with typed placeholders, for every row."""
-    rows = texts.select("record_id", "text")
-    surnames = surname_lexicon(rows)
+def masked(texts: DataFrame, key: bytes) -> DataFrame:
+    """record_id and the text with typed placeholders, for every row as often as it is given."""
+    if not 16 <= len(key) <= 64:
+        raise ValueError("the key has 16 to 64 bytes")
 
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def kernel(batches: Iterator[pd.DataFrame], lexicon) -> Iterator[pd.DataFrame]:
         judged: dict[str, bool] = {}
         for b in batches:
-            yield pd.DataFrame({"record_id": b["record_id"], "text": [mask(t, surnames.value, key, judged) if isinstance(t, str) else None for t in b["text"]]})
+            shared = "known" not in b
+            yield pd.DataFrame({"record_id": b["record_id"], "text": [mask(t, known, key, judged if shared else None) if isinstance(t, str) else None for t, known in zip(b["text"], lexicon(b))]})
 
-    return rows.mapInPandas(kernel, "record_id string, text string")
+    return _with_surnames(texts.select("record_id", "text"), kernel, "record_id string, text string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldlore.llm import boilerplate, lookalike, mixing, names, ocr_repair, pii, sentences, tokenizer
@@ -51,7 +53,9 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_masked(spark: SparkSession, d: str) -> DataFrame:
-    return pii.masked(_texts(spark, d).dropDuplicates(["record_id"]))
+    """With the key of spark.fieldlore.pii.key; without one every run has a key of its own that nobody keeps."""
+    told = spark.conf.get("spark.fieldlore.pii.key", None)
+    return pii.masked(_texts(spark, d), told.encode() if told else secrets.token_bytes(32))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -44,10 +44,34 @@ def test_frames(spark):
     got = {tuple(r) for r in pii.items(df).where("record_id <> 'd'").collect()}
     assert got == {("a", "name", text.index("Quarrobury")), ("a", "name", 25), ("a", "name", 47), ("a", "phone", 63)}
     assert pii.items(df).where("record_id = 'd'").count() == 3000
-    out = {r.record_id: r.text for r in pii.masked(df).collect()}
+    out = {r.record_id: r.text for r in pii.masked(df, b'0123456789abcdef').collect()}
     assert out["b"] is None and out["c"] == "" and "Quarrobury" not in out["a"] and "[NAME " in out["a"] and out["a"].count("[PHONE ") == 1
     assert out["a"].split("[PHONE ")[1][:12] == out["d"].split("[PHONE ")[1][:12]
     assert pii.items(df.limit(0)).count() == 0
+    # every row is masked, repeated ones and those without a key too
+    assert pii.masked(df, b"0123456789abcdef").count() == len(rows)
+    with pytest.raises(ValueError):
+        pii.masked(df, b"short")
+
+
+def test_a_lexicon_too_large_for_a_worker_gives_the_same(spark, monkeypatch):
+    text = "Dr. Quarrobury left. Mr. Quarrobury came. Then Quarrobury and Quarroburv rang 208-555-0178."
+    rows = [("a", text), ("a", text), ("b", "Quarrobury came"), ("c", "nobody"), (None, "Quarrobury"), ("d", None)]
+    df = spark.createDataFrame(rows, "record_id string, text string")
+    key = b"0123456789abcdef"
+    first = sorted(map(tuple, pii.items(df).collect())), sorted(map(str, pii.masked(df, key).collect()))
+    monkeypatch.setattr(pii, "MOST_SURNAMES", 0)
+    assert first == (sorted(map(tuple, pii.items(df).collect())), sorted(map(str, pii.masked(df, key).collect()))) and len(first[0]) == 6
+
+
+def test_names_reach_as_far_as_they_do():
+    long = " ".join(["Edward"] * 40)
+    assert pii.find(f"by {long} Thorlegard.", SURNAMES) == [(3, 3 + len(long) + 11, "name")]
+
+
+@pytest.mark.parametrize("number, code", [("+1 208 555 0178", "+1"), ("+44 1632 960117", "+44"), ("+12085550178", "+1"), ("1-406-555-0199", "1"), ("208-555-0178", ""), ("+4930123456", "+49")])
+def test_the_country_code_stays(number, code):
+    assert pii.country_code(number) == code and pii.placeholder("phone", number, b"k")[7:].startswith(code)
 
 
 @pytest.mark.parametrize("text, shape", [
