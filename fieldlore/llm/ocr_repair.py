@@ -2,10 +2,15 @@
 
 The corpus' own words, with their frequencies, are the lexicon. Rare forms meet frequent words through a
 symmetric-delete index (both sides with one character deleted, after letters that look like two are written as one);
-a weighted edit distance in which pairs of characters that scans confuse are cheap rates the candidates, and of
-candidates that rate alike the neighbours decide (counts of the bigrams with the word before and after). A form is
-misread if a word near it is many times as frequent, and the form no more frequent than its confusion is elsewhere. Words broken at a line end are joined if the joined word is known
-more often than the hyphenated one.
+a weighted edit distance in which pairs of characters that scans confuse are cheap rates the candidates. A form is
+misread if a word near it is many times as frequent, and the form no more frequent than its confusion is elsewhere.
+Then the neighbours decide, by the counts of the bigrams with the word before and after: which of the candidates that
+rate alike is meant, and whether a form that is met more than once is a word of its own where it stands. Words broken
+at a line end are joined if the joined word is known more often than the hyphenated one.
+
+One pass over the pages counts the pairs of neighbouring words; the frequencies of words are sums of these. A lexicon
+within MOST_WORDS entries goes to every worker; beyond it each document meets only its own words and neighbours in
+shuffled joins, with the same result.
 
 Defined results: null, empty and blank pages have no lines; pages given twice are repaired once; a page without a document
 record is repaired without a title; lines are counted from 1; a document is read in the order of its page numbers
@@ -50,22 +55,27 @@ def core(token: str) -> str:
     return token.strip(PUNCTUATION).lower()
 
 
-def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    tokens: Counter = Counter()
+@functools.lru_cache(REMEMBERED)
+def counted(token: str) -> str:
+    """The word of a token if the lexicon counts it, else nothing."""
+    w = core(token)
+    return w if 1 < len(w) < 40 and any(c.isalpha() for c in w) and not MAIL.search(token) else ""
 
-    def out() -> pd.DataFrame:
-        words: Counter = Counter()
-        for t, n in tokens.items():
-            w = core(t)
-            if len(w) > 1 and len(w) < 40 and any(c.isalpha() for c in w) and not MAIL.search(t):
-                words[w] += n
-        tokens.clear()
-        return pd.DataFrame(words.items(), columns=["word", "n"])
 
-    for b in batches:
-        for t in b["raw_ocr_text"]:
-            tokens.update(JOINED.sub("", t).split())
-        if len(tokens) > REMEMBERED:
+def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """a, b, n of words that follow each other on a page; the last one is followed by nothing."""
+    pairs: Counter = Counter()
+
+    def out() -> pd.DataFrame:
+        rows = [(a, b, n) for (a, b), n in pairs.items() if a]
+        pairs.clear()
+        return pd.DataFrame(rows, columns=["a", "b", "n"])
+
+    for batch in batches:
+        for t in batch["raw_ocr_text"]:
+            words = [counted(x) for x in JOINED.sub("", t).split()]
+            pairs.update(zip(words, [*words[1:], ""]))
+        if len(pairs) > 3 * REMEMBERED:
             yield out()
     yield out()
 
@@ -160,28 +170,18 @@ def _rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b
 
 
-def _bigrams(wanted):
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs: Counter = Counter()
-        for b in batches:
-            for t in b["raw_ocr_text"]:
-                words = [core(x) for x in JOINED.sub("", t).split()]
-                pairs.update((a, c) for a, c in zip(words, words[1:]) if a in wanted.value or c in wanted.value)
-            if len(pairs) > REMEMBERED:
-                yield pd.DataFrame([(a, c, n) for (a, c), n in pairs.items()], columns=["a", "b", "n"])
-                pairs.clear()
-        yield pd.DataFrame([(a, c, n) for (a, c), n in pairs.items()], columns=["a", "b", "n"])
-
-    return kernel
+def pairs(pages: DataFrame) -> DataFrame:
+    """a, b, n: how often word b follows word a in the corpus ('' behind the last word of a page or before what is no word)."""
+    return pages.select("raw_ocr_text").mapInPandas(_pairs, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def lexicon(pages: DataFrame) -> DataFrame:
+def lexicon(counted_pairs: DataFrame) -> DataFrame:
     """word and n of every word of the corpus."""
-    return pages.select("raw_ocr_text").mapInPandas(_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return counted_pairs.groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("n"))
 
 
 def candidates(words: DataFrame) -> DataFrame:
-    """form, word, cost, n: for every rare form the frequent words that it may be misread from."""
+    """form, m, word, cost, n: for every rare form, met m times, the words, met n times, that it may be misread from."""
     from fieldlore.session import cut
 
     long, schema = words.where("length(word) > 2"), "word string, n bigint, key string"
@@ -191,21 +191,54 @@ def candidates(words: DataFrame) -> DataFrame:
     rated = cut(met.mapInPandas(_rate, "form string, m bigint, word string, n bigint, cost double, pair string"))
     # a word of its own ('tell' beside 'fell') is more frequent than the confusion makes its likes
     rates = rated.where((F.length("form") >= LONG) & (F.col("pair") != "") & (F.col("n") >= 50)).groupBy("pair").agg((F.sum("m") / F.sum("n")).alias("rate"))
-    return rated.join(F.broadcast(rates), "pair", "left").where(F.col("m") <= SLACK * F.coalesce("rate", F.lit(RARE)) * F.col("n") + MORE).select("form", "word", "n", "cost")
+    return rated.join(F.broadcast(rates), "pair", "left").where(F.col("m") <= SLACK * F.coalesce("rate", F.lit(RARE)) * F.col("n") + MORE).select("form", "m", "word", "n", "cost")
+
+
+def corrections(rated: DataFrame) -> DataFrame:
+    """form, m, words: for each form the words of the least cost, the more frequent first."""
+    order = Window.partitionBy("form").orderBy("cost", F.desc("n"), "word")
+    ranked = rated.withColumn("rank", F.row_number().over(order)).withColumn("least", F.min("cost").over(Window.partitionBy("form"))).where(F.col("cost") <= F.col("least") + 0.05)
+    return ranked.groupBy("form", "m").agg(F.array_sort(F.collect_list(F.struct("rank", "word")))["word"].alias("words"))
+
+
+def neighbours(fixes: DataFrame, counted_pairs: DataFrame) -> DataFrame:
+    """form, side, other, words: for forms that the neighbours decide on (met more than once, or with several corrections)
+    how often each correction, and the form itself besides, stands beside each of the form's own neighbours."""
+    open_ = fixes.where("m > 1 OR size(words) > 1").select("form", "words")
+    beside = counted_pairs.where("b <> ''")
+    sides = lambda df, word, n: df.select(F.col("a").alias(word), F.lit(1).alias("side"), F.col("b").alias("other"), F.col("n").alias(n)).unionByName(df.select(F.col("b").alias(word), F.lit(0).alias("side"), F.col("a").alias("other"), F.col("n").alias(n)))
+    own = sides(beside, "form", "own").join(open_, "form")
+    wanted = own.select("form", "side", "other", F.explode("words").alias("word"))
+    # a frequent word has many neighbours, but only those that a form has too are asked for
+    met = wanted.join(sides(beside, "word", "n"), ["word", "side", "other"]).select("form", "side", "other", "word", "n")
+    # the form's own count is one less: what is judged gives no evidence for itself
+    return met.unionByName(own.where("own > 1").select("form", "side", "other", F.col("form").alias("word"), (F.col("own") - 1).alias("n")))
+
+
+def marked(token: str) -> bool:
+    """Whether a token has a mark that no word has."""
+    return any(c in STRAY for c in token) or IN_WORD.search(token) is not None
 
 
 class Lexicon:
-    """What a worker knows: corrections by form, ambiguous ones with their rivals, counts of words, bigrams."""
+    """What a worker knows: corrections by form, counts of words, and bigrams (form, side, other, word) of forms that
+    neighbours decide on."""
 
     def __init__(self, fixes: dict, counts: dict, bigrams: dict):
         self.fixes, self.counts, self.bigrams, self.judged = fixes, counts, bigrams, {}
+        self.contested = {k[0] for k in bigrams}
+
+    def near(self, form: str, word: str, before: str, after: str) -> int:
+        return self.bigrams.get((form, 0, before, word), 0) + self.bigrams.get((form, 1, after, word), 0)
 
     def repair(self, form: str, before: str = "", after: str = "") -> str | None:
+        """The word that a form is misread from, or None if it is a word of its own there."""
         found = self.fixes.get(form)
-        if found is None or len(found) == 1:
+        if found is None or form not in self.contested:
             return found and found[0]
-        near = lambda w: self.bigrams.get((before, w), 0) + self.bigrams.get((w, after), 0)
-        return max(found, key=lambda w: (near(w), -found.index(w)))
+        best = found[0] if len(found) == 1 else max(found, key=lambda w: (self.near(form, w, before, after), -found.index(w)))
+        own = self.near(form, form, before, after)
+        return None if own and own > self.near(form, best, before, after) else best
 
     def misread(self, token: str) -> bool:
         if (known := self.judged.get(token)) is None:
@@ -217,9 +250,7 @@ class Lexicon:
     def _misread(self, token: str) -> bool:
         if MAIL.search(token):
             return False
-        if any(c in STRAY for c in token):
-            return True
-        if IN_WORD.search(token):
+        if marked(token):
             return True
         w = core(token)
         if not w:
@@ -322,22 +353,23 @@ def document(pages: list[tuple[str, str]], title: str | None, lex: Lexicon, text
                     tail_part[j] = -1
                     head_part[i] = ""
                 break
-    judged, judge = lex.judged, lex.misread
+    judged, judge, contested = lex.judged, lex.misread, lex.contested
     for i in at:
         if i in bad:
             continue
         words = words_of[i]
         first, last = int(tail_part.get(i, -1) >= 0), len(words) - bool(head_part.get(i))
-        for w in words[first:last]:
+        for k in range(first, last):
+            w = words[k]
             if (known := judged.get(w)) is None:
                 known = judge(w)
-            if known:
+            if known and ((own := core(w)) not in contested or own not in lex.fixes or marked(w) or lex.repair(own, counted(words[k - 1]) if k else "", counted(words[k + 1]) if k + 1 < len(words) else "")):
                 bad.add(i)
                 break
         else:
             # of the parts of a broken word only what no letter can be tells
             for w in (*words[:first], *words[last:]):
-                if any(c in STRAY for c in w) or IN_WORD.search(w):
+                if marked(w):
                     bad.add(i)
                     break
     found += [(flow[i][0], flow[i][1], "misread") for i in bad]
@@ -358,7 +390,7 @@ def _paragraphs(flow, at, words_of, head_part, tail_part, lex: Lexicon) -> list[
         for k, w in enumerate(words):
             own = core(w)
             if own in lex.fixes:
-                good = lex.repair(own, core(words[k - 1]) if k else "", core(words[k + 1]) if k + 1 < len(words) else "")
+                good = lex.repair(own, counted(words[k - 1]) if k else "", counted(words[k + 1]) if k + 1 < len(words) else "") or own
                 a = w.lower().find(own)
                 shown = w[a : a + len(own)]
                 w = w[:a] + (good.upper() if shown.isupper() and len(shown) > 1 else good.capitalize() if shown[:1].isupper() else good) + w[a + len(own) :]
@@ -378,10 +410,11 @@ def _paragraphs(flow, at, words_of, head_part, tail_part, lex: Lexicon) -> list[
     return out
 
 
-def _repair(shared, text: bool):
+def _repair(lexicon_of, text: bool):
+    """lexicon_of(batch): the lexicon of each row."""
+
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex = Lexicon(*shared.value)
-        doc, title, held = None, None, []
+        doc, title, lex, held = None, None, None, []
 
         def flush() -> list:
             if not held:
@@ -392,10 +425,10 @@ def _repair(shared, text: bool):
         columns = ["doc_id", "paragraph_no", "text"] if text else ["page_id", "line_no", "kind"]
         for b in batches:
             rows = []
-            for d, p, name, t in zip(b["doc_id"], b["page_id"], b["title"], b["raw_ocr_text"]):
+            for d, p, name, t, known in zip(b["doc_id"], b["page_id"], b["title"], b["raw_ocr_text"], lexicon_of(b)):
                 if d != doc:
                     rows += flush()
-                    doc, title, held = d, name if isinstance(name, str) else None, []
+                    doc, title, lex, held = d, name if isinstance(name, str) else None, known(), []
                 if not held or held[-1][0] != p:
                     held.append((p, t))
             yield pd.DataFrame(rows, columns=columns)
@@ -404,56 +437,122 @@ def _repair(shared, text: bool):
     return kernel
 
 
-#: Entries of the worker's tables; a lexicon beyond it is cut to the words that forms and joins can meet by raising LEAST.
+#: Entries of the tables that every worker holds; beyond it documents meet their own words in joins.
 MOST_WORDS = 2_000_000
 
 
-def held(pairs: DataFrame, most: int = MOST_WORDS) -> dict[tuple[str, str], int]:
-    """All counted bigrams (a, b, n), or an error if they are too many for a worker."""
-    out = {(r.a, r.b): r.n for r in pairs.limit(most + 1).toLocalIterator()}
-    if len(out) > most:
-        raise MemoryError(f"more than {most} bigrams of ambiguous words; repair the corpus by source or language")
-    return out
+def asked(pages: list[str]) -> tuple[set[str], set[tuple[str, int, str]]]:
+    """All words that ``document`` may look up for these pages, and all (form, side, other) of their neighbours."""
+    words, beside = set(), set()
+    rows = [x.split() for t in pages for x in t.split("\n")]
+    rows = [r for r in rows if r]
+    for r in rows:
+        own = [core(w) for w in r]
+        known = [counted(w) for w in r]
+        for k, w in enumerate(own):
+            words.update((w, w.translate(AS_LETTERS), w.replace("1", "i").translate(AS_LETTERS), *re.split(r"[-'’]", w)))
+            beside.add((w, 0, known[k - 1] if k else ""))
+            beside.add((w, 1, known[k + 1] if k + 1 < len(r) else ""))
+    for n, r in enumerate(rows):
+        if len(r[-1]) > 1 and r[-1][-1] in HYPHENS:
+            left = core(r[-1])
+            # furniture between the parts is skipped: a line has two lines of it at most at each end of a page
+            for s in rows[n + 1 : n + 9]:
+                right = core(s[0])
+                words.update((left + right, left + "-" + right, left.split("-")[-1], right, (left + right).translate(AS_LETTERS), (left + right).replace("1", "i").translate(AS_LETTERS), *re.split(r"[-'’]", left + right)))
+    return words, beside
+
+
+def _asked(words: bool):
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doc, held = None, []
+
+        def flush() -> list:
+            if not held:
+                return []
+            found = asked(held)[0 if words else 1]
+            return [(doc, w) for w in found if w] if words else [(doc, *x) for x in found if x[2]]
 
+        columns = ["doc_id", "word"] if words else ["doc_id", "form", "side", "other"]
+        for b in batches:
+            rows = []
+            for d, t in zip(b["doc_id"], b["raw_ocr_text"]):
+                if d != doc:
+                    rows += flush()
+                    doc, held = d, []
+                held.append(t)
+            yield pd.DataFrame(rows, columns=columns)
+        yield pd.DataFrame(flush(), columns=columns)
 
-def _shared(pages: DataFrame):
-    """Broadcast of corrections, counts and bigrams, whose size is checked."""
+    return kernel
+
+
+def _repaired(pages: DataFrame, records: DataFrame, text: bool, schema: str) -> DataFrame:
     from fieldlore.session import cut
 
-    words = cut(lexicon(pages))
-    rated = candidates(words)
-    order = Window.partitionBy("form").orderBy("cost", F.desc("n"), "word")
-    best = cut(rated.withColumn("rank", F.row_number().over(order)).withColumn("least", F.min("cost").over(Window.partitionBy("form"))).where(F.col("cost") <= F.col("least") + 0.05).groupBy("form").agg(F.array_sort(F.collect_list(F.struct("rank", "word")))["word"].alias("words")))
+    read = _read(pages)
+    ordered = _in_order(read, records)
+    followed = cut(pairs(read))
+    words = cut(lexicon(followed))
+    fixes = cut(corrections(candidates(words)))
+    beside = cut(neighbours(fixes, followed))
     used = words.where("n >= 2")
-    if used.count() + best.count() > MOST_WORDS:
-        raise MemoryError(f"the lexicon has more than {MOST_WORDS} words; repair the corpus by source or language")
-    fixes = {r.form: list(r.words) for r in best.toLocalIterator()}
-    counts = {r.word: r.n for r in used.toLocalIterator()}
-    rivals = frozenset(w for ws in fixes.values() if len(ws) > 1 for w in ws)
-    bigrams = {}
-    if rivals:
-        wanted = pages.sparkSession.sparkContext.broadcast(rivals)
-        pairs = pages.select("raw_ocr_text").mapInPandas(_bigrams(wanted), "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1")
-        bigrams = held(pairs)
-    return pages.sparkSession.sparkContext.broadcast((fixes, counts, bigrams))
+    if used.count() + fixes.count() + beside.count() <= MOST_WORDS:
+        every = pages.sparkSession.sparkContext.broadcast(({r.form: list(r.words) for r in fixes.toLocalIterator()}, {r.word: r.n for r in used.toLocalIterator()}, {(r.form, r.side, r.other, r.word): r.n for r in beside.toLocalIterator()}))
+
+        def shared(b: pd.DataFrame):
+            lex = _lexicon_of(every)
+            return [lambda: lex] * len(b)
+
+        return ordered.mapInPandas(_repair(shared, text), schema)
+    # each document with the words it may look up
+    known = used.select("word", "n").join(fixes.select(F.col("form").alias("word"), "words"), "word", "full")
+    of_words = ordered.mapInPandas(_asked(True), "doc_id string, word string").join(known, "word")
+    # a correction is counted as well as the form it corrects
+    corrected = of_words.where("words IS NOT NULL").select("doc_id", F.explode("words").alias("word")).distinct().join(used, "word").select("doc_id", "word", "n", F.lit(None).cast("array<string>").alias("words"))
+    own = of_words.select("doc_id", "word", "n", "words").unionByName(corrected).groupBy("doc_id").agg(F.collect_list(F.struct("word", "n", "words")).alias("known"))
+    of_sides = ordered.mapInPandas(_asked(False), "doc_id string, form string, side int, other string").join(beside, ["form", "side", "other"])
+    sides = of_sides.groupBy("doc_id").agg(F.collect_list(F.struct("form", "side", "other", "word", "n")).alias("beside"))
+    met = read.join(_titles(records), "doc_id", "left").join(own, "doc_id", "left").join(sides, "doc_id", "left").repartition("doc_id").sortWithinPartitions("doc_id", "page_number", "page_id")
+
+    def of_row(b: pd.DataFrame):
+        def build(known, sides):
+            known, sides = known if known is not None else (), sides if sides is not None else ()
+            return Lexicon({r["word"]: list(r["words"]) for r in known if r["words"] is not None}, {r["word"]: r["n"] for r in known if r["n"] is not None and r["n"] == r["n"]}, {(r["form"], r["side"], r["other"], r["word"]): r["n"] for r in sides})
+
+        return [functools.partial(build, k, s) for k, s in zip(b["known"], b["beside"])]
+
+    return met.mapInPandas(_repair(of_row, text), schema)
+
+
+_built: list = []
+
+
+def _lexicon_of(shared) -> Lexicon:
+    """The lexicon of a broadcast, built once by a worker."""
+    value = shared.value
+    if not _built or _built[0] is not value:
+        _built[:] = [value, Lexicon(*value)]
+    return _built[1]
 
 
 def _read(pages: DataFrame) -> DataFrame:
     return pages.where("raw_ocr_text IS NOT NULL AND trim(raw_ocr_text) <> '' AND page_id IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "page_id", "page_number", "raw_ocr_text")
 
 
+def _titles(records: DataFrame) -> DataFrame:
+    return records.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("title").alias("title"))
+
+
 def _in_order(read: DataFrame, records: DataFrame) -> DataFrame:
-    titles = records.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("title").alias("title"))
-    return read.join(titles, "doc_id", "left").repartition("doc_id").sortWithinPartitions("doc_id", "page_number", "page_id")
+    return read.join(_titles(records), "doc_id", "left").repartition("doc_id").sortWithinPartitions("doc_id", "page_number", "page_id")
 
 
 def defects(pages: DataFrame, records: DataFrame) -> DataFrame:
     """page_id, line_no, kind (furniture, split, misread)."""
-    read = _read(pages)
-    return _in_order(read, records).mapInPandas(_repair(_shared(read), False), "page_id string, line_no int, kind string")
+    return _repaired(pages, records, False, "page_id string, line_no int, kind string")
 
 
 def paragraphs(pages: DataFrame, records: DataFrame) -> DataFrame:
     """doc_id, paragraph_no, text of the repaired documents."""
-    read = _read(pages)
-    return _in_order(read, records).mapInPandas(_repair(_shared(read), True), "doc_id string, paragraph_no int, text string")
+    return _repaired(pages, records, True, "doc_id string, paragraph_no int, text string")

@@ -59,11 +59,30 @@ def test_empty(spark):
     assert o.defects(spark.createDataFrame([], PAGE), spark.createDataFrame([], RECORD)).count() == 0
 
 
-def test_bigrams_are_all_held_or_none(spark):
-    pairs = spark.createDataFrame([("a", "b", 2), ("b", "c", 3), ("c", "d", 4)], "a string, b string, n int")
-    assert o.held(pairs, 3) == {("a", "b"): 2, ("b", "c"): 3, ("c", "d"): 4}
-    with pytest.raises(MemoryError):
-        o.held(pairs, 2)
+def test_pairs_hold_the_counts_of_words(spark):
+    df = spark.createDataFrame([("p", "d", 1, "the marsh the mar-\nsh a.b@mail.test 12 the", None)], PAGE)
+    pairs = o.pairs(df)
+    assert {(r.a, r.b): r.n for r in pairs.collect()} == {("the", "marsh"): 2, ("marsh", "the"): 1, ("marsh", ""): 1, ("the", ""): 1}
+    assert {r.word: r.n for r in o.lexicon(pairs).collect()} == {"the": 3, "marsh": 2}
+
+
+def test_a_lexicon_too_large_for_a_worker_gives_the_same(spark, monkeypatch):
+    body = [(f"b{i}", f"body{i}", 1, CLEAN, "clash") for i in range(30)]
+    one = "FIRES AT HOLLIN, MAY 1931 -- page 1\n\nThe patrol left the lovver marsh and the wat-\ner gauge stood at seven * feet.\n\nWith the short-\neared owls counted un¬\ndcr the tower bef0re\n\n- 1 -"
+    df = spark.createDataFrame([*body, ("p1", "d", 1, one, None), ("p2", "d", 2, "Fires at Hollin, May 1931   2\noctober the patr0l left the lovver marsh", None), ("p3", "e", 1, "thc patrol", None)], PAGE)
+    rec = spark.createDataFrame([("d", "Fires at Hollin, May 1931", 1)], RECORD)
+    first = sorted(map(tuple, o.defects(df, rec).collect())), sorted(map(tuple, o.paragraphs(df, rec).collect()))
+    monkeypatch.setattr(o, "MOST_WORDS", 0)
+    assert first == (sorted(map(tuple, o.defects(df, rec).collect())), sorted(map(tuple, o.paragraphs(df, rec).collect())))
+    assert len(first[0]) > 6
+
+
+def test_neighbours_tell_a_word_of_its_own_from_a_misread_one(spark):
+    """'aud' stands for 'and' between two words that 'and' often joins, and for itself before 'plain'."""
+    pages = [(f"b{i}", f"body{i}", 1, "marsh and water stood and fell", None) for i in range(60)]
+    pages += [(f"c{i}", f"c{i}", 1, "the aud plain", None) for i in range(2)] + [("p", "p", 1, "marsh aud water", None)]
+    got = {(r.page_id, r.kind) for r in o.defects(spark.createDataFrame(pages, PAGE), spark.createDataFrame([], RECORD)).collect()}
+    assert got == {("p", "misread")}
 
 
 def test_the_sixth_of_equally_cheap_words_can_be_chosen(spark):
