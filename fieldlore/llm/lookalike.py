@@ -1,14 +1,17 @@
 """One consistent form of texts that look the same.
 
-Words of the corpus are counted. Their spellings go into tries, and each spelling walks a trie with a weighted edit
-automaton in which look-alike letters replace each other and ignorable characters come and go at no cost; the most
-frequent spelling it reaches is the canonical one. Words without another spelling are normalized by table: compatible
-forms (full width, ligatures, letters of mathematics, presentation forms) unfold, spaces become the plain space,
-ignorable characters vanish, accents are composed, and a word that mixes Latin with look-alikes of one other script
-is written in the script it mostly has.
-
-Tries are cut by a hash of the folded word, so that every spelling a walk can reach lies in the same trie and no task
-holds the whole vocabulary. Only words with another spelling are joined back to the documents.
+Words of the corpus are counted. Their spellings go into tries, and each odd spelling (one that its table form or its
+fold differs from) walks a trie with a weighted edit automaton in which look-alike letters replace each other and
+ignorable characters come and go at no cost; of the spellings it reaches the most frequent is the canonical one for
+all of them. Words without another spelling are normalized by table: compatible forms (full width, ligatures, letters
+of mathematics, presentation forms) unfold, spaces become the plain space, ignorable characters vanish, accents are
+composed, and a word that mixes Latin with look-alikes of one other script is written in the script it mostly has.
+
+The vocabulary is cut into tries by the first folded characters, which no step at no cost changes; prefixes are spread
+over as many tasks as the counted vocabulary asks for, a prefix with too many words is cut further by a hash of the
+fold, and prefixes without an odd word are left out. Nothing else of the fold is used: which words belong together is
+found by the walk. What an edit at no cost can reach has an equal fold, so the tests use the fold as the brute form.
+Only words with another spelling go back to the documents.
 
 Defined results: null text stays null and is in no pair; a text without any visible character looks like no other
 text; equal strings are no pair; line ends CR LF and LF look the same; letter case, quotation marks, dashes of other
@@ -36,11 +39,11 @@ LOOKS = {
 TO_LATIN = {other: latin for latin, others in LOOKS.items() for other in others}
 #: Characters that show nothing (fixed values): soft hyphen, joiners, marks of direction, word joiner, byte order mark, variation selectors.
 IGNORABLE = frozenset(map(chr, (0xAD, 0x34F, 0x61C, 0x180E, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xFEFF, *range(0xFE00, 0xFE10))))
-TRIES = 256
-#: Longer words meet by their fold, which is equal where a walk at no cost ends.
+#: Folded characters by which tries are cut, and words of a trie's task.
+PREFIX, TRIE_WORDS = 3, 50_000
+#: Longer words (whole texts without a blank) meet by their fold, which is equal where a walk at no cost ends: the exact way for them without a path of nodes as long as a text.
 LONGEST = 512
-PLAIN = re.compile(r"[\x20-\x7e\n\t]*")
-WORD = re.compile(r"\S+")
+WORD, ODD = re.compile(r"\S+"), re.compile(r"[^\x00-\x7f]+")
 
 
 @functools.cache
@@ -135,54 +138,89 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
         for t in b["text"]:
             if isinstance(t, str):
-                counts.update(WORD.findall(t))
+                counts.update(t.split())
         words = list(counts)
         folds = [folded(w) for w in words]
-        yield pd.DataFrame({"word": words, "fold": folds, "n": [counts[w] for w in words]}).query("fold != ''")
-
-
-def respelled(documents: DataFrame, tries: int = TRIES) -> DataFrame:
-    """word and canonical for every word of the corpus whose canonical spelling is not the one the table gives."""
-    counted = documents.select("text").mapInPandas(_words, "word string, fold string, n bigint")
-    vocabulary = counted.groupBy("fold", "word").agg(F.sum("n").alias("n"))
-    # a fold with one spelling has no other form, so its word needs no walk
-    several = vocabulary.groupBy("fold").agg(F.count("word").alias("spellings")).where("spellings > 1").select("fold")
-    ambiguous = vocabulary.join(several, "fold", "left_semi").withColumn("trie", F.pmod(F.xxhash64("fold"), F.lit(tries)))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        trie, long = Trie(), {}
-        for word, fold, n in zip(pdf["word"], pdf["fold"], pdf["n"]):
+        odd = [not w.isascii() and (w != f or w != by_table(w)) for w, f in zip(words, folds)]
+        yield pd.DataFrame({"word": words, "fold": folds, "odd": odd, "n": [counts[w] for w in words]}).query("fold != ''")
+
+
+def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
+    """word and canonical of the words of one task, trie by trie, whose canonical spelling is not the one the table gives."""
+    rows = []
+    for _, own in pdf.groupby("prefix", sort=False):
+        if not own["odd"].any():
+            continue
+        trie, long, words = Trie(), {}, list(zip(own["word"], own["fold"], own["n"], own["odd"]))
+        for word, fold, n, _ in words:
             if len(fold) > LONGEST:
-                # a whole text without a blank: a path of its own per character would take more than the text is worth
                 long.setdefault(fold, []).append((word, int(n)))
             else:
                 trie.add(word, int(n))
-        rows = []
-        for word, fold in zip(pdf["word"], pdf["fold"]):
-            best = canonical(long[fold] if fold in long else trie.alike(word))
-            if best != by_table(word):
-                rows.append((word, best))
-        return pd.DataFrame(rows, columns=["word", "canonical"])
+        done: set[str] = set()
+        for word, fold, _, odd in words:
+            if odd and word not in done:
+                found = long[fold] if len(fold) > LONGEST else trie.alike(word)
+                best = canonical(found)
+                # all that the walk meets belongs together
+                for other, _ in found:
+                    if other not in done and best != by_table(other):
+                        rows.append((other, best))
+                    done.add(other)
+    return pd.DataFrame(rows, columns=["word", "canonical"])
+
+
+def respelled(documents: DataFrame, size: int | None = None) -> DataFrame:
+    """word and canonical for every word of the corpus whose canonical spelling is not the one the table gives."""
+    from fieldlore.session import cut
+
+    size = size or TRIE_WORDS
+    counted = documents.select("text").mapInPandas(_words, "word string, fold string, odd boolean, n bigint")
+    vocabulary = cut(counted.groupBy("word").agg(F.sum("n").alias("n"), F.first("fold").alias("fold"), F.first("odd").alias("odd")).withColumn("prefix", F.substring("fold", 1, PREFIX)))
+    by = vocabulary.groupBy("prefix").agg(F.count("word").alias("words"), F.max("odd").alias("any_odd")).where("any_odd")
+    live = cut(vocabulary.join(by.select("prefix", "words"), "prefix"))
+    # a prefix too large for one trie is cut by the fold, which the words of a walk share
+    parts = F.ceil(F.col("words") / size)
+    keyed = live.withColumn("prefix", F.when(parts > 1, F.concat_ws("/", "prefix", F.pmod(F.xxhash64("fold"), parts))).otherwise(F.col("prefix")))
+    spark = documents.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-live.count() // size))
+    spread = keyed.withColumn("task", F.pmod(F.xxhash64("prefix"), F.lit(tasks))).repartition(tasks, "task")
+    return spread.groupBy("task").applyInPandas(_walk, "word string, canonical string")
+
 
-    return ambiguous.groupBy("trie").applyInPandas(walk, "word string, canonical string")
+def spelled(word: str, words: dict[str, str]) -> str:
+    return words.get(word) or by_table(word)
 
 
-def consistent(text: str | None, words: dict[str, str]) -> str | None:
+def consistent(text: str | None, words: dict[str, str], plain: bool = True) -> str | None:
+    """A text in its consistent form; words has the respelled ones, plain tells whether any of these is ASCII."""
     if text is None:
         return None
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
-    if PLAIN.fullmatch(text) and not words:
+    if plain and words:
+        # a word in ASCII may have another canonical spelling: all words are looked at
+        text = WORD.sub(lambda m: words.get(m[0], m[0]) if m[0].isascii() else m[0], text)
+    if text.isascii():
         return text
-    spaces = "".join
     out, at = [], 0
-    for m in WORD.finditer(text):
-        out.append(spaces("" if c in IGNORABLE else unfold(c) for c in text[at : m.start()]))
-        w = m[0]
-        out.append(words.get(w) or by_table(w))
-        at = m.end()
-    out.append(spaces("" if c in IGNORABLE else unfold(c) for c in text[at:]))
-    return "".join(out)
+    for m in ODD.finditer(text):
+        if m.end() <= at:
+            continue
+        # the words (or blanks) around what is not ASCII
+        a, b = max(m.start(), at), m.end()
+        while a > at and not text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and not text[b].isspace():
+            b += 1
+        out.append(text[at:a])
+        last = a
+        for w in WORD.finditer(text, a, b):
+            out += ["".join("" if c in IGNORABLE else unfold(c) for c in text[last : w.start()]), spelled(w[0], words)]
+            last = w.end()
+        out.append("".join("" if c in IGNORABLE else unfold(c) for c in text[last:b]))
+        at = b
+    return "".join([*out, text[at:]])
 
 
 def _odd(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,18 +237,19 @@ def _odd(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def normalized(documents: DataFrame) -> DataFrame:
     """doc_id, text and canonical (the consistent form) of every row; doc_id is unique."""
-    from fieldlore.session import BROADCAST_ROWS, cut
+    from fieldlore import session
 
-    table = cut(respelled(documents))
+    table = session.cut(respelled(documents))
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, text string, canonical string"
     rows = documents.select("doc_id", "text")
-    if table.count() <= BROADCAST_ROWS:
-        words = documents.sparkSession.sparkContext.broadcast({r.word: r.canonical for r in table.toLocalIterator()})
+    if table.count() <= session.BROADCAST_ROWS:
+        every = {r.word: r.canonical for r in table.toLocalIterator()}
+        words, plain = documents.sparkSession.sparkContext.broadcast(every), any(w.isascii() for w in every)
 
         def by_dictionary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                yield pd.DataFrame({"doc_id": b["doc_id"], "text": b["text"], "canonical": [consistent(t, words.value) if isinstance(t, str) else None for t in b["text"]]})
+                yield pd.DataFrame({"doc_id": b["doc_id"], "text": b["text"], "canonical": [consistent(t, words.value, plain) if isinstance(t, str) else None for t in b["text"]]})
 
         return rows.mapInPandas(by_dictionary, schema)
     # the table is large: each document meets only its own words

@@ -31,6 +31,29 @@ def test_canonical_is_the_most_frequent_spelling(spark):
     assert out[3] == "озеро" and out[4] == "cop cop cop"
 
 
+def test_consistent_is_the_word_by_word_form():
+    import random
+
+    rng = random.Random(5)
+    parts = ["vіsité", "\u2007", "le", " ", "bajó", "\u202f", "2,33", "\n", "\u200b", "cop", "сор", "\u3000", "a\u00adb", "ﬁre", "\t"]
+    # canonical spellings are what the table makes of a word
+    for plain, known in ((True, {"cop": "сор"}), (False, {"сор": "cop"})):
+        for _ in range(500):
+            text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))
+            want, at = [], 0
+            for m in lookalike.WORD.finditer(text):
+                want += ["".join("" if c in lookalike.IGNORABLE else lookalike.unfold(c) for c in text[at : m.start()]), lookalike.spelled(m[0], known)]
+                at = m.end()
+            want.append("".join("" if c in lookalike.IGNORABLE else lookalike.unfold(c) for c in text[at:]))
+            assert lookalike.consistent(text, known, plain) == "".join(want)
+
+
+def test_prefixes_are_cut_at_any_size(spark):
+    df = frame(spark, [t for t in TEXTS if t])
+    first = {tuple(r) for r in lookalike.respelled(df).collect()}
+    assert first == {tuple(r) for r in lookalike.respelled(df, size=1).collect()} and first
+
+
 def test_trie_walks_at_no_cost():
     trie = lookalike.Trie()
     for w in ("Ossery", "Os​sery", "Оssеry", "Osseri"):
