@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import re
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side is broadcast only when it was counted and has at most this many rows.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only when it was counted and has at most this many rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 _shipped: set[str] = set()
@@ -37,11 +42,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of our own only where none is set (tests)."""
+    """The shared folder of the cluster; a folder of our own only where none is set and all runs in one machine (tests),
+    which goes when the driver ends."""
     sc = spark.sparkContext
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told is None and sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         told = tempfile.mkdtemp(prefix="fieldlore-checkpoint-")
+        atexit.register(shutil.rmtree, told, ignore_errors=True)
         sc.setCheckpointDir(told)
     elif told is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(told)
@@ -54,9 +63,38 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_or_plain(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its counted size is within the limit, else as it is."""
-    return F.broadcast(df) if df.count() <= limit else df
+def _bytes(kind: T.DataType, c: Column) -> Column:
+    """Bytes of a value, by its type and, of strings and arrays, by its length."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        own = F.aggregate(F.coalesce(c, F.array().cast(kind)), F.lit(0).cast("bigint"), lambda n, x: n + F.octet_length(x) + 16) if isinstance(kind.elementType, T.StringType) else 16 * F.coalesce(F.size(c), F.lit(0))
+        return own + 24
+    if isinstance(kind, T.StructType):
+        return functools.reduce(lambda a, b: a + b, [_bytes(f.dataType, c[f.name]) for f in kind], F.lit(16))
+    return F.lit(16)
+
+
+def small_or_plain(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its rows and bytes, counted both, are within the limits, else as it is."""
+    size = functools.reduce(lambda a, b: a + b, [_bytes(f.dataType, F.col(f"`{f.name}`")) for f in df.schema], F.lit(0))
+    rows, bytes_ = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= limit and bytes_ <= most else df
+
+
+#: Parts into which a hot key is spread.
+SALTS = 32
+
+
+def salted(left: DataFrame, right: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Inner join of a side with hot keys (left) and a lookup side (right): broadcast if the lookup is small; else the left
+    rows of a key are spread by their hash over SALTS parts, each of which gets the key's lookup rows."""
+    hinted = small_or_plain(right, limit)
+    if hinted is not right:
+        return left.join(hinted, key)
+    a = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int"))
+    b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return a.join(b, [key, "_salt"]).drop("_salt")
 
 
 def build_session(app: str = "fieldlore", cores: str | None = None) -> SparkSession:
