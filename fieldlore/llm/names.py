@@ -1,8 +1,9 @@
 """Links between the spellings of the names of people and organisations.
 
 Distinct spellings are blocked by token suffixes: every suffix above a minimum length, of the token and of its mirror
-image, is a key. A key that too many names of the vocabulary share is first refined with the initial of another token
-and discarded only if it is still too common. The candidates of a spelling are compared by the ratio of the longest
+image, is a key; tokens too short for that are keys whole, and those near that length without any one letter too. A
+key that too many names of the vocabulary share is refined, first with the initial of another token, then with the
+first letters of one, and discarded only if it is still too common. The candidates of a spelling are compared by the ratio of the longest
 common subsequence: surnames, given names (with nicknames and initials) and middle initials of people, the words
 (with abbreviations, acronyms and changed order) of organisations. A spelling that fits two names of different
 people equally well is linked to neither.
@@ -22,8 +23,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAST_SUFFIX = 4
+LEAST_SUFFIX = 3
 LONGEST_SUFFIX = 8
+#: Tokens up to this length also meet by what is left of them without one letter.
+SHORT = 5
 #: More names than this on one key call for refining, or, after refining, for discarding.
 COMMON = 40
 SURNAME, GIVEN, WORD_RATIO = 0.82, 0.72, 0.74
@@ -135,7 +138,9 @@ def person_score(form: str, name: str) -> float:
     for surname, given in orders(form):
         for other, names in orders(name)[:1]:
             s = likeness(surname, other)
-            if s >= SURNAME and len(surname) > 2 and (g := given_score(given, names)):
+            # a surname of two letters counts as it is written, with a given name on both sides
+            sure = len(surname) > 2 if len(other) > 2 else len(other) == 2 and surname == other and given and names
+            if s >= SURNAME and sure and (g := given_score(given, names)):
                 best = max(best, 0.6 * s + 0.4 * g)
     return best
 
@@ -200,21 +205,31 @@ SCORES = {"Person": person_score, "Organization": organisation_score}
 
 
 def keys(text: str) -> set[tuple[str, str]]:
-    """(suffix, "") and, for refining, (suffix, initial of another token)."""
+    """(suffix, ""), and for refining (suffix, initial of another token) and (suffix, first letters of another token)."""
     tokens = set(words_of(text)) - SMALL_WORDS
     expanded = [(t, t) for t in tokens] + [(f, t) for t in tokens for f in formal().get(t, ()) if f != t]
     out = set()
     for token, source in expanded:
-        if len(token) < LEAST_SUFFIX:
+        if len(token) < 2:
             continue
-        rest = {t[0] for t in tokens if t != source} or {""}
+        others = [n for t in tokens if t != source for n in {t, *formal().get(t, ())}]
+        rest = {"+" + n[0] for n in others} | {"++" + n[:3] for n in others if len(n) > 2} or {"+"}
+        own = set()
+        if len(token) <= SHORT:
+            own.add("#" + token)
+            if len(token) > 3:
+                own.update("#" + token[:i] + token[i + 1 :] for i in range(len(token)))
         for way, mark in ((token, ""), (token[::-1], "<")):
-            for n in {*range(LEAST_SUFFIX, min(len(way), LONGEST_SUFFIX) + 1), len(way)}:
-                k = mark + way[-n:]
-                out.add((k, ""))
-                out.update((k, "+" + r) for r in rest)
+            if len(token) > LEAST_SUFFIX:
+                own.update(mark + way[-n:] for n in {*range(LEAST_SUFFIX, min(len(way), LONGEST_SUFFIX) + 1), len(way)})
+        for k in own:
+            out.add((k, ""))
+            out.update((k, r) for r in rest)
     for a in {is_acronym(text)} - {""} or acronyms(text):
         out.add(("=" + a, ""))
+    # a blank too many or too few inside a name
+    if len(whole := "".join(words_of(text))) > SHORT:
+        out.update({("|" + whole[:6], ""), ("|" + whole[-6:], "")})
     return out
 
 
@@ -249,31 +264,44 @@ def _decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["form", "entity_type", "name"])
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Distinct rows of a key over all tasks, however few bytes they have: what follows multiplies them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def kept_keys(keyed: DataFrame) -> DataFrame:
+    """suffix, extra, entity_type, name: the keys of the vocabulary that block. A suffix as such if at most COMMON names have
+    it, else refined by an initial, and where that is too common too by first letters."""
+    size = keyed.groupBy("suffix", "extra").agg(F.count("name").alias("names"))
+    level = F.when(F.col("extra") == "", 0).when(F.col("extra").startswith("++"), 2).otherwise(1)
+    rare = size.where(F.col("names") <= COMMON).withColumn("level", level)
+    common = size.where(F.col("names") > COMMON).select("suffix", (level + 1).alias("level")).distinct().unionByName(keyed.select("suffix", F.lit(0).alias("level")).distinct())
+    use = rare.join(common, ["suffix", "level"], "left_semi").select("suffix", "extra")
+    return keyed.join(use, ["suffix", "extra"], "left_semi").select("suffix", "extra", "entity_type", "name")
+
+
 def form_links(forms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """form, entity_type, name for every spelling (column form, distinct) and each name of the vocabulary it means."""
     from fieldlore.session import cut, small_or_plain
 
     names = vocabulary.select("entity_type", "name").distinct()
-    spelled = names.select("name").distinct().mapInPandas(_keyed("name"), "name string, suffix string, extra string")
-    keyed = cut(spelled.join(names, "name"))
-    size = keyed.groupBy("suffix", "extra").agg(F.count("name").alias("names"))
-    rare = size.where(F.col("names") <= COMMON)
-    plain_common = size.where((F.col("extra") == "") & (F.col("names") > COMMON)).select("suffix").withColumn("common", F.lit(True))
-    kept = keyed.join(rare, ["suffix", "extra"], "left_semi").join(plain_common, "suffix", "left").where("(extra = '') OR common").select("suffix", "extra", "entity_type", "name")
-    met = forms.mapInPandas(_keyed("form"), "form string, suffix string, extra string").join(small_or_plain(kept), ["suffix", "extra"])
-    candidates = met.select("form", "entity_type", "name").distinct().groupBy("form").agg(F.collect_list(F.struct("entity_type", "name")).alias("names"))
+    spelled = spread(names.select("name").distinct(), "name").mapInPandas(_keyed("name"), "name string, suffix string, extra string")
+    kept = cut(kept_keys(cut(spelled.join(names, "name"))))
+    met = spread(forms, "form").mapInPandas(_keyed("form"), "form string, suffix string, extra string").join(small_or_plain(kept), ["suffix", "extra"])
+    candidates = met.groupBy("form").agg(F.collect_set(F.struct("entity_type", "name")).alias("names"))
     return candidates.mapInPandas(_decide, "form string, entity_type string, name string")
 
 
 def link(mentions: DataFrame, entities: DataFrame, types: tuple[str, ...] = ("Person", "Organization")) -> DataFrame:
     """key_a, key_b: mention_id and name, or two names, of one person or organisation, whose strings differ."""
-    from fieldlore.session import cut, small_or_plain
+    from fieldlore.session import cut, salted
 
     vocabulary = entities.where(F.col("entity_type").isin(*types) & F.col("name").isNotNull() & (F.trim("name") != "")).select("entity_type", "name").distinct()
     shown = mentions.where("mention_id IS NOT NULL AND surface_form IS NOT NULL AND trim(surface_form) <> ''")
     forms = shown.select(F.col("surface_form").alias("form")).union(vocabulary.select("name")).distinct()
     linked = cut(form_links(forms, vocabulary).where("form <> name").select("form", "name").distinct())
     records = shown.select("mention_id", F.col("surface_form").alias("form")).distinct()
-    by_mention = records.join(small_or_plain(linked), "form").select(F.col("mention_id").alias("a"), F.col("name").alias("b"))
+    # one spelling may hold a large part of all mentions: beyond a broadcast its mentions are spread by their ids
+    by_mention = salted(records, linked, "form").select(F.col("mention_id").alias("a"), F.col("name").alias("b"))
     by_name = linked.join(vocabulary.select(F.col("name").alias("form")).distinct(), "form", "left_semi").select(F.col("form").alias("a"), F.col("name").alias("b"))
     return by_mention.union(by_name).select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b")).distinct()

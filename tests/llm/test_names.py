@@ -45,3 +45,35 @@ def test_empty(frames):
 @pytest.mark.parametrize("a, b, n", [("", "", 0), ("abc", "abc", 3), ("abcbdab", "bdcaba", 4), ("xay", "bac", 1)])
 def test_common_subsequence(a, b, n):
     assert names.common(a, b) == n
+
+
+SHORT_NAMES = ["Amy Lee", "Kim Ng", "Wu Li", "Frank Orr", "Ann Lees", "Tom Smith"]
+SHORT_FORMS = {"Lee, Amy": "Amy Lee", "A. Lee": "Amy Lee", "Ng, Kim": "Kim Ng", "K. Ng": "Kim Ng", "Li, Wu": "Wu Li", "F. Orr": "Frank Orr", "Orr, F.": "Frank Orr", "T. Smih": "Tom Smith", "T. Smitth": "Tom Smith", "Ng": None, "Jo Ng": None, "Lees, Ann": "Ann Lees"}
+
+
+def test_short_names_meet(spark):
+    mentions = spark.createDataFrame([(f"m{i}", f) for i, f in enumerate(SHORT_FORMS)], "mention_id string, surface_form string")
+    entities = spark.createDataFrame([("Person", n) for n in SHORT_NAMES], "entity_type string, name string")
+    got = {(r.key_a, r.key_b) for r in names.link(mentions, entities).collect()}
+    assert got == {tuple(sorted((f"m{i}", n))) for i, n in enumerate(SHORT_FORMS.values()) if n}
+
+
+def test_keys_lose_no_candidate():
+    """Whatever scores against a name shares a key with it, for one error anywhere in surnames of all lengths."""
+    import itertools
+
+    for n in range(3, 12):
+        surname = "abcdefghijkl"[:n]
+        for i, change in itertools.product(range(n), ("x", "")):
+            wrong = surname[:i] + change + surname[i + 1 :]
+            form, name = f"Q. {wrong.title()}", f"Quentin {surname.title()}"
+            if names.person_score(form, name):
+                assert names.keys(form) & names.keys(name), (form, name)
+
+
+def test_common_keys_are_refined(spark, monkeypatch):
+    monkeypatch.setattr(names, "COMMON", 1)
+    people = ["Edward Marsh", "Emil Marsh", "Walter Marsh", "Edwin Tarsh"]
+    df = spark.createDataFrame([("Walter Marhs",), ("Emil Mrsh",), ("W. Marsh",)], "form string")
+    vocabulary = spark.createDataFrame([("Person", n) for n in people], "entity_type string, name string")
+    assert {(r.form, r.name) for r in names.form_links(df, vocabulary).collect()} == {("Walter Marhs", "Walter Marsh"), ("Emil Mrsh", "Emil Marsh"), ("W. Marsh", "Walter Marsh")}
