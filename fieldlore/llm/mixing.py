@@ -32,15 +32,15 @@ ROUNDS = 200
 TOPICS = {"birds": r"\b(?:teals?|ducks?|swans?|geese|goose|coots?|herons?|nests?|brood|banded|bitterns?|pheasants?|mallards?|pintails?)\b", "water": r"\b(?:water|gauge|dike|rain|rainfall|snow|ice|flow|dam|level)\b", "land": r"\b(?:acres?|fence|hay|haying|grazing|burned|fire|seed|timber|posts?|ditch)\b", "people": r"\b(?:visitors|permit|letters?|office|members|association|club|school|observer)\b"}
 
 
-def measured(documents: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, source, language, topic and tokens of every row."""
+def measured(documents: DataFrame, path: str | None = None, topics: dict[str, str] = TOPICS) -> DataFrame:
+    """doc_id, source, language, topic and tokens of every row; topics are patterns of their words."""
     path = path or default_path()
     lang = F.lower(F.trim("lang"))
-    counts = [F.regexp_count(F.lower("text"), F.lit(p)).alias(t) for t, p in TOPICS.items()]
+    counts = [F.regexp_count(F.lower("text"), F.lit(p)).alias(t) for t, p in topics.items()]
     base = documents.select("doc_id", "source", F.when(lang.rlike("^[a-z]{2}$"), lang).otherwise("und").alias("language"), "text", *counts)
-    most = F.greatest(*TOPICS, F.lit(0))
+    most = F.greatest(*topics, F.lit(0), F.lit(0))
     topic = F.when(most.isNull() | (most == 0), "other")
-    for t in TOPICS:
+    for t in topics:
         topic = topic.when(F.col(t) == most, t)
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -54,13 +54,16 @@ def measured(documents: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def rake(cells: pd.DataFrame, targets: dict[str, float], caps: dict[str, float], rounds: int = ROUNDS) -> pd.DataFrame:
-    """cells (source, language, topic, tokens) with uses: the raked number of uses of each cell's documents."""
+    """cells (source, language, topic, tokens) with uses: the raked number of uses of each cell's documents. The frame's
+    attrs tell the rounds taken, whether they converged, and the largest distance of a marginal from its goal, as a share."""
     cells = cells.reset_index(drop=True)
     size = cells["tokens"].to_numpy(float)
     by = cells.groupby("source")["tokens"].sum()
     live = {s: targets[s] for s in by.index if targets.get(s, 0) > 0}
     if not live or not len(cells):
-        return cells.assign(uses=0.0)
+        out = cells.assign(uses=0.0)
+        out.attrs.update(rounds=0, converged=True, off={})
+        return out
     whole = sum(live.values())
     share = cells["source"].map(live).fillna(0.0).to_numpy() / whole
     cap = cells["source"].map(caps).fillna(0.0).to_numpy(float)
@@ -89,7 +92,8 @@ def rake(cells: pd.DataFrame, targets: dict[str, float], caps: dict[str, float],
                 free &= ~over
 
     meet_sources()
-    for _ in range(rounds):
+    converged, done = False, 0
+    for done in range(1, rounds + 1):
         before = w.copy()
         for d in ("topic", "language"):
             for g, want in zip(groups[d], goal[d]):
@@ -98,8 +102,12 @@ def rake(cells: pd.DataFrame, targets: dict[str, float], caps: dict[str, float],
         w[:] = np.minimum(w, cap * size)
         meet_sources()
         if np.abs(w - before).max() <= 1e-9 * max(total, 1):
+            converged = True
             break
-    return cells.assign(uses=np.where(size > 0, w / np.maximum(size, 1), 0.0))
+    out = cells.assign(uses=np.where(size > 0, w / np.maximum(size, 1), 0.0))
+    off = {d: max(abs(w[g].sum() - want) for g, want in zip(groups[d], goal[d])) / max(total, 1) for d in groups}
+    out.attrs.update(rounds=done, converged=converged, off=off)
+    return out
 
 
 def mix(documents: DataFrame, targets: DataFrame, path: str | None = None, seed: int = 42) -> DataFrame:
@@ -133,6 +141,20 @@ def mix(documents: DataFrame, targets: DataFrame, path: str | None = None, seed:
     return chosen.where("repeats > 0").select("doc_id", "source", "language", "topic", "tokens", "repeats")
 
 
+def marginals(documents: DataFrame, mixture: DataFrame, targets: DataFrame, path: str | None = None) -> DataFrame:
+    """dimension, value, goal_share and actual_share of the mixture: of sources their targets, of languages and topics the
+    shares of the tokens of the mixed sources' documents. Caps may keep a mixture from all goals at once; sources come first."""
+    wanted = targets.where("source IS NOT NULL AND target_share > 0").groupBy("source").agg(F.sum("target_share").alias("target"))
+    cells = measured(documents, path).where(F.col("tokens") > 0).groupBy("source", "language", "topic").agg(F.sum("tokens").alias("natural"))
+    given = mixture.groupBy("source", "language", "topic").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("mixed"))
+    rows = cells.join(F.broadcast(wanted), "source").join(given, ["source", "language", "topic"], "left").fillna(0, ["mixed"])
+    long = rows.select("natural", "mixed", "target", "source", F.explode(F.map_from_arrays(F.array(F.lit("source"), F.lit("language"), F.lit("topic")), F.array("source", "language", "topic"))).alias("dimension", "value"))
+    by = long.groupBy("dimension", "value").agg(F.sum("natural").alias("natural"), F.sum("mixed").alias("mixed"), F.max("target").alias("target"))
+    total = by.groupBy("dimension").agg(F.sum("natural").alias("all_natural"), F.sum("mixed").alias("all_mixed"), F.sum("target").alias("all_target"))
+    share = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
+    return by.join(F.broadcast(total), "dimension").select("dimension", "value", F.when(F.col("dimension") == "source", share("target", "all_target")).otherwise(share("natural", "all_natural")).alias("goal_share"), share("mixed", "all_mixed").alias("actual_share"))
+
+
 def shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
     """source, target_share, actual_share, tokens and documents of the mixture."""
     by = mixture.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count("doc_id").alias("documents"))

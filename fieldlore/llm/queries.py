@@ -70,6 +70,10 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(p9_mix(spark, d), table(spark, d, "mix_targets"))
 
 
+def p9_marginals(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.marginals(table(spark, d, "documents"), p9_mix(spark, d), table(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.pairs(lookalike.normalized(table(spark, d, "documents")))
 
@@ -78,5 +82,5 @@ def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.normalized(table(spark, d, "documents")).select("doc_id", "canonical")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_clean": p4_clean, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p6_found": p6_found, "p6_sentences": p6_sentences, "p7_found": p7_found, "p7_masked": p7_masked, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_canonical": p10_canonical}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_clean": p4_clean, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p6_found": p6_found, "p6_sentences": p6_sentences, "p7_found": p7_found, "p7_masked": p7_masked, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_marginals": p9_marginals, "p10_found": p10_found, "p10_canonical": p10_canonical}
 ORACLES: dict[str, str] = {}

@@ -15,6 +15,37 @@ def test_rake_meets_margins_and_caps():
     assert (out.loc[out["source"] == "a", "uses"] <= 2 + 1e-9).all() and (out.loc[out["source"] == "b", "uses"] <= 1 + 1e-9).all()
 
 
+    assert out.attrs["converged"] and out.attrs["off"]["source"] < 1e-6
+    # without caps in the way all three marginals are met
+    free = mixing.rake(cells, {"a": 0.7, "b": 0.3}, {"a": 50.0, "b": 50.0})
+    w = free["uses"] * free["tokens"]
+    for d in ("language", "topic"):
+        natural = cells.groupby(d)["tokens"].sum() / cells["tokens"].sum()
+        assert (w.groupby(free[d]).sum() / w.sum()).to_numpy() == pytest.approx(natural.to_numpy(), abs=1e-6)
+    assert free.attrs["converged"] and max(free.attrs["off"].values()) < 1e-6
+
+
+def test_rake_says_where_caps_hold_it_back():
+    cells = pd.DataFrame([("a", "en", "x", 1000), ("a", "de", "x", 10), ("b", "en", "x", 10), ("b", "de", "x", 1000)], columns=["source", "language", "topic", "tokens"])
+    out = mixing.rake(cells, {"a": 0.9, "b": 0.1}, {"a": 1.0, "b": 1.0})
+    assert out.attrs["off"]["source"] < 1e-6 and out.attrs["off"]["language"] > 0.1
+
+
+def test_marginals_are_those_of_the_mixture(spark):
+    texts = ["the water gauge stood at five feet in the rain", "teal nests and a brood of ducks", "nothing said"]
+    rows = [(i, texts[i % 3], ["en", "de"][i // 3 % 2], ["big", "small"][i % 5 == 0], 1) for i in range(3000)]
+    docs, targets = spark.createDataFrame(rows, DOC), spark.createDataFrame([("big", 0.7, 2, "x"), ("small", 0.3, 4, "x")], TARGET)
+    mixture = mixing.mix(docs, targets)
+    out = {(r.dimension, r.value): (r.goal_share, r.actual_share) for r in mixing.marginals(docs, mixture, targets).collect()}
+    assert set(out) == {("source", "big"), ("source", "small"), ("language", "en"), ("language", "de"), ("topic", "water"), ("topic", "birds"), ("topic", "other")}
+    assert all(a == pytest.approx(g, abs=0.02) for g, a in out.values())
+    rest = mixture.toPandas()
+    rest["used"] = rest["tokens"] * rest["repeats"]
+    for d in ("language", "topic", "source"):
+        for v, s in (rest.groupby(d)["used"].sum() / rest["used"].sum()).items():
+            assert out[d, v][1] == pytest.approx(s)
+
+
 def test_mix_reaches_shares(spark):
     rows = [(i, "the water gauge stood at five feet " * (1 + i % 7), ["en", "de", None][i % 3], "big" if i % 10 else "small", 1) for i in range(3000)]
     rows += [(9001, None, "en", "big", 1), (9002, "", "en", "big", 1), (9003, "a text", "en", None, 1), (9004, "a text", "en", "other", 1)]
