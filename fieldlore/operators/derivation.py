@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,7 +128,8 @@ def gated(claims: DataFrame, detect, threshold: float = 0.85) -> DataFrame:
 
     try:
         rated = cut(detect(claims).groupBy("claim_id").agg(F.max("confidence").alias("confidence")))
-    except Exception:
+    except Exception as e:
+        logging.getLogger(__name__).warning("the gate failed, all claims are quarantined: %s", e)
         return claims.withColumn("quarantine_status", F.lit("quarantined")).withColumn("quarantine_reason", F.lit("gate_error"))
     hit = F.coalesce(F.col("confidence") >= threshold, F.lit(False))
     return claims.join(rated, "claim_id", "left").withColumn("quarantine_status", F.when(hit, "quarantined").otherwise(F.col("quarantine_status"))).withColumn("quarantine_reason", F.when(hit, "sensitivity")).drop("confidence")

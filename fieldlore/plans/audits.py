@@ -17,9 +17,13 @@ from fieldlore.session import small_or_plain
 
 # -- links of claims (X6 to X8) ----------------------------------------------------------------------------------
 
-#: Verb and preposition before a place where something happened (fixed values).
-HAPPENED = re.compile(r"\b(?:observed|found|seen|collected|taken|trapped|nested|wintered|came|arrived|occurred|burned|happened|departed)\s+(?:into|in|at|near|on|within|around|from)\s*$", re.I)
-SAID = r"(?i)\b(recommended|reported|noted|managed|authorized|requested|directed|approved|announced|said|wrote)\b"
+#: Verbs and prepositions before a place where something happened (fixed values).
+HAPPENED_VERBS = ("observed", "found", "seen", "collected", "taken", "trapped", "nested", "wintered", "came", "arrived", "occurred", "burned", "happened", "departed")
+HAPPENED_AT = ("into", "in", "at", "near", "on", "within", "around", "from")
+HAPPENED = re.compile(rf"\b(?:{'|'.join(HAPPENED_VERBS)})\s+(?:{'|'.join(HAPPENED_AT)})\s*$", re.I)
+#: Verbs by which the one who leads a sentence is its subject (fixed values).
+SAID_VERBS = ("recommended", "reported", "noted", "managed", "authorized", "requested", "directed", "approved", "announced", "said", "wrote")
+SAID = rf"(?i)\b({'|'.join(SAID_VERBS)})\b"
 SUBJECT = r"^\s*([A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z.]+){0,3})"
 PRECEDENCE = ("OCCURRED_AT", "SUBJECT_OF_CLAIM", "SPECIES_FOCUS", "HABITAT_FOCUS", "METHOD_FOCUS", "MANAGEMENT_TARGET", "ORGANIZATION_FOCUS", "LOCATION_FOCUS", OTHER_RELATION)
 LINKS = "claim_id string, surface_form string, normalized_form string, relation_type string, start_offset int, end_offset int, entity_type_hint string"
@@ -74,21 +78,23 @@ def link_audit(g: Graph) -> DataFrame:
     return g.edges.select("claim_id", "entity_id", "relation_type").join(g.claims.select("claim_id", F.col("source_sentence").alias("sentence"), F.lit(1).alias("found")), "claim_id", "left").groupBy("relation_type", F.coalesce(F.col("found") == 1, F.lit(False)).alias("has_claim")).agg(F.count("entity_id").alias("links"), F.count_distinct("sentence").alias("sentences"))
 
 
-def successors(pairs: DataFrame, most: int = 64) -> DataFrame:
+def successors(pairs: DataFrame, most: int | None = None) -> DataFrame:
     """All (ancestor, descendant, steps) over edges src, dst, each once with the fewest steps. A round joins the
-    newest frontier with the edges; it ends when a round finds nothing new, or with an error beyond ``most`` rounds."""
+    newest frontier with the edges; it ends when a round finds nothing new, or after ``most`` rounds if only chains up to
+    that length are asked for."""
     from fieldlore.session import cut
 
     edges = cut(pairs.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
     known = cut(edges.select("src", "dst", F.lit(1).alias("steps")))
-    frontier = known
-    for step in range(2, most + 2):
+    frontier, step = known, 1
+    while most is None or step < most:
+        step += 1
         reached = frontier.join(edges.select(F.col("src").alias("dst"), F.col("dst").alias("next")), "dst").select("src", F.col("next").alias("dst")).distinct()
         frontier = cut(reached.join(known, ["src", "dst"], "left_anti").withColumn("steps", F.lit(step)))
         if not frontier.limit(1).count():
             return known
         known = cut(known.unionByName(frontier))
-    raise RuntimeError(f"chains of more than {most} steps")
+    return known
 
 
 def paragraph_chains(g: Graph) -> DataFrame:
@@ -133,13 +139,33 @@ def contrast(g: Graph) -> DataFrame:
     return rows.groupBy("surface_form").agg(F.count_distinct("mention_id").alias("mentions"), F.max_by("sentence", F.struct(F.length("sentence"), "sentence")).alias("longest"))
 
 
+def _chance(*parts: Column) -> Column:
+    """A number of 32 bits that follows from the parts alone."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 8), 16, 10).cast("bigint")
+
+
 def stratified(g: Graph, more: int = 2, seed: int = 7) -> DataFrame:
-    """Of each series the first, middle and last document by year, and some by the hash of their id."""
-    order = Window.partitionBy("series").orderBy(F.asc_nulls_last("report_year"), "doc_id")
-    chance = Window.partitionBy("series").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
-    rows = g.docs.where("series IS NOT NULL").select("series", "doc_id", "report_year").withColumn("i", F.row_number().over(order)).withColumn("n", F.count("doc_id").over(Window.partitionBy("series"))).withColumn("c", F.row_number().over(chance))
-    fixed = (F.col("i") == 1) | (F.col("i") == F.col("n")) | (F.col("i") == F.floor(F.col("n") / 2) + 1)
-    return rows.where(fixed | (F.col("c") <= more)).select("series", "doc_id", "report_year", fixed.alias("by_place"))
+    """Of each series the first, middle and last document by year, and some by a hash of their id.
+
+    No window holds a whole series: documents are counted by series and year, running counts (bounded by the calendar)
+    tell the year of the middle one, and only that year's documents are numbered; the least hashes are kept by parts of a
+    series before they are compared.
+    """
+    rows = g.docs.where("series IS NOT NULL").select("series", "doc_id", "report_year")
+    at = F.coalesce("report_year", F.lit(1 << 30)).alias("at")
+    per = rows.groupBy("series", at).agg(F.count("doc_id").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    order = Window.partitionBy("series").orderBy("at")
+    placed = per.withColumn("upto", F.sum("n").over(order)).withColumn("whole", F.sum("n").over(Window.partitionBy("series"))).withColumn("middle", F.floor(F.col("whole") / 2) + 1)
+    ends = placed.withColumn("first", F.col("upto") == F.col("n")).withColumn("last", F.col("upto") == F.col("whole"))
+    by_place = ends.where("first").select("series", F.col("low").alias("doc_id")).unionByName(ends.where("last").select("series", F.col("high").alias("doc_id")))
+    wanted = placed.where("middle > upto - n AND middle <= upto").select("series", "at", (F.col("middle") - (F.col("upto") - F.col("n"))).alias("place"))
+    in_year = rows.select("series", "doc_id", at).join(F.broadcast(wanted), ["series", "at"]).withColumn("i", F.row_number().over(Window.partitionBy("series", "at").orderBy("doc_id")))
+    fixed = by_place.unionByName(in_year.where("i = place").select("series", "doc_id")).distinct().withColumn("by_place", F.lit(True))
+    least = rows.select("series", "doc_id", _chance(F.lit(str(seed)), F.col("doc_id")).alias("c")).withColumn("part", F.pmod(F.hash("doc_id"), F.lit(64)))
+    few = least.withColumn("i", F.row_number().over(Window.partitionBy("series", "part").orderBy("c", "doc_id"))).where(F.col("i") <= more)
+    drawn = few.withColumn("j", F.row_number().over(Window.partitionBy("series").orderBy("c", "doc_id"))).where(F.col("j") <= more).select("series", "doc_id", F.lit(False).alias("by_place"))
+    chosen = fixed.unionByName(drawn).groupBy("series", "doc_id").agg(F.max("by_place").alias("by_place"))
+    return rows.join(chosen, ["series", "doc_id"]).select("series", "doc_id", "report_year", "by_place")
 
 
 def unclassified_rate(g: Graph, most: float = 0.2) -> DataFrame:
@@ -177,21 +203,24 @@ def converged(rates: list[float], unclassified: list[frozenset[str]], target: fl
 
 
 def prewarm(g: Graph, cached: DataFrame | None = None, least: int = 40, chunk: int = 10_000, price: float = 3.0) -> DataFrame:
-    """Distinct texts that a model still has to see, in chunks, with a cost. A running number by hash range
-    keeps the chunks even without a single sort: chunks are counted within 256 ranges."""
+    """Distinct texts that a model still has to see, in chunks of ``chunk`` in the order of their keys, with a
+    cost. Texts are numbered within 256 ranges of keys, and each range begins where the ones before it end, so that no
+    single sort orders all keys."""
     texts = g.claims.where(F.length("source_sentence") >= least).select(F.sha2("source_sentence", 256).alias("key"), F.length("source_sentence").alias("size")).distinct()
     if cached is not None:
         texts = texts.join(cached.select("key").distinct(), "key", "left_anti")
     ranged = texts.withColumn("range", F.substring("key", 1, 2))
-    order = Window.partitionBy("range").orderBy("key")
-    chunked = ranged.withColumn("chunk", F.floor((F.row_number().over(order) - 1) / max(1, chunk // 256)))
-    return chunked.groupBy("range", "chunk").agg(F.count("key").alias("requests"), F.sum("size").alias("characters"), F.round(F.sum("size") / 4 / 1e6 * price, 8).alias("cost"))
+    # at most 256 rows
+    starts = ranged.groupBy("range").agg(F.count("key").alias("n")).select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy("key")) - 1
+    chunked = ranged.withColumn("place", place).join(F.broadcast(starts), "range").withColumn("chunk", F.floor((F.col("before") + F.col("place")) / chunk))
+    return chunked.groupBy("chunk").agg(F.count("key").alias("requests"), F.sum("size").alias("characters"), F.round(F.sum("size") / 4 / 1e6 * price, 8).alias("cost"))
 
 
 def calibration(g: Graph, resamples: int = 200, seed: int = 11) -> DataFrame:
     """By claim type the mean confidence with the 2.5 and 97.5 percentiles of resampled means. Each record draws a
     Poisson weight for every resample from a hash, so that one pass over the records serves all of them."""
-    unit = lambda i: (F.pmod(F.xxhash64(F.lit(seed), i, "claim_id"), F.lit(1 << 30)).cast("double") + 0.5) / (1 << 30)
+    unit = lambda i: (_chance(F.lit(str(seed)), i.cast("string"), F.col("claim_id")).cast("double") + 0.5) / (1 << 32)
     # inverse of the Poisson(1) distribution function
     steps = (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518)
     rows = g.claims.select("claim_id", "claim_type", "extraction_confidence", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("i")).withColumn("u", unit(F.col("i")))
@@ -222,7 +251,7 @@ def _claim_links(spark: SparkSession, d: str) -> DataFrame:
 
 _BOUND = {
     "x7_subject_links": lambda g: subject_links(g.claims).select("claim_id", "surface_form", "relation_type", "entity_type_hint"), "j17_link_audit": link_audit, "j19_year_chains": paragraph_chains, "d9_backfill": lambda g: backfill(g.docs, "refuge:kessock flats refuge", ("kessock", "tamarn"), g.docs.limit(0).selectExpr("doc_id", "'x' AS entity_id", "'x' AS relation_type")),
-    "d13_periods": periods, "d22_targeted": targeted, "t5_contrast": contrast, "t6_stratified": stratified, "g9_unclassified": unclassified_rate, "r19_prewarm": prewarm, "g15_calibration": calibration, "o2_first_wins": lambda g: first_wins([g.entities.where("entity_type = 'Person'").select("name", "entity_type"), g.entities.select("name", "entity_type")], "name").groupBy("entity_type").agg(F.count("name").alias("names")),
+    "d13_periods": periods, "d22_targeted": targeted, "t5_contrast": contrast, "t6_stratified": stratified, "g9_unclassified": unclassified_rate, "r19_prewarm": lambda g: prewarm(g, chunk=500), "g15_calibration": calibration, "o2_first_wins": lambda g: first_wins([g.entities.where("entity_type = 'Person'").select("name", "entity_type"), g.entities.select("name", "entity_type")], "name").groupBy("entity_type").agg(F.count("name").alias("names")),
 }
 QUERIES = {name: (lambda spark, d, f=f: f(Graph(spark, d))) for name, f in _BOUND.items()} | {"x6_claim_links": _claim_links}
 from fieldlore.plans.retrieval import _WITH  # noqa: E402
@@ -234,6 +263,15 @@ ORACLES = {
     "d9_backfill": _WITH + "SELECT doc_id, 'refuge:kessock flats refuge' AS entity_id, 'ABOUT_REFUGE' AS relation_type FROM docs WHERE contains(lower(title), 'kessock') OR contains(lower(title), 'tamarn')",
     "t5_contrast": _WITH + "SELECT surface_form, count(DISTINCT mention_id) AS mentions, arg_max(source_sentence, (length(source_sentence), source_sentence)) AS longest FROM mention m LEFT JOIN (SELECT run_id, paragraph_id, source_sentence FROM claim) c USING (run_id, paragraph_id) WHERE surface_form IS NOT NULL GROUP BY 1",
     "o2_first_wins": _WITH + "SELECT entity_type, count(*) AS names FROM (SELECT name, arg_min(entity_type, CASE entity_type WHEN 'Person' THEN 0 ELSE 1 END) AS entity_type FROM entity GROUP BY 1) GROUP BY 1",
-    "r19_prewarm": _WITH + "SELECT \"range\", floor((r - 1) / 39)::bigint AS chunk, count(*) AS requests, sum(size)::bigint AS characters, round(sum(size) / 4 / 1e6 * 3.0, 8) AS cost FROM (SELECT substr(key, 1, 2) AS \"range\", size, row_number() OVER (PARTITION BY substr(key, 1, 2) ORDER BY key) AS r FROM (SELECT DISTINCT sha256(source_sentence) AS key, length(source_sentence) AS size FROM claim WHERE length(source_sentence) >= 40)) GROUP BY 1, 2",
+    "r19_prewarm": _WITH + "SELECT floor((r - 1) / 500)::bigint AS chunk, count(*) AS requests, sum(size)::bigint AS characters, round(sum(size) / 4 / 1e6 * 3.0, 8) AS cost FROM (SELECT size, row_number() OVER (ORDER BY key) AS r FROM (SELECT DISTINCT sha256(source_sentence) AS key, length(source_sentence) AS size FROM claim WHERE length(source_sentence) >= 40)) GROUP BY 1",
     "d13_periods": _WITH + "SELECT 'period_' || substr(sha1(lower(trim(coalesce(date_start, ''))) || '||' || lower(trim(coalesce(date_end, ''))) || '||' || regexp_replace(lower(trim(coalesce(title, ''))), '\\s+', ' ', 'g')), 1, 16) AS period_id, doc_id, coalesce(n, 0) AS claims FROM docs LEFT JOIN (SELECT doc_id, count(*) AS n FROM claim JOIN runs USING (run_id) GROUP BY 1) c USING (doc_id) WHERE date_start IS NOT NULL OR date_end IS NOT NULL",
 }
+
+#: Scores of the claim types of a sentence as DuckDB structs.
+SCORES = ", ".join("{'score': " + " + ".join(f"len(regexp_extract_all(source_sentence, '(?i){p}')) * {w}::double" for k, p, w in extraction.CLAIM_RULES if k == t) + f", 'ord': {-i}, 'type': '{t}'}}" for i, t in enumerate(dict.fromkeys(t for t, _, _ in extraction.CLAIM_RULES)))
+
+ORACLES |= {
+    "g9_unclassified": _WITH + f"SELECT series, count(*) AS claims, round(1 - count(hit) / count(*), 4) AS rate, round(1 - count(hit) / count(*), 4) <= 0.2 AS passes FROM (SELECT claim_id, series, CASE WHEN list_max([{SCORES}]).score >= {extraction.THRESHOLD} THEN 1 END AS hit FROM claim JOIN runs USING (run_id) JOIN docs USING (doc_id)) GROUP BY 1",
+    "t6_stratified": _WITH + "SELECT series, doc_id, report_year, by_place FROM (SELECT *, i = 1 OR i = n OR i = n // 2 + 1 AS by_place FROM (SELECT series, doc_id, report_year, row_number() OVER (PARTITION BY series ORDER BY report_year NULLS LAST, doc_id) AS i, count(*) OVER (PARTITION BY series) AS n, row_number() OVER (PARTITION BY series ORDER BY ('0x' || substr(md5('7|' || doc_id), 1, 8))::bigint, doc_id) AS c FROM docs WHERE series IS NOT NULL)) WHERE by_place OR c <= 2",
+    "g15_calibration": _WITH + ", weighed AS (SELECT claim_type, extraction_confidence, i, (u >= 0.36787944117)::int + (u >= 0.73575888234)::int + (u >= 0.91969860293)::int + (u >= 0.98101184312)::int + (u >= 0.99634015317)::int + (u >= 0.99940581518)::int AS w FROM (SELECT claim_type, extraction_confidence, i, (('0x' || substr(md5('11|' || i || '|' || claim_id), 1, 8))::bigint + 0.5) / 4294967296 AS u FROM claim, range(1, 201) r(i))), mean AS (SELECT claim_type, i, sum(w * extraction_confidence) / sum(w) AS mean FROM weighed GROUP BY 1, 2) SELECT claim_type, m.mean, low, high FROM (SELECT claim_type, round(avg(extraction_confidence), 6) AS mean FROM claim GROUP BY 1) m JOIN (SELECT claim_type, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM mean GROUP BY 1) USING (claim_type)",
+}

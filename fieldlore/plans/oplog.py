@@ -128,7 +128,16 @@ def _redacted(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = _BOUND | {"q9_redacted_log": _redacted}
 _PRICE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}::double" for k, v in PRICES.items()) + f" ELSE {UNKNOWN_PRICE}::double END"
 _COST = f"SELECT event_id, event_type, ts, user_id, try_cast(json_extract_string(props, '$.k') AS bigint) * 1000 AS tokens, round(try_cast(json_extract_string(props, '$.k') AS bigint) * 1000 / 1000000 * {_PRICE}, 6) AS cost FROM events"
+#: The limiter as recursion over each key's calls: calls beyond it leave the kept ones as they are.
+_KEPT = f"list_filter(w.kept, lambda k: k > e.t - {PERIOD_S * 1_000_000})"
+RATE_SQL = (
+    "WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), "
+    "w AS (SELECT event_id, user_id, t, n, true AS allowed, [t] AS kept FROM e WHERE n = 1 UNION ALL "
+    f"SELECT e.event_id, e.user_id, e.t, e.n, len({_KEPT}) < {MOST_CALLS}, CASE WHEN len({_KEPT}) < {MOST_CALLS} THEN list_append({_KEPT}, e.t) ELSE {_KEPT} END FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1) "
+    "SELECT event_id, user_id, allowed FROM w"
+)
 ORACLES = {
+    "w11_rate_limit": RATE_SQL,
     "g6_daily_rollup": "SELECT ts::date AS day, event_type, count(*) AS calls, round(sum(value), 4) AS cost FROM events GROUP BY 1, 2",
     "q13_costs": f"SELECT * EXCLUDE (ts) FROM ({_COST})",
     "q12_months": f"SELECT strftime(ts, '%Y-%m') AS month, event_type, sum(tokens)::bigint AS tokens, round(sum(cost), 4) AS cost FROM ({_COST}) GROUP BY 1, 2",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,11 +126,27 @@ def junk(spark: SparkSession, d: str) -> DataFrame:
     return detectors.junk_mentions(Graph(spark, d).mentions).select("target_id", "issue_class", "group_key", "confidence", "reason")
 
 
+def junk_in_pages(spark: SparkSession, d: str) -> DataFrame:
+    """R3 with paragraphs: the mentions found in the pages' own ones, judged by where they stand too."""
+    text = _structure(spark, d)[2]
+    found = extraction.mentions(text, Graph(spark, d).entities)
+    rows = found.select("paragraph_id", "surface_form", normalize_name(F.col("surface_form")).alias("normalized_form"), F.concat_ws("|", "paragraph_id", F.col("start_offset").cast("string")).alias("mention_id"))
+    return detectors.junk_mentions(rows, text).groupBy("issue_class", "reason").agg(F.count("target_id").alias("mentions"))
+
+
+def sensitive_texts(spark: SparkSession, d: str) -> DataFrame:
+    """R5 over the transcripts of documents, which hold personal data."""
+    rows = table(spark, d, "document_records").select(F.col("doc_id").alias("claim_id"), F.col("clean_text").alias("source_sentence")).where("clean_text IS NOT NULL").distinct()
+    return detectors.sensitive(rows).select("target_id", "group_key", "confidence")
+
+
 def sensitive(spark: SparkSession, d: str) -> DataFrame:
     return detectors.sensitive(Graph(spark, d).claims).select("target_id", "group_key", "confidence")
 
 
-def _targets(spark: SparkSession, d: str) -> DataFrame:
+def _targets(spark: SparkSession, d: str, this_year: int | None = None) -> DataFrame:
+    """All detectors' findings; this_year is that of today unless another one is asked for."""
+    this_year = this_year or datetime.date.today().year
     g = Graph(spark, d)
     # both are small and read by several detectors
     edges = cut(g.edges.select("claim_id", "entity_id", "entity_type", "relation_type"))
@@ -136,7 +154,7 @@ def _targets(spark: SparkSession, d: str) -> DataFrame:
     counts = edges.groupBy("entity_id").agg(F.count("claim_id").alias("n"))
     told = claim_links(g.claims, g.entities).where("relation_type = 'METHOD_FOCUS'").select("claim_id", F.concat_ws(":", F.lit("surveymethod"), "normalized_form").alias("entity_id"), "relation_type")
     methods = edges.select("claim_id", "entity_id", "relation_type").unionByName(told)
-    found = [detectors.ocr_entities(g.entities, counts), detectors.junk_mentions(g.mentions), detectors.missing_links(g.claims, edges, near), detectors.method_overtrigger(g.claims, methods), detectors.sensitive(g.claims), detectors.living_people(g.claims, edges, 2026)]
+    found = [detectors.ocr_entities(g.entities, counts), detectors.junk_mentions(g.mentions), detectors.missing_links(g.claims, edges, near), detectors.method_overtrigger(g.claims, methods), detectors.sensitive(g.claims), detectors.living_people(g.claims, edges, this_year)]
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -195,7 +213,7 @@ def classified_log(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p_structure_sections": sections, "p_structure_paragraphs": paragraphs, "j5_page_sections": page_sections, "x1_rule_claims": rule_claims, "x2_classified": classified, "x12_validated": validated, "x13_claim_dates": claim_dates, "x14_measurements": measurements, "x19_mentions": mentions,
-    "d5_resolved": resolved, "d14_roles": roles, "d15_claim_years": claim_years, "d16_observations": observations, "d17_events": events, "d18_document_years": document_years, "d20_concepts": concepts, "d12_penalised": penalised, "r1_entity_groups": entity_groups, "r2_contexts": group_contexts, "r3_junk": junk, "r5_sensitive": sensitive,
+    "d5_resolved": resolved, "d14_roles": roles, "d15_claim_years": claim_years, "d16_observations": observations, "d17_events": events, "d18_document_years": document_years, "d20_concepts": concepts, "d12_penalised": penalised, "r1_entity_groups": entity_groups, "r2_contexts": group_contexts, "r3_junk": junk, "r5_sensitive": sensitive, "r5_sensitive_texts": sensitive_texts, "r3_junk_in_pages": junk_in_pages,
     "r7_proposals": proposals, "t3_review_queue": review_queue, "g17_tiers": tier_counts, "r14_spelling": spelling, "q5_answers": answers, "q1_classified_log": classified_log,
 }
 
@@ -205,20 +223,50 @@ _C = "(SELECT DISTINCT * EXCLUDE (loaded_at) FROM claims)"
 _D = f"(SELECT c.*, d.date_start, d.date_end, d.report_year, d.doc_id FROM {_C} c JOIN (SELECT DISTINCT * FROM extraction_runs) r USING (run_id) JOIN (SELECT DISTINCT doc_id, date_start, date_end, report_year FROM document_records) d ON d.doc_id = r.doc_id)"
 _Y = r"\b(1[89]\d{2}|20[0-2]\d)\b"
 _YEARS = f"(SELECT *, CASE WHEN lo IS NOT NULL AND year IS NOT NULL AND NOT year BETWEEN lo - 5 AND hi + 5 THEN 'suspect' ELSE source END AS year_source FROM (SELECT *, coalesce(a, b) AS lo, coalesce(b, a) AS hi FROM (SELECT *, coalesce(try_cast(nullif(regexp_extract(coalesce(claim_date, ''), '{_Y}', 1), '') AS int), report_year) AS year, CASE WHEN regexp_matches(coalesce(claim_date, ''), '{_Y}') THEN 'claim_date' WHEN report_year IS NOT NULL THEN 'document_primary_year' ELSE 'unknown' END AS source, CASE WHEN coalesce(date_start, '') <> '' THEN try_cast(nullif(regexp_extract(date_start, '{_Y}', 1), '') AS int) ELSE report_year END AS a, CASE WHEN coalesce(date_end, '') <> '' THEN try_cast(nullif(regexp_extract(date_end, '{_Y}', 1), '') AS int) ELSE report_year END AS b FROM {_D})))"
-_types = list(dict.fromkeys(t for t, _, _ in extraction.CLAIM_RULES))
-_scores = ", ".join("{'score': " + " + ".join(f"len(regexp_extract_all(source_sentence, '(?i){p}')) * {w}::double" for k, p, w in extraction.CLAIM_RULES if k == t) + f", 'ord': {-i}, 'type': '{t}'}}" for i, t in enumerate(_types))
+from fieldlore.plans.audits import SCORES as _scores  # noqa: E402
+
 _junk = f"CASE WHEN t = '' OR regexp_matches(t, '^[^a-zA-Z]*$') OR regexp_matches(t, '^\\d{{2,}}[a-zA-Z]{{0,2}}$') OR (length(t) > 2 AND length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) / length(t) < 0.4) THEN 'ocr_garbage' WHEN length(f) < 4 OR f IN {detectors.GENERIC} THEN 'short_generic_token' END"
 _pii = [f"CASE WHEN regexp_matches(source_sentence, '{p}') THEN {{'confidence': {c}::double, 'ord': {-i}, 'label': '{label}'}} END" for i, (label, p, c) in enumerate(detectors.SENSITIVE)]
 ORACLES = {
     "x2_classified": f"SELECT claim_id, best.type AS claim_type, round(best.score, 6) AS score, round(best.score - second.score, 6) AS margin, CASE WHEN best.score - second.score < 0.35 AND second.score > 0 THEN second.type END AS secondary, status AS epistemic_status, round(greatest(0.0, least(1.0, 0.6 + 0.32 * (0.65 * least((best.score - 0.85) / 1.65, 1.0) + 0.35 * least((best.score - second.score) / 0.35, 1.0)) - CASE status WHEN 'uncertain' THEN 0.08 ELSE 0 END)), 4) AS extraction_confidence FROM (SELECT claim_id, r[1] AS best, r[2] AS second, CASE WHEN regexp_matches(source_sentence, '{extraction.UNCERTAIN_WORDS}') THEN 'uncertain' ELSE 'certain' END AS status FROM (SELECT claim_id, source_sentence, list_reverse_sort([{_scores}]) AS r FROM {_C})) WHERE best.score >= 0.85",
-    "x12_validated": f"SELECT claim_id, CASE WHEN length(t) < 20 THEN 'too_short' WHEN len(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_]+')) < 3 THEN 'too_few_words' WHEN length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) / length(t) < 0.5 THEN 'low_alpha_density' WHEN NOT regexp_matches(t, '{extraction.FINITE_VERB}') AND regexp_matches(t, '^(?:(?:[A-Z]{{2,}}(?:\\s+[A-Z]{{2,}}){{0,4}})|(?:[A-Z][a-z]+(?:\\s+(?:[A-Z][a-z]+|and|of|the|for|in|on|at|to|by)){{0,3}}))[:.]?\\s*$') THEN 'section_heading' WHEN NOT regexp_matches(t, '{extraction.FINITE_VERB}') THEN 'no_finite_verb' WHEN regexp_matches(t, '(?i)\\b(Mr|Mrs|Dr|Gov|Col|Lt|Sgt|St|Jr|Sr|Mgr|Dept|Approx|Oct|Nov|Dec|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept?)\\.\\s*$') THEN 'truncated_at_honorific' END AS reason FROM (SELECT claim_id, trim(source_sentence) AS t FROM {_C})",
+    "x12_validated": f"SELECT claim_id, CASE WHEN length(t) < 20 THEN 'too_short' WHEN len(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_]+')) < 3 THEN 'too_few_words' WHEN length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) / length(t) < 0.5 THEN 'low_alpha_density' WHEN NOT regexp_matches(t, '{extraction.FINITE_VERB}') AND regexp_matches(t, '^(?:(?:[A-Z]{{2,}}(?:\\s+[A-Z]{{2,}}){{0,4}})|(?:[A-Z][a-z]+(?:\\s+(?:[A-Z][a-z]+|and|of|the|for|in|on|at|to|by)){{0,3}}))[:.]?\\s*$') THEN 'section_heading' WHEN regexp_matches(t, '^[A-Z\\-•*\\d][\\-.)]\\s{{0,3}}\\w{{0,15}}\\.?\\s*$') THEN 'list_artifact' WHEN NOT regexp_matches(t, '{extraction.FINITE_VERB}') THEN 'no_finite_verb' WHEN regexp_matches(t, '(?i)\\b(Mr|Mrs|Dr|Gov|Col|Lt|Sgt|St|Jr|Sr|Mgr|Dept|Approx|Oct|Nov|Dec|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept?)\\.\\s*$') THEN 'truncated_at_honorific' END AS reason FROM (SELECT claim_id, trim(source_sentence) AS t FROM {_C})",
     "d15_claim_years": f"SELECT claim_id, year, year_source FROM {_YEARS}",
     "d18_document_years": f"SELECT DISTINCT doc_id, year, 'year_' || year AS year_id FROM (SELECT DISTINCT doc_id, report_year AS year FROM document_records UNION SELECT doc_id, year FROM {_YEARS}) WHERE year IS NOT NULL",
     "d20_concepts": " UNION ALL ".join(f"SELECT claim_id, '{c}' AS concept_id, {conf}::double AS confidence, substr('{p}', 1, 60) AS matched_rule FROM {_C} WHERE claim_type IN ({', '.join(map(repr, ts))}) AND regexp_matches(source_sentence, '(?i){p}')" for c, ts, p, conf in derivation.CONCEPTS),
     "r3_junk": f"SELECT mention_id AS target_id, CASE reason WHEN 'ocr_garbage' THEN 'ocr_garbage_mention' ELSE reason END AS issue_class, split_part(paragraph_id, ':', 1) || '|' || reason AS group_key, 0.7::double AS confidence, reason FROM (SELECT *, {_junk} AS reason FROM (SELECT DISTINCT mention_id, paragraph_id, trim(surface_form) AS t, lower(trim(coalesce(normalized_form, ''))) AS f FROM mention_drafts WHERE surface_form IS NOT NULL)) WHERE reason IS NOT NULL",
     "r5_sensitive": f"SELECT claim_id AS target_id, hit.label AS group_key, hit.confidence AS confidence FROM (SELECT claim_id, list_max([{', '.join(_pii)}]) AS hit FROM {_C}) WHERE hit IS NOT NULL",
+    "r5_sensitive_texts": f"SELECT claim_id AS target_id, hit.label AS group_key, hit.confidence AS confidence FROM (SELECT claim_id, list_max([{', '.join(_pii)}]) AS hit FROM (SELECT DISTINCT doc_id AS claim_id, clean_text AS source_sentence FROM document_records WHERE clean_text IS NOT NULL)) WHERE hit IS NOT NULL",
     "q1_classified_log": f"SELECT claim_id, CASE WHEN a > 0 AND c > 0 THEN 'hybrid' WHEN a > 0 THEN 'analytical' ELSE 'conversational' END AS bucket, round(CASE WHEN a > 0 AND c > 0 THEN greatest(a, c) / (a + c) WHEN a > 0 OR c > 0 THEN 1.0 ELSE 0.5 END, 6) AS confidence FROM (SELECT claim_id, {' + '.join(f'contains(lower(source_sentence), {w!r})::int' for w in planner.ANALYTICAL)} AS a, {' + '.join(f'contains(lower(source_sentence), {w!r})::int' for w in planner.CONVERSATIONAL)} AS c FROM {_C})",
     "x13_claim_dates": "SELECT claim_id, CASE WHEN m IS NOT NULL AND y <> 0 THEN printf('%04d-%02d-%02d', y, m, d) END AS inferred_date FROM (SELECT claim_id, CASE lower(regexp_extract(source_sentence, '{p}', 1)) {months} END AS m, try_cast(regexp_extract(source_sentence, '{p}', 2) AS int) AS d, coalesce(try_cast(nullif(regexp_extract(source_sentence, '{p}', 3), '') AS int), report_year) AS y FROM {rows})".replace("{p}", r"\b([A-Za-z]{3,9})\.?\s+(\d{1,2})(?:,\s*(\d{4}))?\b").replace("{months}", " ".join(f"WHEN '{k}' THEN {v}" for k, v in extraction.MONTHS.items())).replace("{rows}", _D),
     "d12_penalised": _WITH + "SELECT claim_id, round(greatest(0.0, extraction_confidence - 0.1 * coalesce(n, 0)), 4) AS extraction_confidence FROM claim LEFT JOIN (SELECT claim_id, count(*) AS n FROM edge JOIN claim USING (claim_id) WHERE claim_type || '|' || relation_type NOT IN (" + ", ".join(f"'{c}|{r}'" for c, r in derivation.TIERS) + ") GROUP BY 1) USING (claim_id)",
     "d14_roles": _WITH + "SELECT claim_id, place_id, CASE WHEN claim_type = 'population_estimate' AND coalesce(species, 0) = 0 THEN 'Species' WHEN claim_type = 'fire_incident' AND coalesce(places, 0) = 0 THEN 'Place' ELSE '' END AS missing, coalesce(n, 0) AS roles FROM claim LEFT JOIN (SELECT claim_id, count(DISTINCT entity_type)::int AS n, count(*) FILTER (entity_type = 'Species') AS species, count(*) FILTER (entity_type = 'Place') AS places, arg_min(entity_id, (CASE entity_type WHEN 'Place' THEN 0 ELSE 1 END, entity_id)) FILTER (relation_type = 'OCCURRED_AT') AS place_id FROM edge GROUP BY 1) USING (claim_id)",
 }
+
+
+def _derived_sql(prefix: str, kinds: dict[str, str]) -> str:
+    """Numbered within the run, with the year and where it comes from."""
+    kind = "CASE claim_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in kinds.items()) + " END"
+    rows = f"(SELECT *, {kind} AS kind, row_number() OVER (PARTITION BY run_id ORDER BY paragraph_id, claim_id) AS n FROM {_YEARS} WHERE claim_type IN ({', '.join(map(repr, kinds))}))"
+    name = f"run_id || printf(':{prefix}:%03d:', n) || substr(sha1(regexp_replace(trim(lower(claim_id)), '\\s+', ' ', 'g') || '||' || lower(kind)), 1, 16)"
+    return f"SELECT {name} AS {prefix}_id, run_id, claim_id, paragraph_id, kind AS {prefix}_type, year, year_source, extraction_confidence AS confidence, epistemic_status = 'uncertain' AS is_estimate FROM {rows}"
+
+
+#: The lines that are headings, the sections that they begin, and those that pages without one open.
+_SECTIONS = (
+    r"WITH page AS (SELECT doc_id, page_number, min(page_id) AS page_id, coalesce(max(raw_ocr_text), '') AS text FROM report_pages WHERE doc_id IS NOT NULL AND page_number IS NOT NULL GROUP BY 1, 2), "
+    r"split AS (SELECT doc_id, page_number, unnest(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))) AS raw, generate_subscripts(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), 1) - 1 AS line_no FROM page), "
+    r"line AS (SELECT doc_id, page_number, line_no, regexp_replace(raw, '^[\s\x0b]+|[\s\x0b]+$', '', 'g') AS line FROM split), "
+    r"head AS (SELECT doc_id, page_number, line_no, try_cast(nullif(regexp_extract(line, '^\s*(\d{1,2})[.)]\s+(.+?)\s*$', 1), '') AS int) AS number, CASE WHEN NOT regexp_matches(line, '^\s*(\d{1,2})[.)]\s+(.+?)\s*$') THEN regexp_extract(line, '^\s*([A-Z])[.)]\s+(.+?)\s*$', 1) END AS letter, CASE WHEN regexp_matches(line, '^\s*(\d{1,2})[.)]\s+(.+?)\s*$') THEN regexp_extract(line, '^\s*(\d{1,2})[.)]\s+(.+?)\s*$', 2) ELSE regexp_extract(line, '^\s*([A-Z])[.)]\s+(.+?)\s*$', 2) END AS heading FROM line WHERE regexp_matches(line, '^\s*(\d{1,2})[.)]\s+(.+?)\s*$') OR regexp_matches(line, '^\s*([A-Z])[.)]\s+(.+?)\s*$')), "
+    r"named AS (SELECT *, regexp_replace(lower(trim(heading)), '\s+', ' ', 'g') AS normalized_heading FROM head), "
+    r"opened AS (SELECT doc_id, first_page AS page_number, -1 AS line_no, 1 AS number, NULL AS letter, 'Page ' || first_page AS heading, 'page ' || first_page AS normalized_heading FROM (SELECT doc_id, min(page_number) AS first_page FROM page GROUP BY 1) p LEFT JOIN (SELECT doc_id, min(page_number) AS first_headed FROM named GROUP BY 1) h USING (doc_id) WHERE first_headed IS NULL OR first_headed > first_page), "
+    r"both_kinds AS (SELECT * FROM named UNION ALL SELECT * FROM opened), "
+    r"marked AS (SELECT *, (line_no < 0 OR normalized_heading IS DISTINCT FROM last_value(CASE WHEN line_no >= 0 THEN normalized_heading END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page_number, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::int AS new_one FROM both_kinds), "
+    r"indexed AS (SELECT *, sum(new_one) OVER (PARTITION BY doc_id ORDER BY page_number, line_no)::bigint AS section_index FROM marked), "
+    r"section AS (SELECT doc_id, section_index, arg_min(heading, (page_number, line_no)) AS heading, (list(number ORDER BY page_number, line_no))[1] AS number, (list(letter ORDER BY page_number, line_no))[1] AS letter, arg_min(normalized_heading, (page_number, line_no)) AS normalized_heading, min(page_number) AS page_start, max(page_number) AS page_end FROM indexed GROUP BY 1, 2), "
+    r"known AS (SELECT doc_id || printf(':section:%03d:', section_index) || substr(sha1(regexp_replace(trim(lower(heading)), '\s+', ' ', 'g')), 1, 8) AS section_id, * FROM section) "
+)
+ORACLES |= {
+    "d16_observations": _derived_sql("observation", OBSERVED), "d17_events": _derived_sql("event", EVENTS),
+    "p_structure_sections": _SECTIONS + "SELECT section_id, doc_id, heading, number AS section_number, letter AS section_letter, normalized_heading, page_start, page_end, section_index FROM known",
+    "j5_page_sections": _SECTIONS + "SELECT doc_id, page_id, section_id FROM page JOIN known USING (doc_id) WHERE page_number BETWEEN page_start AND page_end",
+}
