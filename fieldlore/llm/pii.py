@@ -40,7 +40,7 @@ CAP = rf"[A-ZÀ-ÖØ-Þ][^\W_]{{2,}}{BREAK}"
 #: Between the words of a name: blanks, at most one line break, and a stray mark of the scan.
 GAP = r"[^\S\n]*(?:[*¦^\\|•~][^\S\n]*)?\n?[^\S\n]*"
 STREET_WORDS = "road rd street st avenue ave lane ln drive boulevard blvd court way".split()
-STRONG = re.compile(rf"(?:\b(?:{TITLES})\.?|(?<![\w.])[A-Z]\.){GAP}(?<=\s)({CAP})(?![^\W_])(?!\s+(?i:{'|'.join(STREET_WORDS)})\b)")
+STRONG = re.compile(rf"(?:\b(?=[A-Z]|señ|gua|gar)(?:{TITLES})\.?|(?<![\w.])[A-Z]\.){GAP}(?<=\s)({CAP})(?![^\W_])(?!\s+(?i:{'|'.join(STREET_WORDS)})\b)")
 WORD = re.compile(CAP)
 BEFORE_TITLE = re.compile(rf"(?:^|(?<![\w]))(?:{TITLES})\.?{GAP}(?<=\s)$")
 INITIALS = re.compile(rf"(?:(?<![\w.@])(?:[A-Z]\.{GAP}){{1,3}})$")
@@ -109,7 +109,16 @@ def digits(text: str) -> int:
     return sum(map(str.isdigit, text))
 
 
-def find(text: str, surnames, judged: dict[str, bool] | None = None) -> list[tuple[int, int, str]]:
+def _before(left: str) -> tuple[str, str]:
+    """The last character of a text without blanks and stray marks, and its last run of letters and digits."""
+    tail = left.rstrip(" \t\n\r\x0b\x0c*¦^\\|•~\xa0")
+    k = len(body := tail.rstrip("."))
+    while k and body[k - 1].isalnum():
+        k -= 1
+    return tail[-1:], body[k:]
+
+
+def find(text: str, surnames, judged: dict | None = None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the personal items of a text, in order, without overlaps; judged remembers words between texts."""
     judged = {} if judged is None else judged
     if len(judged) > 500_000:
@@ -146,46 +155,55 @@ def find(text: str, surnames, judged: dict[str, bool] | None = None) -> list[tup
             add(m.start(), m.end(), "address")
     end = 0
     for m in WORD.finditer(text):
-        if m.start() < end:
+        begin = m.start()
+        if begin < end:
             continue
         word = m[0]
-        w = fold(word)
-        if w in NOT_NAMES:
+        # of each word as written: its fold and whether it is a surname; None if it never is one
+        if (state := judged.get(word, 0)) == 0:
+            w = fold(word)
+            state = judged[word] = None if w in NOT_NAMES else (w, w in surnames or (len(w) > 5 and any(r in surnames for r in readings(w))))
+        if state is None:
             continue
-        if (known := judged.get(w)) is None:
-            known = judged[w] = w in surnames or (len(w) > 5 and any(r in surnames for r in readings(w)))
+        w, known = state
         if not known:
-            last = text[max(0, m.start() - 16) : m.start()].split()[-1:]
-            if not last or not (len(last[0]) == 2 and last[0][1] == "." and last[0][0].isupper() or last[0].rstrip(".") in TITLE_SET or (last[0][0].isupper() and last[0].isalpha() and is_given(last[0]))):
+            last = text[max(0, begin - 16) : begin].split()[-1:]
+            if not last:
+                continue
+            last = last[0]
+            if not (len(last) == 2 and last[1] == "." and last[0].isupper() or last.rstrip(".") in TITLE_SET or (last[0].isupper() and last.isalpha() and is_given(last))):
                 continue
-        window = 48
-        left = text[max(0, m.start() - window) : m.start()]
         follow = FOLLOWING.match(text, m.end())
         if follow and is_place(follow[1]):
             continue
-        start, rest, strong = m.start(), left, False
-        if BEFORE_TITLE.search(rest):
+        window = 48
+        left = text[max(0, begin - window) : begin]
+        start, rest, strong = begin, left, False
+        before, token = _before(rest)
+        if token in TITLE_SET and BEFORE_TITLE.search(rest):
             strong = True
         else:
             while True:
-                if i := INITIALS.search(rest):
+                # the patterns run only where the token before allows them
+                if before == "." and len(token) == 1 and (i := INITIALS.search(rest)):
                     strong = True
-                elif (i := PREVIOUS.search(rest)) and is_given(i[1]) and not BEFORE_TITLE.search(i[0]):
+                elif token[:1].isupper() and len(token) > 1 and is_given(token) and (i := PREVIOUS.search(rest)) and is_given(i[1]) and not BEFORE_TITLE.search(i[0]):
                     strong = True
                 else:
                     break
                 rest = rest[: i.start()]
-                start = m.start() - (len(left) - len(rest))
+                start = begin - (len(left) - len(rest))
                 if len(rest) < 24 and start > len(rest):
                     # names that reach further to the left than the window: widen it
                     window *= 2
-                    left = text[max(0, m.start() - window) : m.start()]
-                    rest = left[: len(left) - (m.start() - start)]
-            if strong and not known and start < m.start() and re.fullmatch(r"\s*(?:[A-Z]\.\s*)+", text[start : m.start()]) and re.search(r"(?:U\.\s*S\.|P\.\s*O\.|D\.\s*C\.)\s*$", text[start : m.start()]):
+                    left = text[max(0, begin - window) : begin]
+                    rest = left[: len(left) - (begin - start)]
+                before, token = _before(rest)
+            if strong and not known and start < begin and re.fullmatch(r"\s*(?:[A-Z]\.\s*)+", text[start:begin]) and re.search(r"(?:U\.\s*S\.|P\.\s*O\.|D\.\s*C\.)\s*$", text[start:begin]):
                 continue
             # French M. is a title where a verb of the language follows
-            if start < m.start() and text[start : m.start()].strip() == "M." and re.match(r"\s+(?:a|et|est|nota|écrit|fut)\s", text[m.end() : m.end() + 12]):
-                start = m.start()
+            if start < begin and text[start:begin].strip() == "M." and re.match(r"\s+(?:a|et|est|nota|écrit|fut)\s", text[m.end() : m.end() + 12]):
+                start = begin
         # a place cut off by the end of a page
         if not strong and not follow and AT_PLACE.search(left):
             continue
@@ -402,7 +420,7 @@ def placeholder(kind: str, value: str, key: bytes) -> str:
     return f"[{kind.upper()} {hashlib.blake2b(same.encode(), key=key, digest_size=8).hexdigest()}]"
 
 
-def replacements(text: str | None, surnames, key: bytes, judged: dict[str, bool] | None = None, with_dates: bool = True) -> list[tuple[int, int, str, str]]:
+def replacements(text: str | None, surnames, key: bytes, judged: dict | None = None, with_dates: bool = True) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, placeholder) of all that is masked in a text, in order; dates have the kind 'date'."""
     if not text:
         return []
@@ -414,7 +432,7 @@ def replacements(text: str | None, surnames, key: bytes, judged: dict[str, bool]
     return put
 
 
-def mask(text: str | None, surnames, key: bytes, judged: dict[str, bool] | None = None) -> str | None:
+def mask(text: str | None, surnames, key: bytes, judged: dict | None = None) -> str | None:
     if not text:
         return text
     out, at = [], 0
@@ -495,7 +513,7 @@ def items(texts: DataFrame) -> DataFrame:
     rows = texts.where("record_id IS NOT NULL AND text IS NOT NULL").select("record_id", "text")
 
     def kernel(batches: Iterator[pd.DataFrame], lexicon) -> Iterator[pd.DataFrame]:
-        judged: dict[str, bool] = {}
+        judged: dict = {}
         for b in batches:
             # what is remembered of words holds for one lexicon
             shared = "known" not in b
@@ -511,7 +529,7 @@ def masked(texts: DataFrame, key: bytes) -> DataFrame:
         raise ValueError("the key has 16 to 64 bytes")
 
     def kernel(batches: Iterator[pd.DataFrame], lexicon) -> Iterator[pd.DataFrame]:
-        judged: dict[str, bool] = {}
+        judged: dict = {}
         for b in batches:
             shared = "known" not in b
             yield pd.DataFrame({"record_id": b["record_id"], "text": [mask(t, known, key, judged if shared else None) if isinstance(t, str) else None for t, known in zip(b["text"], lexicon(b))]})
