@@ -87,6 +87,20 @@ def tiered(links: DataFrame) -> DataFrame:
     return links.withColumn("tier", tier).withColumn("diagnostic_code", F.when(tier == "forbidden", "RELATION_COMPATIBILITY_FORBIDDEN").when(tier == "weak", "RELATION_COMPATIBILITY_WEAK"))
 
 
+#: Claim types of older rules and their names now; types, relations and entity types that are known (values of the tables).
+RENAMES = {"population_count": "population_estimate", "burn": "fire_incident", "weather": "weather_observation"}
+UNCLASSIFIED = "unclassified_assertion"
+
+
+def contracted(rows: DataFrame, claim_types: tuple[str, ...], relations: tuple[str, ...], entity_types: tuple[str, ...], fallback: str = "TOPIC_OF_CLAIM", renames: dict[str, str] = RENAMES) -> DataFrame:
+    """links(claim_type, relation_type, entity_type, …) as the contract allows them: older claim types under their new
+    name, unknown ones unclassified, unknown relations as the fallback, links to entity types that are not allowed left out."""
+    new = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in renames.items() for x in kv]), F.col("claim_type")), F.col("claim_type"))
+    claim_type = F.when(new.isin(*claim_types), new).otherwise(UNCLASSIFIED)
+    relation = F.when(F.col("relation_type").isin(*relations), F.col("relation_type")).otherwise(fallback)
+    return rows.where(F.col("entity_type").isin(*entity_types)).withColumn("claim_type", claim_type).withColumn("relation_type", relation)
+
+
 def penalised(claims: DataFrame, links: DataFrame) -> DataFrame:
     """A tenth off the confidence for every weak link, not below zero."""
     weak = links.where("tier = 'weak'").groupBy("claim_id").agg(F.count("entity_id").alias("weak"))

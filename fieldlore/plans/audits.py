@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -177,18 +179,50 @@ def unclassified_rate(g: Graph, most: float = 0.2) -> DataFrame:
     return rows.groupBy("series").agg(F.count("claim_id").alias("claims"), rate.alias("rate")).withColumn("passes", F.col("rate") <= most)
 
 
-def rule_problems(rules, policy: dict[tuple[str, str], str], preferred: dict[str, tuple[str, ...]], entity_types: set[str]) -> list[str]:
-    """What is wrong with a set of rules."""
-    out, types = [], {t for t, _, _ in rules}
-    for i, (kind, pattern, weight) in enumerate(rules):
+@dataclass(frozen=True)
+class Domain:
+    """The rules of a domain, as far as they refer to each other."""
+
+    rules: tuple = extraction.CLAIM_RULES
+    policy: dict[tuple[str, str], str] = field(default_factory=dict)
+    preferred: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    derived: tuple[str, ...] = ()
+    renames: dict[str, str] = field(default_factory=dict)
+    labels: tuple[str, ...] = ()
+    anchor: dict[str, str] = field(default_factory=dict)
+    institution_id: str = ""
+    context: str = ""
+    vocabulary_file: str = ""
+
+
+#: A type of claims that no rule finds, and a label that no vocabulary has (fixed values).
+UNCLASSIFIED, MADE_LABEL = "unclassified_assertion", "Period"
+
+
+def rule_problems(d: Domain, entity_types: set[str], exists=os.path.exists) -> list[str]:
+    """What is wrong with the rules of a domain: patterns and weights, and whatever refers to what is not there."""
+    out: list[str] = []
+    types = {t for t, _, _ in d.rules}
+    free = types | set(d.renames) | {UNCLASSIFIED}
+    for i, (kind, pattern, weight) in enumerate(d.rules):
         try:
             re.compile(pattern)
         except re.error as e:
             out.append(f"rule {i} ({kind}): {e}")
         if weight <= 0:
             out.append(f"rule {i} ({kind}): weight {weight}")
-    out += [f"policy of unknown claim type {c}" for c, _ in policy if c not in types] + [f"policy of unknown entity type {e}" for _, e in policy if e not in entity_types]
-    return out + [f"preference of unknown entity type {e}" for es in preferred.values() for e in es if e not in entity_types]
+    out += [f"derivation of unknown claim type {c}" for c in d.derived if c not in free]
+    out += [f"claim type {c} has no derivation" for c in sorted(types - set(d.derived) - set(d.renames) - {UNCLASSIFIED}) if d.derived]
+    out += [f"policy of unknown claim type {c}" for c, _ in d.policy if c not in free] + [f"policy of unknown entity type {e}" for _, e in d.policy if e not in entity_types]
+    out += [f"preference of unknown entity type {e}" for es in d.preferred.values() for e in es if e not in entity_types]
+    out += [f"rename to unknown claim type {new}" for new in d.renames.values() if new not in types]
+    if d.labels:
+        out += [f"label {x} has no entity" for x in sorted(set(d.labels) - entity_types - {MADE_LABEL})] + [f"entities of type {x} have no label" for x in sorted(entity_types - set(d.labels))]
+    if d.anchor:
+        out += [f"anchor of unknown entity type {d.anchor['entity_type']}"] if d.anchor.get("entity_type") not in (None, *entity_types) else []
+        out += ["anchor without a relation"] if not d.anchor.get("relation") else []
+    out += [f"no {name}" for name, value in (("institution_id", d.institution_id), ("context", d.context)) if not value]
+    return out + ([f"no file {d.vocabulary_file}"] if d.vocabulary_file and not exists(d.vocabulary_file) else [])
 
 
 def converged(rates: list[float], unclassified: list[frozenset[str]], target: float = 0.2, most: int = 5, least_gain: float = 0.02) -> str | None:
@@ -202,6 +236,25 @@ def converged(rates: list[float], unclassified: list[frozenset[str]], target: fl
     return "same_rest" if len(unclassified) > 1 and unclassified[-1] == unclassified[-2] else None
 
 
+def bootstrap(claims: DataFrame, draft: tuple, refine, entity_types: set[str], text: str = "source_sentence", shown: int = 50, **limits) -> tuple[tuple, list[float], str]:
+    """Rules, rate of each round and why it ended. A round validates the rules, rates them over all claims and gives
+    ``refine(rules, sentences)`` some sentences that none of them finds (the first by a hash, for a person or a model to
+    read), whose answer are the rules of the next round. Rules that do not hold end the loop before they are used."""
+    rules, rates, rests = draft, [], []
+    while True:
+        if problems := [p for p in rule_problems(Domain(rules=rules, institution_id="-", context="-"), entity_types) if p.startswith("rule ")]:
+            return rules, rates, "; ".join(problems)
+        hit = extraction.classified(claims.select("claim_id", text), text, rules).select("claim_id", F.lit(1).alias("hit"))
+        rated = claims.select("claim_id", text).join(hit, "claim_id", "left")
+        rate = rated.agg((1 - F.count("hit") / F.count("claim_id")).alias("rate")).first().rate
+        rest = [r[text] for r in rated.where("hit IS NULL").select(text, F.md5(F.col(text).cast("binary")).alias("h")).distinct().orderBy("h", text).limit(shown).collect()]
+        rates.append(float(rate or 0.0))
+        rests.append(frozenset(rest))
+        if why := converged(rates, rests, **limits):
+            return rules, rates, why
+        rules = refine(rules, rest)
+
+
 def prewarm(g: Graph, cached: DataFrame | None = None, least: int = 40, chunk: int = 10_000, price: float = 3.0) -> DataFrame:
     """Distinct texts that a model still has to see, in chunks of ``chunk`` in the order of their keys, with a
     cost. Texts are numbered within 256 ranges of keys, and each range begins where the ones before it end, so that no

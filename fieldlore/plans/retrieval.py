@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldlore.plans.graph import LEVELS_OF_ROLE, OTHER_RELATION, ROLE_POLICY, Access, Graph
@@ -135,9 +135,9 @@ def role_trend(g: Graph, entity_type: str = "Species", entity_id: str | None = N
     return rows.groupBy("name", "year").agg(F.count_distinct("observation_id").alias("observation_count"), F.round(F.avg("extraction_confidence"), 6).alias("avg_confidence"))
 
 
-def scope_condition(g: Graph) -> DataFrame:
-    """Habitats by year and species."""
-    h = g.edges.where("entity_type = 'Habitat'").select("claim_id", F.col("name").alias("habitat"))
+def scope_condition(g: Graph, scope: str = "Habitat") -> DataFrame:
+    """Habitats (or entities of another type) by year and species."""
+    h = g.edges.where(F.col("entity_type") == scope).select("claim_id", F.col("name").alias("habitat"))
     s = g.edges.where("entity_type = 'Species'").select("claim_id", F.col("name").alias("species"))
     rows = g.active_claims.select("claim_id", "extraction_confidence").join(g.observations.where("year IS NOT NULL"), "claim_id").join(h, "claim_id").join(s, "claim_id", "left")
     return rows.groupBy("habitat", "year", "species").agg(F.count("observation_id").alias("observation_count"), F.round(F.avg("extraction_confidence"), 6).alias("avg_confidence"))
@@ -165,6 +165,35 @@ def integrity(g: Graph) -> DataFrame:
     return known.groupBy(status.alias("status")).agg(F.count("doc_id").alias("documents"))
 
 
+def rehashed(stored: DataFrame, now: DataFrame) -> DataFrame:
+    """Key and status of each stored hash against the content that is there now: ok, changed, missing (no content) or
+    no_hash. stored(key, file_hash), now(key, content as binary); contents are hashed where they lie."""
+    fresh = now.groupBy("key").agg(F.max(F.sha1("content")).alias("fresh"))
+    status = F.when(F.col("file_hash").isNull(), "no_hash").when(F.col("fresh").isNull(), "missing").when(F.col("fresh") == F.lower("file_hash"), "ok").otherwise("changed")
+    return stored.join(fresh, "key", "left").select("key", status.alias("status"))
+
+
+def files_integrity(spark: SparkSession, stored: DataFrame, folder: str, pattern: str = "*") -> DataFrame:
+    """A15 over the files of a folder: stored(source_file, file_hash); only the hash of a file leaves its task."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
+    return rehashed(stored.withColumnRenamed("source_file", "key"), found.select(F.regexp_replace("path", r"^.*/", "").alias("key"), "content"))
+
+
+def corpus_integrity(g: Graph) -> DataFrame:
+    """A15 over the corpus of texts: the hash of each text with plain line ends, as a registry would hold it, against its
+    content as it is stored: statuses by source."""
+    docs = g._table("documents").select(F.col("doc_id").cast("string").alias("key"), "source", "text")
+    stored = docs.select("key", F.when(F.col("text").isNotNull(), F.sha1(F.regexp_replace("text", "\r\n", "\n").cast("binary"))).alias("file_hash"))
+    status = rehashed(stored, docs.where("text IS NOT NULL").select("key", F.col("text").cast("binary").alias("content")))
+    return status.join(docs.select("key", "source"), "key").groupBy("source", "status").agg(F.count("key").alias("documents"))
+
+
+def duplicate_texts(g: Graph) -> DataFrame:
+    """A16 over the corpus of texts: hashes that several documents share."""
+    docs = g._table("documents").where("text IS NOT NULL").select("doc_id", F.md5(F.col("text").cast("binary")).alias("file_hash"))
+    return docs.groupBy("file_hash").agg(F.count_distinct("doc_id").alias("documents"), F.min("doc_id").alias("first_doc_id")).where("documents > 1")
+
+
 def duplicate_hashes(g: Graph) -> DataFrame:
     """Hashes that several documents share."""
     return g.docs.where("file_hash IS NOT NULL").groupBy("file_hash").agg(F.count_distinct("doc_id").alias("documents"), F.min("doc_id").alias("first_doc_id")).where("documents > 1")
@@ -288,12 +317,12 @@ def combined(g: Graph, entity_id: str, claim_types: tuple[str, ...], budget: int
     return top(rows, budget, F.desc("extraction_confidence"), "claim_id")
 
 
-def sparse_runs(g: Graph) -> DataFrame:
-    """Runs of years whose documents are at most a fifth of the median (at least 1), with the years around them."""
+def sparse_runs(g: Graph, part: float = 0.2) -> DataFrame:
+    """Runs of years whose documents are at most a part of the median (at least 1), with the years around them."""
     counts = g.docs.where("report_year BETWEEN 1800 AND 2026").groupBy(F.col("report_year").alias("year")).agg(F.count("doc_id").alias("documents"))
     edge = counts.agg(F.min("year").alias("first"), F.max("year").alias("last"), F.percentile("documents", 0.5).alias("median"))
     years = edge.select("median", F.explode(F.sequence("first", "last")).alias("year"))
-    dense = years.join(counts, "year", "left").withColumn("documents", F.coalesce("documents", F.lit(0))).where(F.col("documents") <= F.greatest(F.lit(1.0), 0.2 * F.col("median")))
+    dense = years.join(counts, "year", "left").withColumn("documents", F.coalesce("documents", F.lit(0))).where(F.col("documents") <= F.greatest(F.lit(1.0), part * F.col("median")))
     # the calendar bounds the window's single group
     island = dense.withColumn("island", F.col("year") - F.row_number().over(Window.orderBy("year")))
     return island.groupBy("island").agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.count("year").alias("years"), F.sum("documents").alias("documents")).drop("island")
@@ -429,7 +458,7 @@ EXPECTED = {"economic_use": 0.4, "fire_incident": 0.3, "population_estimate": 0.
 _BOUND = {
     "a1_latest_view": latest_view, "a2_audit_view": audit_view, "a3_provenance_chain": provenance, "a4_entity_anchored": lambda g: entity_anchored(g, TEAL, 1935, 1970), "a5_fulltext": lambda g: fulltext(g, "fire burned the lower marsh"),
     "a5_contains": lambda g: contains(g, "cattail belt"), "a6_temporal": lambda g: temporal(g, 1940, 1950), "a7_temporal_anchor": lambda g: temporal(g, 1930, 1980, docs=anchors(g)), "a8_document_anchor": lambda g: document_anchor(g, LAKE),
-    "a9_multi_entity": lambda g: multi_entity(g, (TEAL, LAKE, "species:mallard")), "a10_type_scoped": lambda g: claim_type_scoped(g, TYPES, None, 1940, 1960), "a11_role_trend": role_trend, "a11_role_trend_rows": lambda g: role_trend(g, literal=False), "a12_scope_condition": scope_condition,
+    "a9_multi_entity": lambda g: multi_entity(g, (TEAL, LAKE, "species:mallard")), "a10_type_scoped": lambda g: claim_type_scoped(g, TYPES, None, 1940, 1960), "a11_role_trend": role_trend, "a11_role_trend_rows": lambda g: role_trend(g, literal=False), "a12_scope_condition": scope_condition, "a12_scope_places": lambda g: scope_condition(g, "Place"), "a15_texts": corpus_integrity, "a16_texts": duplicate_texts, "w5_sparse_wide": lambda g: sparse_runs(g, 0.95),
     "a13_corpus_stats": corpus_stats, "a14_list_documents": list_documents, "a15_integrity": integrity, "a16_duplicate_hashes": duplicate_hashes, "a17_entity_fetch": entity_fetch, "a18_quarantined": count_quarantined, "a20_doc_overview": doc_overview, "a21_doc_types": doc_types, "a21_coverage": temporal_coverage,
     "a22_claim_types": claim_types, "a22_by_institution": claim_types_by_institution, "a23_entity_types": entity_types, "a24_confidence": confidence_distribution, "a25_density": temporal_density, "a26_entity_depth": entity_depth, "a26_geographic": lambda g: entity_depth(g, "Place"), "a27_paragraph_mentions": paragraph_mentions,
     "a28_entity_search": lambda g: entity_search(g, "teal"), "a29_entity_detail": entity_detail, "a30_neighborhood": lambda g: neighborhood(g, TEAL), "a31_diagnostics": diagnostics, "a32_institutions": institution_counts, "a33_anchor_lookup": anchor_lookup, "o3_combined": lambda g: combined(g, TEAL, TYPES),
@@ -510,4 +539,10 @@ _SQL = {
     "t4_top_claims": "SELECT doc_id, place::int AS place, claim_id, extraction_confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY extraction_confidence DESC, claim_id) AS place FROM act) WHERE place <= 5",
     "f2_role_levels": "SELECT role, count(*) AS documents FROM docs JOIN (VALUES " + ", ".join(f"('{r}', '{x}')" for r, xs in LEVELS_OF_ROLE.items() for x in xs) + ") l(role, access_level) USING (access_level) WHERE deleted_at IS NULL GROUP BY 1",
 }
+_SQL |= {
+    "a12_scope_places": _SQL["a12_scope_condition"].replace("h.entity_type = 'Habitat'", "h.entity_type = 'Place'"),
+    "a15_texts": "SELECT source, CASE WHEN text IS NULL THEN 'no_hash' WHEN sha1(replace(text, chr(13) || chr(10), chr(10))) = sha1(text) THEN 'ok' ELSE 'changed' END AS status, count(*) AS documents FROM documents GROUP BY 1, 2",
+    "a16_texts": "SELECT md5(text) AS file_hash, count(DISTINCT doc_id) AS documents, min(doc_id) AS first_doc_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT doc_id) > 1",
+    "w5_sparse_wide": _SQL["w5_sparse_runs"].replace("0.2 * median", "0.95 * median"),
+}
 ORACLES = {name: _WITH + sql for name, sql in _SQL.items()}
