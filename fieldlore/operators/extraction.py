@@ -266,52 +266,111 @@ def measurements(claims: DataFrame, rules: MeasurementRules = MeasurementRules()
 SMALL = frozenset("the a an in at on of for with and or but to from by about during near after before that this these those it its".split())
 
 
+class Terms:
+    """Finds terms in texts with an automaton over all of them, so that a text is read once however many there are."""
+
+    def __init__(self, terms):
+        import ahocorasick
+
+        self.automaton = ahocorasick.Automaton()
+        for t in terms:
+            self.automaton.add_word(t, len(t))
+        if len(self.automaton):
+            self.automaton.make_automaton()
+
+    def hits(self, text: str) -> list[tuple[int, int]]:
+        """(start, end) of all terms that stand as whole words, overlapping ones too."""
+        low = text.lower()
+        if not len(self.automaton):
+            return []
+        if len(low) != len(text):
+            # letters whose small form is longer: each by its own, so that offsets hold
+            low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+        word = lambda i: 0 <= i < len(low) and (low[i].isalnum() or low[i] == "_")
+        out = []
+        for last, size in self.automaton.iter(low):
+            s, e = last + 1 - size, last + 1
+            if word(s) != word(s - 1) and word(e - 1) != word(e):
+                out.append((s, e))
+        return out
+
+
+def longest(text: str, hits) -> list[tuple[int, int]]:
+    """Of spans the longest anywhere first, none overlapping a longer one; equally long ones by their text, then place."""
+    kept: list[tuple[int, int]] = []
+    for s, e in sorted(set(hits), key=lambda h: (h[0] - h[1], text[h[0] : h[1]].lower(), h[0])):
+        if all(e <= a or s >= b for a, b in kept):
+            kept.append((s, e))
+    return sorted(kept)
+
+
+#: Letters and signs that are counted to bound the similarity of two terms.
+COUNTED = "abcdefghijklmnopqrstuvwxyz0123456789 -'."
+
+
+class Nearest:
+    """The term most like a form, by the matching-blocks ratio: at least as good as ``least``, the shorter and then the
+    smaller in a tie. Common letters, counted for all terms of a length at once, leave few terms for the ratio itself."""
+
+    def __init__(self, terms, least: float = 0.78):
+        import numpy as np
+
+        self.least, self.known, self.by_length = least, {}, {}
+        place = {c: i for i, c in enumerate(COUNTED)}
+        grouped: dict[int, list[str]] = {}
+        for t in terms:
+            grouped.setdefault(len(t), []).append(t)
+        self.place = place
+        for n, own in grouped.items():
+            own.sort()
+            self.by_length[n] = own, np.array([self._count(t) for t in own], np.int16)
+
+    def _count(self, text: str) -> list[int]:
+        out = [0] * (len(COUNTED) + 1)
+        for c in text:
+            out[self.place.get(c, len(COUNTED))] += 1
+        return out
+
+    def scored(self, form: str) -> tuple[str, float] | None:
+        import difflib
+
+        import numpy as np
+
+        if form in self.known:
+            return self.known[form]
+        best, score = None, 0.0
+        own = np.array(self._count(form), np.int16)
+        for n in range(max(1, len(form) - 3), len(form) + 4):
+            terms, counts = self.by_length.get(n, ((), None))
+            if not terms:
+                continue
+            bound = 2.0 * np.minimum(counts, own).sum(axis=1) / (n + len(form))
+            floor = max(score, self.least)
+            for i in np.flatnonzero(bound >= floor - 1e-9):
+                if bound[i] > score and (r := difflib.SequenceMatcher(None, form, terms[i]).ratio()) > score:
+                    best, score = terms[i], r
+        self.known[form] = (best, score) if best is not None and score >= self.least else None
+        return self.known[form]
+
+    def __call__(self, form: str) -> str | None:
+        found = self.scored(form)
+        return found[0] if found else None
+
+
 class MentionKernel:
-    """Lexicon terms, acronyms, names with titles, capitalised words; overlaps go to the longer span."""
+    """Lexicon terms, acronyms, names with titles, capitalised words; overlaps go to the longer span.
+
+    What needs the whole vocabulary (where terms stand, the nearest term of a form, which forms are terms) may be handed in.
+    """
 
-    def __init__(self, lexicon: dict[str, list[str]], known_errors: frozenset[str] = frozenset(), negative: frozenset[str] = frozenset()):
+    def __init__(self, lexicon: dict[str, list[str]], known_errors: frozenset[str] = frozenset(), negative: frozenset[str] = frozenset(), terms: Terms | None = None, nearest=None):
         self.lexicon, self.errors, self.negative = {k.lower(): v for k, v in lexicon.items()}, known_errors, negative
-        # longest first and then by text: at one place the longest term wins, whichever begins
-        terms = sorted(self.lexicon, key=lambda t: (-len(t), t))
-        self.terms = re.compile(r"\b(?:" + "|".join(map(re.escape, terms)) + r")\b", re.I) if terms else None
-        self.by_length: dict[int, list[str]] = {}
-        for t in self.lexicon:
-            self.by_length.setdefault(len(t), []).append(t)
-        self.near: dict[str, str | None] = {}
+        self.terms = terms or Terms(self.lexicon)
+        self.nearest = nearest or Nearest(self.lexicon)
         self.known_flags: dict[str, list[str]] = {}
 
     def scan(self, text: str) -> list[tuple[int, int]]:
-        """Terms in the text, the longest anywhere first, none overlapping a longer one."""
-        if self.terms is None:
-            return []
-        hits = []
-        for m in self.terms.finditer(text):
-            hits.append(m.span())
-        # a longer term may begin inside a shorter match: look for those too
-        for s, e in list(hits):
-            at = s + 1
-            while at < e and (m := self.terms.search(text, at)) and m.start() < e:
-                hits.append(m.span())
-                at = m.start() + 1
-        kept: list[tuple[int, int]] = []
-        for s, e in sorted(set(hits), key=lambda h: (h[0] - h[1], text[h[0] : h[1]].lower(), h[0])):
-            if all(e <= a or s >= b for a, b in kept):
-                kept.append((s, e))
-        return sorted(kept)
-
-    def nearest(self, form: str, least: float = 0.78) -> str | None:
-        import difflib
-
-        if form not in self.near:
-            best, score = None, 0.0
-            matcher = difflib.SequenceMatcher(None, form)
-            for n in range(len(form) - 3, len(form) + 4):
-                for term in self.by_length.get(n, ()):
-                    matcher = difflib.SequenceMatcher(None, form, term)
-                    if matcher.quick_ratio() > score and (r := matcher.ratio()) > score:
-                        best, score = term, r
-            self.near[form] = best if score >= least else None
-        return self.near[form]
+        return longest(text, self.terms.hits(text))
 
     def flags(self, surface: str) -> list[str]:
         """Signs of a misread form."""
@@ -335,9 +394,9 @@ class MentionKernel:
     def extract(self, text: str) -> list[tuple]:
         """(surface_form, start_offset, end_offset, confidence, source, ocr_flags, type_hints)."""
         spans = [(s, e, 0.92, "seed_lexicon") for s, e in self.scan(text) if text[s:e].lower() not in self.negative]
-        for pattern, source in ((r"\b[A-Z]{2,}\b|[A-Z]\.(?:\s*[A-Z]\.)+(?:\s+[A-Z][a-z]+)*", "acronym"), (r"\b(?:Dr|Mr|Mrs|Prof|Col|Lt|Sgt)\.?\s+(?:[A-Z]\.\s*)*[A-Z][a-z]+", "initialized_name")):
-            spans += [(m.start(), m.end(), 0.82, source) for m in re.finditer(pattern, text) if len(m[0].strip()) > 1 and m[0].strip().lower() not in self.negative]
-        for m in re.finditer(r"\b[A-Z][a-z]{2,}(?:[ \t]+[A-Z][a-z]+)*\b", text):
+        for pattern, source in SHAPES[:2]:
+            spans += [(m.start(), m.end(), 0.82, source) for m in pattern.finditer(text) if len(m[0].strip()) > 1 and m[0].strip().lower() not in self.negative]
+        for m in SHAPES[2][0].finditer(text):
             words = m[0].split()
             if words[0].lower() in SMALL or m[0].lower() in self.negative:
                 continue
@@ -365,27 +424,117 @@ class MentionKernel:
 
 
 MENTIONED = "paragraph_id string, surface_form string, start_offset int, end_offset int, detection_confidence double, detection_source string, ocr_flags array<string>, entity_type_hints array<string>"
-#: Names of a vocabulary that is handed to every worker.
+#: Names of a vocabulary that one worker holds at a time; a larger one is gone through in parts.
 MOST_TERMS = 100_000
 
 
-def mentions(paragraphs: DataFrame, entities: DataFrame) -> DataFrame:
-    """One row per mention of paragraphs (paragraph_id, clean_text)."""
-    rows = entities.select("entity_type", "name").where("name IS NOT NULL").distinct().orderBy("name", "entity_type").limit(MOST_TERMS + 1).collect()
-    if len(rows) > MOST_TERMS:
-        raise ValueError(f"a vocabulary of more than {MOST_TERMS} names needs one scan for each part of it")
-    lexicon: dict[str, list[str]] = {}
-    for r in rows:
-        lexicon.setdefault(r.name.lower(), []).append(r.entity_type)
-    shared = paragraphs.sparkSession.sparkContext.broadcast(lexicon)
+def vocabulary_parts(entities: DataFrame, size: int | None = None) -> list[dict[str, list[str]]]:
+    """The vocabulary as broadcasts of term to types, in parts of at most about ``size`` names; a part's terms are those of a
+    range of hashes, so that no order of all names is needed and only one part is on the driver at a time."""
+    size = size or MOST_TERMS
+    spark = entities.sparkSession
+    named = entities.where("entity_type IS NOT NULL AND name IS NOT NULL AND name <> ''").select(F.lower("name").alias("term"), "entity_type").groupBy("term").agg(F.sort_array(F.collect_set("entity_type")).alias("types"))
+    parts = max(1, -(-named.count() // size))
+    keyed = named.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)))
+    return [spark.sparkContext.broadcast({r.term: list(r.types) for r in keyed.where(F.col("part") == i).toLocalIterator()}) for i in range(parts)]
 
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        k = MentionKernel(shared.value)
+
+SHAPES = (
+    (re.compile(r"\b[A-Z]{2,}\b|[A-Z]\.(?:\s*[A-Z]\.)+(?:\s+[A-Z][a-z]+)*"), "acronym"), (re.compile(r"\b(?:Dr|Mr|Mrs|Prof|Col|Lt|Sgt)\.?\s+(?:[A-Z]\.\s*)*[A-Z][a-z]+"), "initialized_name"),
+    (re.compile(r"\b[A-Z][a-z]{2,}(?:[ \t]+[A-Z][a-z]+)*\b"), "proper_noun"),
+)
+
+
+def asked_forms(text: str, hits: list[tuple[int, int]]) -> set[str]:
+    """All forms whose nearest term ``extract`` may ask for, and all variants that it may look up."""
+    out = {" ".join(text[s:e].strip().lower().split()) for s, e in hits}
+    for pattern, _ in SHAPES:
+        for m in pattern.finditer(text):
+            out |= {" ".join(m[0].strip().lower().split()), m[0].split()[0].lower(), m[0].strip().lower()}
+    return out
+
+
+class Handed:
+    """Hits, terms and nearest terms that parts of a large vocabulary gave for one paragraph."""
+
+    def __init__(self, spans: list[tuple[int, int]], near: dict[str, str]):
+        self.spans, self.near = spans, near
+
+    def hits(self, text: str) -> list[tuple[int, int]]:
+        return self.spans
+
+    def __call__(self, form: str) -> str | None:
+        return self.near.get(form)
+
+
+def _variants(form: str) -> set[str]:
+    """The forms that flags look up in the vocabulary."""
+    return {form, *(form.replace(a, b) for a, b in (("0", "o"), ("1", "l"), ("rn", "m"), ("li", "h")))}
+
+
+def mentions(paragraphs: DataFrame, entities: DataFrame) -> DataFrame:
+    """One row per mention of paragraphs (paragraph_id, clean_text). A vocabulary of more than MOST_TERMS names is gone
+    through in parts: each part tells where its terms stand and which of them are nearest to the paragraphs' forms, and
+    these are put together for each paragraph, with the same result."""
+    parts = vocabulary_parts(entities)
+    rows, columns = paragraphs.select("paragraph_id", "clean_text"), [x.split()[0] for x in MENTIONED.split(", ")]
+    if len(parts) == 1:
+        shared = parts[0]
+
+        def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            k = MentionKernel(shared.value)
+            for b in batches:
+                out = [(p, *r) for p, t in zip(b["paragraph_id"], b["clean_text"]) if isinstance(t, str) for r in k.extract(t)]
+                yield pd.DataFrame(out, columns=columns)
+
+        return rows.mapInPandas(kernel, MENTIONED)
+    from fieldlore.session import cut
+
+    def of_part(shared):
+        def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            terms, near = Terms(shared.value), Nearest(shared.value)
+            for b in batches:
+                out = []
+                for p, t in zip(b["paragraph_id"], b["clean_text"]):
+                    if not isinstance(t, str):
+                        continue
+                    spans = terms.hits(t)
+                    out += [(p, "span", t[s:e].lower(), s, e, 0.0, shared.value[t[s:e].lower()]) for s, e in spans if t[s:e].lower() in shared.value]
+                    forms = asked_forms(t, spans)
+                    for f in forms:
+                        if found := near.scored(f):
+                            out.append((p, "near", f, 0, 0, found[1], [found[0]]))
+                        out += [(p, "term", v, 0, 0, 0.0, shared.value[v]) for v in _variants(f) if v in shared.value]
+                yield pd.DataFrame(out, columns=["paragraph_id", "what", "form", "s", "e", "score", "terms"])
+
+        return kernel
+
+    found = None
+    for shared in parts:
+        one = rows.mapInPandas(of_part(shared), "paragraph_id string, what string, form string, s int, e int, score double, terms array<string>")
+        found = one if found is None else found.unionByName(one)
+    found = cut(found.distinct())
+    # forms that a term of another part brings are asked of all parts: a term is its own nearest
+    # the better, then the shorter, then the smaller
+    least = F.min(F.struct((-F.col("score")).alias("score"), F.length(F.col("terms")[0]).alias("size"), F.col("terms")[0].alias("term")))
+    near = found.where("what = 'near'").groupBy("paragraph_id", "form").agg(least.alias("best"))
+    best = near.select("paragraph_id", F.struct(F.lit("near").alias("what"), "form", F.lit(0).alias("s"), F.lit(0).alias("e"), F.array("best.term").alias("terms")).alias("x"))
+    rest = found.where("what <> 'near'").select("paragraph_id", F.struct("what", "form", "s", "e", "terms").alias("x"))
+    own = rest.unionByName(best).groupBy("paragraph_id").agg(F.collect_list("x").alias("given"))
+
+    def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(p, *r) for p, t in zip(b["paragraph_id"], b["clean_text"]) if isinstance(t, str) for r in k.extract(t)]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in MENTIONED.split(", ")])
+            out = []
+            for p, t, given in zip(b["paragraph_id"], b["clean_text"], b["given"]):
+                if not isinstance(t, str):
+                    continue
+                given = given if given is not None else ()
+                lexicon = {g["form"]: list(g["terms"]) for g in given if g["what"] != "near"}
+                handed = Handed([(int(g["s"]), int(g["e"])) for g in given if g["what"] == "span"], {g["form"]: g["terms"][0] for g in given if g["what"] == "near"})
+                out += [(p, *r) for r in MentionKernel(lexicon, terms=handed, nearest=handed).extract(t)]
+            yield pd.DataFrame(out, columns=columns)
 
-    return paragraphs.select("paragraph_id", "clean_text").mapInPandas(kernel, MENTIONED)
+    return rows.join(own, "paragraph_id", "left").mapInPandas(put_together, MENTIONED)
 
 
 def ocr_variants(names: DataFrame, confusions: tuple[tuple[str, str, float], ...]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from collections.abc import Iterator
@@ -43,33 +44,56 @@ def subject_links(claims: DataFrame, text: str = "source_sentence") -> DataFrame
 def claim_links(claims: DataFrame, entities: DataFrame, text: str = "source_sentence") -> DataFrame:
     """Vocabulary terms of each type in a sentence, with the relation of the policy; a place after a verb of
     occurrence is where it happened."""
-    rows = entities.where("entity_type IN ('Species', 'Habitat', 'SurveyMethod', 'Activity', 'Place', 'Refuge') AND name IS NOT NULL").select("entity_type", "name").distinct().limit(extraction.MOST_TERMS + 1).collect()
-    if len(rows) > extraction.MOST_TERMS:
-        raise ValueError(f"a vocabulary of more than {extraction.MOST_TERMS} names needs one scan for each part of it")
-    terms: dict[str, dict[str, list[str]]] = {}
-    for r in rows:
-        terms.setdefault("Place" if r.entity_type == "Refuge" else r.entity_type, {}).setdefault(r.name.lower(), [])
-    shared = claims.sparkSession.sparkContext.broadcast(terms)
-
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanners = {t: extraction.MentionKernel(names) for t, names in shared.value.items()}
-        for b in batches:
-            out = []
-            for claim, sentence in zip(b["claim_id"], b[text]):
-                if not isinstance(sentence, str):
-                    continue
-                for kind, k in scanners.items():
-                    for s, e in k.scan(sentence):
-                        surface = sentence[s:e]
-                        relation, hint = ROLE_POLICY.get(kind, "MANAGEMENT_TARGET"), kind
-                        if kind == "Place":
-                            relation = "OCCURRED_AT" if HAPPENED.search(sentence[:s].rstrip()) else "LOCATION_FOCUS"
-                            hint = "Refuge" if "refuge" in surface.lower() else "Place"
-                        out.append((claim, surface, " ".join(surface.lower().split()), relation, s, e, hint))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in LINKS.split(", ")])
-
-    found = claims.select("claim_id", text).mapInPandas(kernel, LINKS).unionByName(subject_links(claims, text))
-    return extraction.best_links(found, PRECEDENCE)
+    scanned = entities.where("entity_type IN ('Species', 'Habitat', 'SurveyMethod', 'Activity', 'Place', 'Refuge')").select(F.when(F.col("entity_type") == "Refuge", "Place").otherwise(F.col("entity_type")).alias("entity_type"), "name")
+    parts = extraction.vocabulary_parts(scanned)
+
+    def linked(claim: str, sentence: str, kind: str, s: int, e: int) -> tuple:
+        surface = sentence[s:e]
+        relation, hint = ROLE_POLICY.get(kind, "MANAGEMENT_TARGET"), kind
+        if kind == "Place":
+            relation = "OCCURRED_AT" if HAPPENED.search(sentence[:s].rstrip()) else "LOCATION_FOCUS"
+            hint = "Refuge" if "refuge" in surface.lower() else "Place"
+        return (claim, surface, " ".join(surface.lower().split()), relation, s, e, hint)
+
+    def by_kind(hits) -> dict[str, list[tuple[int, int]]]:
+        out: dict[str, list[tuple[int, int]]] = {}
+        for kind, s, e in hits:
+            out.setdefault(kind, []).append((s, e))
+        return out
+
+    def hits_of(terms, types, sentence: str) -> list[tuple[str, int, int]]:
+        return [(kind, s, e) for s, e in terms.hits(sentence) for kind in types.get(sentence[s:e].lower(), ())]
+
+    columns = [c.split()[0] for c in LINKS.split(", ")]
+    rows = claims.select("claim_id", text).where(F.col(text).isNotNull())
+    if len(parts) == 1:
+
+        def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            terms, types = extraction.Terms(parts[0].value), parts[0].value
+            for b in batches:
+                out = [linked(c, t, kind, s, e) for c, t in zip(b["claim_id"], b[text]) for kind, spans in by_kind(hits_of(terms, types, t)).items() for s, e in extraction.longest(t, spans)]
+                yield pd.DataFrame(out, columns=columns)
+
+        found = rows.mapInPandas(kernel, LINKS)
+    else:
+        # each part of a large vocabulary tells where its terms stand; the longest are chosen from all of them
+        def of_part(shared):
+            def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                terms, types = extraction.Terms(shared.value), shared.value
+                for b in batches:
+                    out = [(c, *h) for c, t in zip(b["claim_id"], b[text]) for h in hits_of(terms, types, t)]
+                    yield pd.DataFrame(out, columns=["claim_id", "kind", "s", "e"])
+
+            return kernel
+
+        def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                out = [linked(c, t, kind, s, e) for c, t, hits in zip(b["claim_id"], b[text], b["hits"]) for kind, spans in by_kind((h["kind"], int(h["s"]), int(h["e"])) for h in hits).items() for s, e in extraction.longest(t, spans)]
+                yield pd.DataFrame(out, columns=columns)
+
+        hits = functools.reduce(lambda a, b: a.unionByName(b), [rows.mapInPandas(of_part(p), "claim_id string, kind string, s int, e int") for p in parts])
+        found = rows.join(hits.groupBy("claim_id").agg(F.collect_list(F.struct("kind", "s", "e")).alias("hits")), "claim_id").mapInPandas(choose, LINKS)
+    return extraction.best_links(found.unionByName(subject_links(claims, text)), PRECEDENCE)
 
 
 # -- maintenance and audits -----------------------------------------------------------------------------------
