@@ -58,6 +58,8 @@ MAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*(?:\s?@\s?|\s*[\[(]\s*at\s*[\
 D = r"[\dOolI]"
 IDENTITY = re.compile(rf"(?<![\w-])(?:[A-Z]{{2}}-\s?{D}{{4}}-\s?{D}{{3}}-\s?{D}{{2}}|[A-Z]{D}{{3}}\s{D}{{6}}|[A-Z]{D}{{7}}|{D}{{3}}-\s?{D}{{2}}-\s?{D}{{4}}|{D}{{3}}\s{D}{{2}}\s{D}{{4}}|{D}{{9}})(?![\w-]|\.\d)")
 TOLD = re.compile(r"(?:identity\s+card|social\s+security|passport|identity\s+number|licen[cs]e)\s+(?:no\.?\s+|number\s+|nr\.?\s+|#\s*)?((?:[A-Z]{1,2}-?\s?)?\d[\d -]{4,14}\d)(?![\w-])", re.I)
+#: One of these is in whatever TOLD finds.
+TOLD_WORDS = ("identity", "social", "passport", "licen")
 PHONE = re.compile(rf"(?<![\w+(.-])(?:\+{D}{{1,3}}[\s.-]?|1[-.\s])?(?:\({D}{{3}}\)\s?|{D}{{3}}[-.\s/]\s?){D}{{3}}[-.\s]?\s?{D}{{4}}(?![\w]|-\d)|\+{D}{{1,3}}(?:[\s.-]{D}{{2,6}}){{2,4}}(?![\w])|(?<![\w+(./-])\d{{3}}-\s?\d{{4}}(?![\w-]|\.\d)")
 HOUSE = r"\d{1,5}\s+(?:[NSEW]\.\s+)?(?:[A-Z][\w'’]+\s+){1,2}"
 ADDRESS = re.compile(rf"(?<![\w.,-])(?:(?:R\.?\s?F\.?\s?D\.?|Rural\s+(?:Route|R[o0]ute))\s+\d+(?:,\s+(?:Box\s+\d+|{HOUSE}[A-Z][\w]*\.?))?|P\.?\s?O\.?\s+B[o0]x\s+\d+|Box\s+\d+(?=,\s+[A-Z]))")
@@ -134,14 +136,15 @@ def find(text: str, surnames, judged: dict | None = None) -> list[tuple[int, int
             add(m.start(), m.end(), "email")
     # only runs with six digits can hold a number, so the patterns look at these places alone
     runs = [(max(0, m.start() - 8), m.end() + 12) for m in RUN.finditer(text) if digits(m[0]) >= 6]
-    if runs:
+    if runs and any(w in low for low in (text.casefold(),) for w in TOLD_WORDS):
         for m in TOLD.finditer(text):
             if digits(m[1]) >= 6:
                 add(m.start(1), m.end(1), "id_number")
     for pattern, kind in ((IDENTITY, "id_number"), (PHONE, "phone")):
         for a, b in runs:
             at = a
-            while m := pattern.search(text, at, len(text)):
+            # a number that begins in the run ends, with what must not follow it, well before this
+            while m := pattern.search(text, at, b + 64):
                 if m.start() > b:
                     break
                 if digits(m[0]) >= 6:
@@ -314,23 +317,25 @@ def months(word: str) -> tuple[bool, tuple[tuple[str, int], ...]]:
 SHORT = re.compile(rf"(?<![\w.,/$-])(?=\d|[OolI]\d){D}{{1,2}}(?!\d)")
 
 
+def _begin(text: str, end: int) -> int:
+    """Where the run without blanks that ends at a place begins."""
+    return max(text.rfind(" ", 0, end), text.rfind("\n", 0, end), text.rfind("\t", 0, end), text.rfind("\r", 0, end), text.rfind("\xa0", 0, end)) + 1
+
+
 def _word_before(text: str, at: int) -> int:
     """Where the word before a place begins, with its first part if it is broken at a line end; the place itself if there is none."""
-    j = at
-    while j and text[j - 1].isspace():
-        j -= 1
-    k = j - (j > 0 and text[j - 1] == ".")
-    while k and (text[k - 1].isalnum() or text[k - 1] == "_"):
-        k -= 1
-    q = k
-    while q and text[q - 1].isspace():
-        q -= 1
-    if q and "\n" in text[q:k] and text[q - 1] in "-¬­‐=":
-        q -= 1
-        while q and (text[q - 1].isalnum() or text[q - 1] == "_"):
-            q -= 1
-        return q
-    return k if j < at else at
+    j = len(text[max(0, at - 8) : at].rstrip()) + max(0, at - 8)
+    if j == at:
+        return at
+    k = _begin(text, j)
+    while k < j and not text[k].isalpha():
+        k += 1
+    q = len(text[max(0, k - 8) : k].rstrip()) + max(0, k - 8)
+    if 0 < q < k and text[q - 1] in "-¬­‐=" and "\n" in text[q:k]:
+        k = _begin(text, q - 1)
+        while k < q and not text[k].isalpha():
+            k += 1
+    return k
 
 
 def dates(text: str) -> list[tuple[int, int, re.Match, str, datetime.date, bool]]:
@@ -338,12 +343,14 @@ def dates(text: str) -> list[tuple[int, int, re.Match, str, datetime.date, bool]
     overlaps; a day without a year is one of a leap year."""
     out, taken, month_first, day_first = [], [], [], []
     for s in SHORT.finditer(text):
-        # the patterns look only at places where a day stands
-        if (k := _word_before(text, s.start())) < s.start() and (m := MONTH_DAY.match(text, k)) and m.start("d") == s.start():
+        # the patterns look only at places where a day stands, with a blank or a mark of an ordinal beside it
+        begin, end = s.span()
+        if begin and text[begin - 1].isspace() and (k := _word_before(text, begin)) < begin and (m := MONTH_DAY.match(text, k)) and m.start("d") == begin:
             month_first.append(m)
-        if m := DAY_MONTH.match(text, s.start()):
+        after = text[end : end + 1]
+        if (after.isspace() or after in ".sntreº") and after and (m := DAY_MONTH.match(text, begin)):
             day_first.append(m)
-    for pattern, found_at, order in ((ISO, ISO.finditer(text) if "-" in text else (), ()), (MONTH_DAY, month_first, ("en", "short")), (DAY_MONTH, day_first, ("en", "short", "fr", "es", "de"))):
+    for pattern, found_at, order in ((ISO, ISO.finditer(text) if "-0" in text or "-1" in text else (), ()), (MONTH_DAY, month_first, ("en", "short")), (DAY_MONTH, day_first, ("en", "short", "fr", "es", "de"))):
         for m in found_at:
             language = "iso"
             if order:
