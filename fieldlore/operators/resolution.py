@@ -1,7 +1,7 @@
 """Mentions to entities by the similarity of names.
 
-Distinct forms meet the vocabulary in blocks of bounded size; inside a block a bound on the matching characters,
-computed for all names at once, leaves few pairs for the exact measure. Scores, preferences, priors and the choice of
+Distinct forms meet the vocabulary in blocks of bounded size, sent once and never with a form; inside a block a bound on
+the matching characters, computed for all names at once, leaves few pairs for the exact measure. Scores, preferences, priors and the choice of
 the best candidate are columns and windows.
 """
 
@@ -31,44 +31,63 @@ def _counts(names: list[str]) -> np.ndarray:
     return out
 
 
-def _compare(least: float):
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        blocks: dict[int, tuple] = {}
-        for b in batches:
-            rows = []
-            for form, block, names in zip(b["form"], b["block"], b["names"]):
-                if block not in blocks:
-                    if len(blocks) > 8:
-                        blocks.clear()
-                    names = list(names)
-                    blocks[block] = names, _counts(names), np.array([len(n) for n in names]), [set(n.split()) for n in names]
-                names, counts, sizes, words = blocks[block]
-                own, size, tokens = _counts([form])[0], len(form), set(form.split())
-                # twice the common characters over both lengths bounds the ratio from above
-                bound = 2.0 * np.minimum(counts, own).sum(axis=1) / np.maximum(sizes + size, 1)
-                for i in np.flatnonzero((bound >= least - 1e-4)):
-                    s = similarity(form, names[i])
-                    if s >= least:
-                        rows.append((form, names[i], s))
-                if tokens:
-                    for i in np.flatnonzero(bound < least - 1e-4):
-                        # below the bound only a part of the other or common words can reach the threshold
-                        if (tokens & words[i]) or form in names[i] or names[i] in form:
-                            s = similarity(form, names[i])
-                            if s >= least:
-                                rows.append((form, names[i], s))
-            yield pd.DataFrame(rows, columns=["form", "name_form", "score"])
-
-    return kernel
+class Block:
+    """Names with their letters counted, compared with one form at a time."""
+
+    def __init__(self, names: list[str]):
+        self.names, self.counts = names, _counts(names)
+        self.sizes, self.words = np.array([len(n) for n in names]), [set(n.split()) for n in names]
+        self.by_word: dict[str, list[int]] = {}
+        for i, ws in enumerate(self.words):
+            for w in ws:
+                self.by_word.setdefault(w, []).append(i)
+
+    def similar(self, form: str, least: float) -> list[tuple[str, str, float]]:
+        own, size = _counts([form])[0], len(form)
+        # twice the common characters over both lengths bounds the ratio from above
+        near = np.minimum(self.counts, own).sum(axis=1)
+        bound = 2.0 * near / np.maximum(self.sizes + size, 1)
+        wanted = set(np.flatnonzero(bound >= least - 1e-4).tolist())
+        # below the bound only common words, or one being a part of the other, can reach the threshold
+        for w in set(form.split()):
+            wanted.update(self.by_word.get(w, ()))
+        wanted.update(i for i in np.flatnonzero(near >= np.minimum(self.sizes, size)).tolist() if form in self.names[i] or self.names[i] in form)
+        return [(form, self.names[i], s) for i in sorted(wanted) if (s := similarity(form, self.names[i])) >= least]
+
+
+#: Parts into which the forms are cut for each block of a vocabulary that no worker holds whole.
+PARTS = 16
+PAIRS = "form string, name_form string, score double"
 
 
 def similar(forms: DataFrame, names: DataFrame, least: float = MAYBE) -> DataFrame:
-    """Form, name_form, score of all pairs at or above the threshold; forms(form) and names(name_form)."""
+    """Form, name_form, score of all pairs at or above the threshold; forms(form) and names(name_form). Up to
+    BROADCAST_ROWS names go to every worker once; beyond it forms and names meet in groups of one block of names (BLOCK of
+    them) and one part of the forms, each name sent once for a group and never with a form."""
+    from fieldlore import session
+
     distinct = names.select("name_form").where("name_form IS NOT NULL").distinct()
-    blocks = max(1, -(-distinct.count() // BLOCK))
-    side = distinct.withColumn("block", F.pmod(F.xxhash64("name_form"), F.lit(blocks)).cast("int")).groupBy("block").agg(F.array_sort(F.collect_list("name_form")).alias("names"))
-    every = forms.select("form").where("form IS NOT NULL").distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return every.join(F.broadcast(side) if blocks == 1 else side, "block").mapInPandas(_compare(least), "form string, name_form string, score double")
+    asked = forms.select("form").where("form IS NOT NULL").distinct()
+    if (n := distinct.count()) <= session.BROADCAST_ROWS:
+        every = forms.sparkSession.sparkContext.broadcast(sorted(r.name_form for r in distinct.toLocalIterator()))
+
+        def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            blocks = [Block(every.value[i : i + BLOCK]) for i in range(0, len(every.value), BLOCK)]
+            for b in batches:
+                yield pd.DataFrame([r for form in b["form"] for block in blocks for r in block.similar(form, least)], columns=["form", "name_form", "score"])
+
+        # few forms are many comparisons: they are spread over all tasks
+        return asked.repartition(int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions")), "form").mapInPandas(kernel, PAIRS)
+    blocks = -(-n // BLOCK)
+    parts = PARTS * max(1, asked.count() // 1_000_000)
+    left = asked.withColumn("part", F.pmod(F.xxhash64("form"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = distinct.withColumn("block", F.pmod(F.xxhash64("name_form"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def group(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        block = Block(sorted(b["name_form"]))
+        return pd.DataFrame([r for form in a["form"] for r in block.similar(form, least)] if len(b) else [], columns=["form", "name_form", "score"])
+
+    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(group, PAIRS)
 
 
 def adjustment(entity_type: Column, claim_types: Column, preferred: dict[str, tuple[str, ...]]) -> Column:

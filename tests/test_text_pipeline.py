@@ -230,3 +230,17 @@ def test_terms_are_those_of_the_pattern():
         text = "".join(rng.choice("abcdAB -.é_") for _ in range(rng.randint(1, 14)))
         want = {(i, i + len(x)) for x in terms for i in range(len(text)) if text[i : i + len(x)].lower() == x and re.compile(rf"\b{re.escape(x)}\b", re.I).match(text, i)}
         assert set(t.hits(text)) == want, text
+
+
+def test_similar_in_groups_is_similar_by_broadcast(spark, monkeypatch):
+    rng = random.Random(9)
+    words = ["lower marsh", "marsh", "teal", "blue teal", "kestow", "kestov", "mallard", "rnallard", "upper lake", "lake", "", "x"]
+    forms = spark.createDataFrame([(w,) for w in words] + [("".join(rng.choice("abcd ") for _ in range(5)),) for _ in range(40)], "form string")
+    names = spark.createDataFrame([(w,) for w in words] + [("".join(rng.choice("abcd ") for _ in range(5)),) for _ in range(40)] + [(None,)], "name_form string")
+    both = lambda: {(r.form, r.name_form, r.score) for r in resolution.similar(forms, names).collect()}
+    first = both()
+    brute = {(f.form, n.name_form, text.similarity(f.form, n.name_form)) for f in forms.distinct().collect() for n in names.where("name_form IS NOT NULL").distinct().collect()}
+    assert first == {p for p in brute if p[2] >= 0.65}
+    monkeypatch.setattr("fieldlore.session.BROADCAST_ROWS", 1)
+    monkeypatch.setattr(resolution, "BLOCK", 7)
+    assert both() == first
