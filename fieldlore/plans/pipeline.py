@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldlore.functions.text import normalize_name
@@ -161,6 +161,49 @@ def _targets(spark: SparkSession, d: str, this_year: int | None = None) -> DataF
     return out
 
 
+def _exact_targets(spark: SparkSession, d: str) -> DataFrame:
+    """The detectors that no similarity of names enters: mentions count for links where they equal a name."""
+    g = Graph(spark, d)
+    edges = cut(g.edges.select("claim_id", "entity_id", "entity_type", "relation_type"))
+    near = g.mentions.where("normalized_form IS NOT NULL").select("run_id", "paragraph_id", "start_offset", "normalized_form").join(small_or_plain(g.entities.where("entity_type IN ('Species', 'Place', 'Refuge')").select("entity_id", "entity_type", F.lower("name").alias("normalized_form"))), "normalized_form")
+    texts = table(spark, d, "document_records").select(F.col("doc_id").alias("claim_id"), F.col("clean_text").alias("source_sentence")).where("clean_text IS NOT NULL").distinct()
+    # an edge needs the mention's paragraph, a far place only its run: claims that lack one are found all the same
+    found = [detectors.junk_mentions(g.mentions), detectors.sensitive(texts), detectors.living_people(g.claims, edges, THIS_YEAR), detectors.method_overtrigger(g.claims, edges), detectors.missing_links(g.claims, edges, near)]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+#: The year in which the exact review is done: with it people of the tables' last years count as living.
+THIS_YEAR = 2060
+
+
+def exact_proposals(spark: SparkSession, d: str) -> DataFrame:
+    """R4, R5, R7 to R9."""
+    return detectors.routed(_exact_targets(spark, d))
+
+
+def exact_queue(spark: SparkSession, d: str) -> DataFrame:
+    """The second page of what is queued."""
+    return detectors.queue(exact_proposals(spark, d), 50, 50)
+
+
+def exact_tiers(spark: SparkSession, d: str) -> DataFrame:
+    """G16 and G17."""
+    return batch_stats(exact_proposals(spark, d))
+
+
+def batch_stats(proposals_: DataFrame, shown: int = 5) -> DataFrame:
+    """By tier and class the proposals, least, most and mean confidence, and the first few by priority."""
+    first = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("priority_score")).alias("p"), F.col("proposal_id").alias("i")))), 1, shown)
+    # of each class only a few of every part are gathered
+    ranked = proposals_.withColumn("place", F.row_number().over(Window.partitionBy("review_tier", "issue_class", F.pmod(F.hash("proposal_id"), F.lit(64))).orderBy(F.desc("priority_score"), "proposal_id"))).where(F.col("place") <= shown)
+    shown_rows = ranked.groupBy("review_tier", "issue_class").agg(F.array_join(F.transform(first, lambda x: x["i"]), "|").alias("first"))
+    by = proposals_.groupBy("review_tier", "issue_class").agg(F.count("proposal_id").alias("proposals"), F.min("confidence").alias("least"), F.max("confidence").alias("most"), F.round(F.avg("confidence"), 6).alias("mean"))
+    return by.join(shown_rows, ["review_tier", "issue_class"])
+
+
 def proposals(spark: SparkSession, d: str) -> DataFrame:
     return detectors.routed(_targets(spark, d))
 
@@ -171,7 +214,7 @@ def review_queue(spark: SparkSession, d: str) -> DataFrame:
 
 def tier_counts(spark: SparkSession, d: str) -> DataFrame:
     """G16 and G17."""
-    return proposals(spark, d).groupBy("review_tier", "issue_class").agg(F.count("proposal_id").alias("proposals"), F.min("confidence").alias("least"), F.max("confidence").alias("most"))
+    return batch_stats(proposals(spark, d))
 
 
 def entity_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -214,7 +257,7 @@ def classified_log(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p_structure_sections": sections, "p_structure_paragraphs": paragraphs, "j5_page_sections": page_sections, "x1_rule_claims": rule_claims, "x2_classified": classified, "x12_validated": validated, "x13_claim_dates": claim_dates, "x14_measurements": measurements, "x19_mentions": mentions,
     "d5_resolved": resolved, "d14_roles": roles, "d15_claim_years": claim_years, "d16_observations": observations, "d17_events": events, "d18_document_years": document_years, "d20_concepts": concepts, "d12_penalised": penalised, "r1_entity_groups": entity_groups, "r2_contexts": group_contexts, "r3_junk": junk, "r5_sensitive": sensitive, "r5_sensitive_texts": sensitive_texts, "r3_junk_in_pages": junk_in_pages,
-    "r7_proposals": proposals, "t3_review_queue": review_queue, "g17_tiers": tier_counts, "r14_spelling": spelling, "q5_answers": answers, "q1_classified_log": classified_log,
+    "r7_proposals": proposals, "r7_exact": exact_proposals, "t3_exact": exact_queue, "g17_exact": exact_tiers, "t3_review_queue": review_queue, "g17_tiers": tier_counts, "r14_spelling": spelling, "q5_answers": answers, "q1_classified_log": classified_log,
 }
 
 from fieldlore.plans.retrieval import _WITH  # noqa: E402
@@ -270,3 +313,43 @@ ORACLES |= {
     "p_structure_sections": _SECTIONS + "SELECT section_id, doc_id, heading, number AS section_number, letter AS section_letter, normalized_heading, page_start, page_end, section_index FROM known",
     "j5_page_sections": _SECTIONS + "SELECT doc_id, page_id, section_id FROM page JOIN known USING (doc_id) WHERE page_number BETWEEN page_start AND page_end",
 }
+
+_link = lambda kinds: ", ".join(map(repr, kinds))
+_first = "arg_min(entity_id, (length(paragraph_id), paragraph_id, start_offset, entity_id))"
+_EXACT = (
+    _WITH + f", junk AS ({ORACLES['r3_junk']}), pii AS ({ORACLES['r5_sensitive_texts']}), "
+    "named AS (SELECT claim_id, entity_id, try_cast(substr(claim_date, 1, 4) AS int) AS year FROM edge JOIN claim USING (claim_id) WHERE entity_type = 'Person'), "
+    f"recent AS (SELECT entity_id, max(year) AS last_year FROM named GROUP BY 1 HAVING max(year) >= {THIS_YEAR - 100}), "
+    "near AS (SELECT run_id, paragraph_id, start_offset, entity_id, entity_type FROM mention JOIN entity ON lower(name) = normalized_form WHERE entity_type IN ('Species', 'Place', 'Refuge')), "
+    f"kind AS (SELECT run_id, paragraph_id, {_first} AS candidate FROM near WHERE entity_type = 'Species' GROUP BY 1, 2), close_by AS (SELECT run_id, paragraph_id, {_first} AS candidate FROM near WHERE entity_type <> 'Species' GROUP BY 1, 2), far_off AS (SELECT run_id, {_first} AS candidate FROM near WHERE entity_type <> 'Species' GROUP BY 1), "
+    "target AS (SELECT issue_class, 'suppress_mention' AS proposal_type, 'mention' AS target_kind, target_id, group_key, confidence, reason FROM junk "
+    "UNION ALL SELECT 'pii', 'quarantine_claim', 'claim', target_id, group_key, confidence, group_key FROM pii "
+    "UNION ALL SELECT DISTINCT 'living_person', 'quarantine_claim', 'claim', claim_id, entity_id, 0.7::double, last_year::varchar FROM named JOIN recent USING (entity_id) "
+    f"UNION ALL SELECT DISTINCT 'method_overtrigger', 'exclude_claim_from_derivation', 'claim', claim_id, claim_id || '|' || entity_id, 0.8::double, entity_id FROM edge JOIN claim USING (claim_id) WHERE relation_type = 'METHOD_FOCUS' AND claim_type IN ({_link(detectors.WITHOUT_METHOD)}) "
+    f"UNION ALL SELECT 'missing_species_focus', 'add_claim_entity_link', 'claim', claim_id, claim_id || '|' || candidate, 0.65::double, candidate FROM claim JOIN kind USING (run_id, paragraph_id) WHERE claim_type IN ({_link(detectors.WITH_SPECIES)}) AND claim_id NOT IN (SELECT claim_id FROM edge WHERE relation_type = 'SPECIES_FOCUS') "
+    f"UNION ALL SELECT 'missing_event_location', 'add_claim_location_link', 'claim', claim_id, claim_id || '|' || candidate, 0.6::double, candidate FROM (SELECT claim_id, coalesce(n.candidate, f.candidate) AS candidate FROM claim LEFT JOIN close_by n USING (run_id, paragraph_id) LEFT JOIN far_off f USING (run_id) WHERE claim_type IN ({_link(detectors.WITH_PLACE)}) AND claim_id NOT IN (SELECT claim_id FROM edge WHERE relation_type = 'OCCURRED_AT')) WHERE candidate IS NOT NULL), "
+    "grouped AS (SELECT issue_class, proposal_type, target_kind, group_key, count(DISTINCT target_id) AS impact_size, max(confidence) AS confidence, min(target_id) AS first_target, min(reason) AS reason FROM target GROUP BY 1, 2, 3, 4), "
+    "routed AS (SELECT 'proposal_' || substr(sha1('snapshot' || '||' || " + " || '||' || ".join(f"trim(regexp_replace(lower({c}), '\\s+', ' ', 'g'))" for c in ("issue_class", "proposal_type", "target_kind", "group_key")) + "), 1, 16) AS proposal_id, *, confidence >= 0.9 AND proposal_type = 'suppress_mention' AND reason IN ('ocr_garbage', 'short_generic_token') AS auto, "
+    "round(least(1.0, CASE WHEN issue_class IN ('missing_species_focus', 'missing_event_location') THEN 0.7 * confidence + 0.3 * least(1.0, impact_size / 10.0) + 0.1 WHEN issue_class IN ('header_contamination', 'boilerplate_contamination') THEN 0.4 * confidence + 0.2 * least(1.0, impact_size / 10.0) ELSE 0.7 * confidence + 0.3 * least(1.0, impact_size / 10.0) END), 6) AS priority_score FROM grouped), "
+    "done AS (SELECT proposal_id, issue_class, proposal_type, target_kind, group_key, impact_size, confidence, first_target, reason, priority_score, CASE WHEN confidence < 0.5 THEN 'rejected' WHEN auto THEN 'accepted_pending_apply' ELSE 'queued' END AS status, CASE WHEN confidence < 0.5 THEN 'auto_suppressed' WHEN auto THEN 'auto_accepted' ELSE 'needs_review' END AS review_tier FROM routed) "
+)
+ORACLES |= {
+    "r7_exact": _EXACT + "SELECT * FROM done", "t3_exact": _EXACT + "SELECT * FROM done WHERE status = 'queued' ORDER BY priority_score DESC, impact_size DESC, confidence DESC, proposal_id LIMIT 50 OFFSET 50",
+    "g17_exact": _EXACT + "SELECT review_tier, issue_class, count(*) AS proposals, min(confidence) AS least, max(confidence) AS most, round(avg(confidence), 6) AS mean, array_to_string(list_slice(list(proposal_id ORDER BY priority_score DESC, proposal_id), 1, 5), '|') AS first FROM done GROUP BY 1, 2",
+}
+
+#: P4 to P6 as recursion: sentences packed into pieces up to the limit, then pieces joined until they are long enough.
+_PARAGRAPHS = _SECTIONS + (
+    r", chunked AS (SELECT doc_id, page_number, page_id, unnest(string_split_regex(regexp_replace(regexp_replace(text, '\r\n', chr(10), 'g'), '^[\s\x0b]+|[\s\x0b]+$', '', 'g'), '\n[\s\x0b]*\n+')) AS raw, generate_subscripts(string_split_regex(regexp_replace(regexp_replace(text, '\r\n', chr(10), 'g'), '^[\s\x0b]+|[\s\x0b]+$', '', 'g'), '\n[\s\x0b]*\n+'), 1) AS c FROM page), "
+    r"chunk AS (SELECT * FROM (SELECT doc_id, page_number, page_id, c, regexp_replace(raw, '^[\s\x0b]+|[\s\x0b]+$', '', 'g') AS t FROM chunked) WHERE t <> '' AND NOT ((regexp_matches(t, '^\s*(\d{1,2})[.)]\s+(.+?)\s*$') OR regexp_matches(t, '^\s*([A-Z])[.)]\s+(.+?)\s*$')) AND NOT contains(t, chr(10)))), "
+    r"long_one AS (SELECT doc_id, page_number, c, string_split(regexp_replace(t, '([.!?])[\s\x0b]+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM chunk WHERE length(t) > 600), "
+    r"packed AS (SELECT doc_id, page_number, c, ss, 1 AS i, 1 AS piece, ss[1] AS open FROM long_one UNION ALL SELECT doc_id, page_number, c, ss, i + 1, CASE WHEN open = '' OR length(open) + 1 + length(ss[i + 1]) <= 600 THEN piece ELSE piece + 1 END, CASE WHEN open = '' THEN ss[i + 1] WHEN length(open) + 1 + length(ss[i + 1]) <= 600 THEN open || ' ' || ss[i + 1] ELSE ss[i + 1] END FROM packed WHERE i < len(ss)), "
+    r"piece AS (SELECT doc_id, page_number, c, piece, arg_max(open, i) AS t FROM packed GROUP BY 1, 2, 3, 4 HAVING arg_max(open, i) <> '' UNION ALL SELECT doc_id, page_number, c, 1, t FROM chunk WHERE length(t) <= 600), "
+    r"listed AS (SELECT doc_id, page_number, list(t ORDER BY c, piece) AS ts FROM piece GROUP BY 1, 2), "
+    r"joined AS (SELECT doc_id, page_number, ts, 1 AS i, 1 AS part, ts[1] AS grown FROM listed UNION ALL SELECT doc_id, page_number, ts, i + 1, CASE WHEN length(grown) >= 150 THEN part + 1 ELSE part END, CASE WHEN length(grown) >= 150 THEN ts[i + 1] ELSE grown || ' ' || ts[i + 1] END FROM joined WHERE i < len(ts)), "
+    r"parts AS (SELECT doc_id, page_number, part, arg_max(grown, i) AS t FROM joined GROUP BY 1, 2, 3), "
+    r"at_end AS (SELECT page.doc_id, page.page_number, page.page_id, arg_max(section_id, section_index) AS section_id FROM page LEFT JOIN known ON known.doc_id = page.doc_id AND known.page_start <= page.page_number GROUP BY 1, 2, 3), "
+    r"numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, part)::int AS n FROM parts), "
+    r"clean AS (SELECT *, trim(regexp_replace(array_to_string(list_filter(list_transform(string_split(regexp_replace(t, '\r\n', chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '^[\s\x0b]+|[\s\x0b]+$', '', 'g')), lambda x: x <> ''), chr(10)), '[ \t]+', ' ', 'g'), ' ') AS k FROM numbered) "
+)
+ORACLES["p_structure_paragraphs"] = _PARAGRAPHS.replace("WITH page AS", "WITH RECURSIVE page AS", 1) + "SELECT doc_id || printf(':paragraph:%05d:p%04d', n, page_number) AS paragraph_id, doc_id, page_id, section_id, n AS paragraph_index, page_number, t AS raw_ocr_text, k AS clean_text, length(k)::int AS char_count FROM clean JOIN at_end USING (doc_id, page_number)"
