@@ -352,3 +352,34 @@ ORACLES |= {
     "t6_stratified": _WITH + "SELECT series, doc_id, report_year, by_place FROM (SELECT *, i = 1 OR i = n OR i = n // 2 + 1 AS by_place FROM (SELECT series, doc_id, report_year, row_number() OVER (PARTITION BY series ORDER BY report_year NULLS LAST, doc_id) AS i, count(*) OVER (PARTITION BY series) AS n, row_number() OVER (PARTITION BY series ORDER BY ('0x' || substr(md5('7|' || doc_id), 1, 8))::bigint, doc_id) AS c FROM docs WHERE series IS NOT NULL)) WHERE by_place OR c <= 2",
     "g15_calibration": _WITH + ", weighed AS (SELECT claim_type, extraction_confidence, i, (u >= 0.36787944117)::int + (u >= 0.73575888234)::int + (u >= 0.91969860293)::int + (u >= 0.98101184312)::int + (u >= 0.99634015317)::int + (u >= 0.99940581518)::int AS w FROM (SELECT claim_type, extraction_confidence, i, (('0x' || substr(md5('11|' || i || '|' || claim_id), 1, 8))::bigint + 0.5) / 4294967296 AS u FROM claim, range(1, 201) r(i))), mean AS (SELECT claim_type, i, sum(w * extraction_confidence) / sum(w) AS mean FROM weighed GROUP BY 1, 2) SELECT claim_type, m.mean, low, high FROM (SELECT claim_type, round(avg(extraction_confidence), 6) AS mean FROM claim GROUP BY 1) m JOIN (SELECT claim_type, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM mean GROUP BY 1) USING (claim_type)",
 }
+
+#: Where terms stand as whole words, the longest first and none overlapping a longer one (a recursion over
+#: the hits of a sentence and a kind), the place of an event by the words before it, the first relation of a span.
+_verbs, _preps = "|".join(HAPPENED_VERBS), "|".join(HAPPENED_AT)
+_hints = " ".join(f"WHEN '{k}' THEN '{r}'" for k, r in ROLE_POLICY.items() if k != "Place")
+_order = " ".join(f"WHEN '{r}' THEN {i}" for i, r in enumerate(PRECEDENCE, 1))
+ORACLES["x6_claim_links"] = (
+    _WITH.replace("WITH docs", "WITH RECURSIVE docs", 1).rstrip()
+    + r""", term AS (SELECT DISTINCT CASE entity_type WHEN 'Refuge' THEN 'Place' ELSE entity_type END AS kind, lower(name) AS t FROM entity WHERE name <> '' AND entity_type IN ('Species', 'Habitat', 'SurveyMethod', 'Activity', 'Place', 'Refuge')),
+hit AS (SELECT DISTINCT claim_id, source_sentence AS x, kind, t, (i - 1)::int AS s, (i - 1 + length(t))::int AS e FROM claim JOIN term ON contains(lower(source_sentence), t), range(1, 2000) r(i) WHERE i <= length(source_sentence) AND substr(lower(source_sentence), i::int, length(t)) = t
+AND regexp_matches(substr(' ' || source_sentence, i::int, 1), '[\p{L}\p{N}_]') <> regexp_matches(substr(source_sentence, i::int, 1), '[\p{L}\p{N}_]') AND regexp_matches(substr(source_sentence, (i + length(t) - 1)::int, 1), '[\p{L}\p{N}_]') <> regexp_matches(substr(source_sentence || ' ', (i + length(t))::int, 1), '[\p{L}\p{N}_]')),
+listed AS (SELECT claim_id, x, kind, list({'s': s, 'e': e} ORDER BY e - s DESC, t, s) AS hits FROM hit GROUP BY 1, 2, 3),
+walk AS (SELECT claim_id, x, kind, hits, 1 AS i, [hits[1]] AS kept FROM listed UNION ALL SELECT claim_id, x, kind, hits, i + 1, CASE WHEN len(list_filter(kept, lambda k: hits[i + 1].s < k.e AND hits[i + 1].e > k.s)) = 0 THEN list_append(kept, hits[i + 1]) ELSE kept END FROM walk WHERE i < len(hits)),
+span AS (SELECT claim_id, x, kind, unnest(kept) AS k FROM walk WHERE i = len(hits)),
+link AS (SELECT claim_id, substr(x, k.s + 1, k.e - k.s) AS surface_form, CASE WHEN kind <> 'Place' THEN coalesce(CASE kind """
+    + _hints
+    + r""" END, 'MANAGEMENT_TARGET') WHEN regexp_matches(regexp_replace(substr(x, 1, k.s), '\s+$', ''), '(?i)("""
+    + _verbs
+    + r""")\s+("""
+    + _preps
+    + r""")\s*$') THEN 'OCCURRED_AT' ELSE 'LOCATION_FOCUS' END AS relation_type, k.s AS start_offset, k.e AS end_offset, CASE WHEN kind <> 'Place' THEN kind WHEN contains(lower(substr(x, k.s + 1, k.e - k.s)), 'refuge') THEN 'Refuge' ELSE 'Place' END AS entity_type_hint FROM span
+UNION ALL SELECT claim_id, f, 'SUBJECT_OF_CLAIM', b, b + length(f), CASE WHEN regexp_matches(f, 'Club|Council|Assn|Association|WPA') THEN 'Organization' ELSE 'Person' END FROM (SELECT claim_id, trim(regexp_extract(source_sentence, '"""
+    + SUBJECT
+    + r"""', 1)) AS f, length(regexp_extract(source_sentence, '^(\s*)', 1))::int AS b FROM claim WHERE regexp_matches(source_sentence, '"""
+    + SAID
+    + r"""')) WHERE f <> ''),
+named AS (SELECT *, regexp_replace(trim(lower(surface_form)), '\s+', ' ', 'g') AS normalized_form FROM link)
+SELECT claim_id, surface_form, normalized_form, relation_type, start_offset, end_offset, entity_type_hint FROM (SELECT *, row_number() OVER (PARTITION BY claim_id, start_offset, end_offset, normalized_form ORDER BY CASE relation_type """
+    + _order
+    + """ END, relation_type) AS r FROM named) WHERE r = 1"""
+)
