@@ -368,7 +368,7 @@ walk AS (SELECT claim_id, x, kind, hits, 1 AS i, [hits[1]] AS kept FROM listed U
 span AS (SELECT claim_id, x, kind, unnest(kept) AS k FROM walk WHERE i = len(hits)),
 link AS (SELECT claim_id, substr(x, k.s + 1, k.e - k.s) AS surface_form, CASE WHEN kind <> 'Place' THEN coalesce(CASE kind """
     + _hints
-    + r""" END, 'MANAGEMENT_TARGET') WHEN regexp_matches(regexp_replace(substr(x, 1, k.s), '\s+$', ''), '(?i)("""
+    + r""" END, 'MANAGEMENT_TARGET') WHEN regexp_matches(regexp_replace(substr(x, 1, k.s), '\s+$', ''), '(?i)\b("""
     + _verbs
     + r""")\s+("""
     + _preps
