@@ -353,3 +353,7 @@ _PARAGRAPHS = _SECTIONS + (
     r"clean AS (SELECT *, trim(regexp_replace(array_to_string(list_filter(list_transform(string_split(regexp_replace(t, '\r\n', chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '^[\s\x0b]+|[\s\x0b]+$', '', 'g')), lambda x: x <> ''), chr(10)), '[ \t]+', ' ', 'g'), ' ') AS k FROM numbered) "
 )
 ORACLES["p_structure_paragraphs"] = _PARAGRAPHS.replace("WITH page AS", "WITH RECURSIVE page AS", 1) + "SELECT doc_id || printf(':paragraph:%05d:p%04d', n, page_number) AS paragraph_id, doc_id, page_id, section_id, n AS paragraph_index, page_number, t AS raw_ocr_text, k AS clean_text, length(k)::int AS char_count FROM clean JOIN at_end USING (doc_id, page_number)"
+
+from fieldlore.plans import similar_sql  # noqa: E402
+
+ORACLES |= {"d5_resolved": similar_sql.resolved(PREFERRED), "r1_entity_groups": similar_sql.entity_groups(detectors.SIMILAR), "r14_spelling": similar_sql.spelling()}
