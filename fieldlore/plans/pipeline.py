@@ -316,23 +316,33 @@ ORACLES |= {
 
 _link = lambda kinds: ", ".join(map(repr, kinds))
 _first = "arg_min(entity_id, (length(paragraph_id), paragraph_id, start_offset, entity_id))"
-_EXACT = (
-    _WITH + f", junk AS ({ORACLES['r3_junk']}), pii AS ({ORACLES['r5_sensitive_texts']}), "
+def _targets_sql(near: str, pii: str, year: int, methods: str, more: str = "") -> str:
+    """CTEs up to target: what the detectors find; more is a query of further targets."""
+    return (
+    _WITH.replace("WITH docs", "WITH RECURSIVE docs", 1).rstrip() + f", junk AS ({ORACLES['r3_junk']}), pii AS ({pii}), "
     "named AS (SELECT claim_id, entity_id, try_cast(substr(claim_date, 1, 4) AS int) AS year FROM edge JOIN claim USING (claim_id) WHERE entity_type = 'Person'), "
-    f"recent AS (SELECT entity_id, max(year) AS last_year FROM named GROUP BY 1 HAVING max(year) >= {THIS_YEAR - 100}), "
-    "near AS (SELECT run_id, paragraph_id, start_offset, entity_id, entity_type FROM mention JOIN entity ON lower(name) = normalized_form WHERE entity_type IN ('Species', 'Place', 'Refuge')), "
+    f"recent AS (SELECT entity_id, max(year) AS last_year FROM named GROUP BY 1 HAVING max(year) >= {year - 100}), "
+    f"near AS ({near}), "
     f"kind AS (SELECT run_id, paragraph_id, {_first} AS candidate FROM near WHERE entity_type = 'Species' GROUP BY 1, 2), close_by AS (SELECT run_id, paragraph_id, {_first} AS candidate FROM near WHERE entity_type <> 'Species' GROUP BY 1, 2), far_off AS (SELECT run_id, {_first} AS candidate FROM near WHERE entity_type <> 'Species' GROUP BY 1), "
     "target AS (SELECT issue_class, 'suppress_mention' AS proposal_type, 'mention' AS target_kind, target_id, group_key, confidence, reason FROM junk "
     "UNION ALL SELECT 'pii', 'quarantine_claim', 'claim', target_id, group_key, confidence, group_key FROM pii "
     "UNION ALL SELECT DISTINCT 'living_person', 'quarantine_claim', 'claim', claim_id, entity_id, 0.7::double, last_year::varchar FROM named JOIN recent USING (entity_id) "
-    f"UNION ALL SELECT DISTINCT 'method_overtrigger', 'exclude_claim_from_derivation', 'claim', claim_id, claim_id || '|' || entity_id, 0.8::double, entity_id FROM edge JOIN claim USING (claim_id) WHERE relation_type = 'METHOD_FOCUS' AND claim_type IN ({_link(detectors.WITHOUT_METHOD)}) "
+    f"UNION ALL SELECT DISTINCT 'method_overtrigger', 'exclude_claim_from_derivation', 'claim', claim_id, claim_id || '|' || entity_id, 0.8::double, entity_id FROM ({methods}) JOIN claim USING (claim_id) WHERE claim_type IN ({_link(detectors.WITHOUT_METHOD)}) "
     f"UNION ALL SELECT 'missing_species_focus', 'add_claim_entity_link', 'claim', claim_id, claim_id || '|' || candidate, 0.65::double, candidate FROM claim JOIN kind USING (run_id, paragraph_id) WHERE claim_type IN ({_link(detectors.WITH_SPECIES)}) AND claim_id NOT IN (SELECT claim_id FROM edge WHERE relation_type = 'SPECIES_FOCUS') "
-    f"UNION ALL SELECT 'missing_event_location', 'add_claim_location_link', 'claim', claim_id, claim_id || '|' || candidate, 0.6::double, candidate FROM (SELECT claim_id, coalesce(n.candidate, f.candidate) AS candidate FROM claim LEFT JOIN close_by n USING (run_id, paragraph_id) LEFT JOIN far_off f USING (run_id) WHERE claim_type IN ({_link(detectors.WITH_PLACE)}) AND claim_id NOT IN (SELECT claim_id FROM edge WHERE relation_type = 'OCCURRED_AT')) WHERE candidate IS NOT NULL), "
+    f"UNION ALL SELECT 'missing_event_location', 'add_claim_location_link', 'claim', claim_id, claim_id || '|' || candidate, 0.6::double, candidate FROM (SELECT claim_id, coalesce(n.candidate, f.candidate) AS candidate FROM claim LEFT JOIN close_by n USING (run_id, paragraph_id) LEFT JOIN far_off f USING (run_id) WHERE claim_type IN ({_link(detectors.WITH_PLACE)}) AND claim_id NOT IN (SELECT claim_id FROM edge WHERE relation_type = 'OCCURRED_AT')) WHERE candidate IS NOT NULL{more}), "
+    )
+
+
+_NEAR = "SELECT run_id, paragraph_id, start_offset, entity_id, entity_type FROM mention JOIN entity ON lower(name) = normalized_form WHERE entity_type IN ('Species', 'Place', 'Refuge')"
+_METHODS = "SELECT claim_id, entity_id FROM edge WHERE relation_type = 'METHOD_FOCUS'"
+#: R7 to R9 over a CTE target.
+_ROUTED = (
     "grouped AS (SELECT issue_class, proposal_type, target_kind, group_key, count(DISTINCT target_id) AS impact_size, max(confidence) AS confidence, min(target_id) AS first_target, min(reason) AS reason FROM target GROUP BY 1, 2, 3, 4), "
     "routed AS (SELECT 'proposal_' || substr(sha1('snapshot' || '||' || " + " || '||' || ".join(f"trim(regexp_replace(lower({c}), '\\s+', ' ', 'g'))" for c in ("issue_class", "proposal_type", "target_kind", "group_key")) + "), 1, 16) AS proposal_id, *, confidence >= 0.9 AND proposal_type = 'suppress_mention' AND reason IN ('ocr_garbage', 'short_generic_token') AS auto, "
-    "round(least(1.0, CASE WHEN issue_class IN ('missing_species_focus', 'missing_event_location') THEN 0.7 * confidence + 0.3 * least(1.0, impact_size / 10.0) + 0.1 WHEN issue_class IN ('header_contamination', 'boilerplate_contamination') THEN 0.4 * confidence + 0.2 * least(1.0, impact_size / 10.0) ELSE 0.7 * confidence + 0.3 * least(1.0, impact_size / 10.0) END), 6) AS priority_score FROM grouped), "
+    "round(least(1.0, CASE WHEN proposal_type IN ('merge_entities', 'create_alias') THEN 0.5 * confidence + 0.5 * least(1.0, impact_size / 5.0) WHEN issue_class IN ('missing_species_focus', 'missing_event_location') THEN 0.7 * confidence + 0.3 * least(1.0, impact_size / 10.0) + 0.1 WHEN issue_class IN ('header_contamination', 'boilerplate_contamination') THEN 0.4 * confidence + 0.2 * least(1.0, impact_size / 10.0) ELSE 0.7 * confidence + 0.3 * least(1.0, impact_size / 10.0) END), 6) AS priority_score FROM grouped), "
     "done AS (SELECT proposal_id, issue_class, proposal_type, target_kind, group_key, impact_size, confidence, first_target, reason, priority_score, CASE WHEN confidence < 0.5 THEN 'rejected' WHEN auto THEN 'accepted_pending_apply' ELSE 'queued' END AS status, CASE WHEN confidence < 0.5 THEN 'auto_suppressed' WHEN auto THEN 'auto_accepted' ELSE 'needs_review' END AS review_tier FROM routed) "
 )
+_EXACT = _targets_sql(_NEAR, ORACLES["r5_sensitive_texts"], THIS_YEAR, _METHODS) + _ROUTED
 ORACLES |= {
     "r7_exact": _EXACT + "SELECT * FROM done", "t3_exact": _EXACT + "SELECT * FROM done WHERE status = 'queued' ORDER BY priority_score DESC, impact_size DESC, confidence DESC, proposal_id LIMIT 50 OFFSET 50",
     "g17_exact": _EXACT + "SELECT review_tier, issue_class, count(*) AS proposals, min(confidence) AS least, max(confidence) AS most, round(avg(confidence), 6) AS mean, array_to_string(list_slice(list(proposal_id ORDER BY priority_score DESC, proposal_id), 1, 5), '|') AS first FROM done GROUP BY 1, 2",
@@ -357,3 +367,23 @@ ORACLES["p_structure_paragraphs"] = _PARAGRAPHS.replace("WITH page AS", "WITH RE
 from fieldlore.plans import similar_sql  # noqa: E402
 
 ORACLES |= {"d5_resolved": similar_sql.resolved(PREFERRED), "r1_entity_groups": similar_sql.entity_groups(detectors.SIMILAR), "r14_spelling": similar_sql.spelling()}
+_folded = "replace(replace(replace(replace(lower(name), 'rn', 'm'), 'li', 'h'), '0', 'o'), '1', 'l')"
+_GROUPS = (
+    f" UNION ALL SELECT 'ocr_spelling_variant', CASE WHEN size = 2 AND folds = 2 THEN 'create_alias' ELSE 'merge_entities' END, 'entity', c.entity_id, anchor, round(coalesce(confidence, 1.0), 4), c.name FROM (SELECT entity_type, anchor, arg_max({{'entity_id': entity_id, 'name': name}}, (coalesce(n, 0), length(name), name)) AS c, count(*) AS size, avg(score) FILTER (score < 1) AS confidence, count(DISTINCT {_folded}) AS folds "
+    f"FROM ({similar_sql.entity_groups(detectors.SIMILAR).replace('round(score, 6) AS score', 'score')}) JOIN (SELECT entity_id, name FROM entity) USING (entity_id) LEFT JOIN (SELECT entity_id, count(claim_id) AS n FROM edge GROUP BY 1) USING (entity_id) GROUP BY 1, 2)"
+)
+_FOUND_NEAR = f"SELECT run_id, paragraph_id, start_offset, r.entity_id, e.entity_type FROM ({ORACLES['d5_resolved']}) r JOIN mention USING (mention_id) JOIN (SELECT DISTINCT entity_id, entity_type FROM entity) e ON e.entity_id = r.entity_id WHERE e.entity_type IN ('Species', 'Place', 'Refuge')"
+
+
+def _review_sql() -> str:
+    """All detectors, with the year of today."""
+    from fieldlore.plans.audits import ORACLES as links
+
+    told = f"{_METHODS} UNION SELECT claim_id, 'surveymethod:' || normalized_form FROM ({links['x6_claim_links']}) WHERE relation_type = 'METHOD_FOCUS'"
+    pii = ORACLES["r5_sensitive"]
+    return _targets_sql(_FOUND_NEAR, pii, datetime.date.today().year, told, _GROUPS) + _ROUTED
+
+
+_REVIEW = _review_sql()
+ORACLES |= {name: _REVIEW + ORACLES[of].removeprefix(_EXACT) for name, of in (("r7_proposals", "r7_exact"), ("g17_tiers", "g17_exact"))}
+ORACLES["t3_review_queue"] = _REVIEW + "SELECT * FROM done WHERE status = 'queued' ORDER BY priority_score DESC, impact_size DESC, confidence DESC, proposal_id LIMIT 50"
