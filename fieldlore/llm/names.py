@@ -233,11 +233,20 @@ def keys(text: str) -> set[tuple[str, str]]:
     return out
 
 
-def _keyed(column: str):
+#: Names whose keys are held at once.
+CHUNK = 500
+
+
+def _keyed(column: str, common=None, plain: bool = True):
+    """Keys of a column's names: suffixes as such if plain, refined ones of the suffixes in ``common`` (of all if it is None)."""
+
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = common.value if common is not None else None
         for b in batches:
-            rows = [(v, k, extra) for v in b[column] for k, extra in keys(v)]
-            yield pd.DataFrame(rows, columns=[column, "suffix", "extra"])
+            values = list(b[column])
+            for i in range(0, len(values), CHUNK):
+                rows = [(v, k, extra) for v in values[i : i + CHUNK] for k, extra in keys(v) if (plain if extra == "" else wanted is None or k in wanted)]
+                yield pd.DataFrame(rows, columns=[column, "suffix", "extra"])
 
     return kernel
 
@@ -284,10 +293,19 @@ def form_links(forms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """form, entity_type, name for every spelling (column form, distinct) and each name of the vocabulary it means."""
     from fieldlore.session import cut, small_or_plain
 
+    from fieldlore import session
+
     names = vocabulary.select("entity_type", "name").distinct()
-    spelled = spread(names.select("name").distinct(), "name").mapInPandas(_keyed("name"), "name string, suffix string, extra string")
-    kept = cut(kept_keys(cut(spelled.join(names, "name"))))
-    met = spread(forms, "form").mapInPandas(_keyed("form"), "form string, suffix string, extra string").join(small_or_plain(kept), ["suffix", "extra"])
+    once, of_name, of_form = spread(names.select("name").distinct(), "name"), "name string, suffix string, extra string", "form string, suffix string, extra string"
+    # suffixes that are common enough to be refined are few: only theirs are refined, on both sides
+    bare = cut(once.mapInPandas(_keyed("name", forms.sparkSession.sparkContext.broadcast(frozenset())), of_name).join(names, "name"))
+    often = bare.groupBy("suffix").agg(F.count("name").alias("n")).where(F.col("n") > COMMON).select("suffix")
+    common = forms.sparkSession.sparkContext.broadcast(frozenset(r.suffix for r in often.toLocalIterator())) if often.count() <= session.BROADCAST_ROWS else None
+    keyed = bare
+    if common is None or common.value:
+        keyed = cut(bare.unionByName(once.mapInPandas(_keyed("name", common, plain=False), of_name).join(names, "name").select(*bare.columns)))
+    kept = cut(kept_keys(keyed))
+    met = spread(forms, "form").mapInPandas(_keyed("form", common), of_form).join(small_or_plain(kept), ["suffix", "extra"])
     candidates = met.groupBy("form").agg(F.collect_set(F.struct("entity_type", "name")).alias("names"))
     return candidates.mapInPandas(_decide, "form string, entity_type string, name string")
 
