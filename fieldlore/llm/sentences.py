@@ -17,6 +17,7 @@ document given twice counts once; texts and spans of any length are read whole.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import unicodedata
@@ -131,11 +132,19 @@ def _opening(line: str, start: int) -> tuple[float, str]:
     return (0.2 if quoted else -4.0), c
 
 
+THAI, DENSE, MARK = re.compile("[\u0e00-\u0e7f]"), re.compile("[\u3040-\u9fff]"), re.compile(f"[{re.escape(ENDS)}]")
+
+
 def _places(line: str, begin: int) -> list[tuple[int, int, float]]:
     """(end, next start, local score) of the places where a sentence may end, the end of the line last."""
     out, n, i = [], len(line), begin
-    thai = sum("฀" <= c <= "๿" for c in line) * 2 > sum(c.isalpha() for c in line)
+    thai = THAI.search(line) is not None and sum("฀" <= c <= "๿" for c in line) * 2 > sum(c.isalpha() for c in line)
     while i < n:
+        if not thai:
+            # nothing happens before the next mark
+            if (mark := MARK.search(line, i)) is None:
+                break
+            i = mark.start()
         c = line[i]
         if c in ENDS:
             k = i + 1
@@ -218,6 +227,7 @@ def _inside(line: str, begin: int = 0) -> list[int] | None:
     return steps
 
 
+@functools.lru_cache(10_000)
 def _length(size: int, usual: float) -> float:
     """What a span of so many characters loses by its length: nothing at the usual one, LENGTH at most."""
     off = math.log(max(size, 1) / usual) / math.log(STRAY)
@@ -225,6 +235,8 @@ def _length(size: int, usual: float) -> float:
 
 
 def usual_length(line: str) -> float:
+    if DENSE.search(line) is None:
+        return USUAL
     return USUAL_DENSE if 2 * sum("\u3040" <= c <= "\u9fff" for c in line) > sum(map(str.isalpha, line)) else USUAL
 
 
