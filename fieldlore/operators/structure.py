@@ -88,17 +88,22 @@ def sections(of: DataFrame) -> DataFrame:
     return by.select(ids.section_id("doc_id", "section_index", "heading").alias("section_id"), "doc_id", "heading", F.col("number").alias("section_number"), F.col("letter").alias("section_letter"), "normalized_heading", "page_start", "page_end", "section_index")
 
 
-def paragraphs(of: DataFrame, sections_: DataFrame) -> DataFrame:
-    """paragraph_id, doc_id, page_id, section_id, paragraph_index, page_number, raw_ocr_text, clean_text, char_count."""
+def paragraphs(of: DataFrame, sections_: DataFrame | None = None) -> DataFrame:
+    """paragraph_id, doc_id, page_id, section_id, paragraph_index, page_number, raw_ocr_text, clean_text, char_count; without
+    sections the section_id is null, and none has to be found."""
     parts = of.select("doc_id", "page_id", "page_number", F.posexplode(sized_paragraphs(F.col("raw_ocr_text"))).alias("part", "text"))
     indexed = parts.withColumn("paragraph_index", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_number", "part")))
-    # the section current at the end of a page is the last that begins on it or before: one row per page, found in one pass
-    starts = sections_.select("doc_id", F.col("page_start").alias("page_number"), "section_index", "section_id")
-    ends = of.select("doc_id", "page_number").unionByName(starts.select("doc_id", "page_number", "section_index", "section_id"), allowMissingColumns=True)
-    current = Window.partitionBy("doc_id").orderBy("page_number").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    at_end = ends.withColumn("current", F.max(F.when(F.col("section_id").isNotNull(), F.struct("section_index", "section_id"))).over(current)).where("section_id IS NULL").select("doc_id", "page_number", F.col("current.section_id").alias("section_id"))
+    if sections_ is None:
+        placed = indexed.withColumn("section_id", F.lit(None).cast("string"))
+    else:
+        # the section current at the end of a page is the last that begins on it or before: one row per page, found in one pass
+        starts = sections_.select("doc_id", F.col("page_start").alias("page_number"), "section_index", "section_id")
+        ends = of.select("doc_id", "page_number").unionByName(starts.select("doc_id", "page_number", "section_index", "section_id"), allowMissingColumns=True)
+        current = Window.partitionBy("doc_id").orderBy("page_number").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        at_end = ends.withColumn("current", F.max(F.when(F.col("section_id").isNotNull(), F.struct("section_index", "section_id"))).over(current)).where("section_id IS NULL").select("doc_id", "page_number", F.col("current.section_id").alias("section_id"))
+        placed = indexed.join(at_end, ["doc_id", "page_number"], "left")
     clean = normalize_text(F.col("text"))
-    return indexed.join(at_end, ["doc_id", "page_number"], "left").select(ids.paragraph_id("doc_id", "paragraph_index", "page_number").alias("paragraph_id"), "doc_id", "page_id", "section_id", "paragraph_index", "page_number", F.col("text").alias("raw_ocr_text"), clean.alias("clean_text"), F.length(clean).alias("char_count"))
+    return placed.select(ids.paragraph_id("doc_id", "paragraph_index", "page_number").alias("paragraph_id"), "doc_id", "page_id", "section_id", "paragraph_index", "page_number", F.col("text").alias("raw_ocr_text"), clean.alias("clean_text"), F.length(clean).alias("char_count"))
 
 
 def page_sections(of: DataFrame, sections_: DataFrame) -> DataFrame:

@@ -18,8 +18,14 @@ from fieldlore.session import cut, small_or_plain, table
 PREFERRED = {"population_estimate": ("Species", "Place", "SurveyMethod"), "fire_incident": ("Place", "Habitat"), "weather_observation": ("Place",), "economic_use": ("Organization", "Place", "Activity")}
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """The pages' paragraphs without their sections."""
+    return structure.paragraphs(structure.pages(table(spark, d, "report_pages")))
+
+
 def _structure(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    pages = structure.pages(table(spark, d, "report_pages"))
+    # pages are shuffled with their texts once, and read by three steps
+    pages = cut(structure.pages(table(spark, d, "report_pages")))
     sections = structure.sections(pages)
     return pages, sections, structure.paragraphs(pages, sections)
 
@@ -39,7 +45,7 @@ def page_sections(spark: SparkSession, d: str) -> DataFrame:
 
 def rule_claims(spark: SparkSession, d: str) -> DataFrame:
     """X1 to X4 and X12 over the pages' paragraphs: valid claims."""
-    rows = extraction.sentences(_structure(spark, d)[2])
+    rows = extraction.sentences(_texts(spark, d))
     valid = rows.where(extraction.reject_reason(F.col("sentence")).isNull())
     return extraction.classified(valid).select("paragraph_id", "position", "claim_type", "score", "extraction_confidence", "epistemic_status")
 
@@ -65,7 +71,7 @@ def measurements(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mentions(spark: SparkSession, d: str) -> DataFrame:
-    found = extraction.mentions(_structure(spark, d)[2], Graph(spark, d).entities)
+    found = extraction.mentions(_texts(spark, d), Graph(spark, d).entities)
     return found.withColumn("ocr_flags", F.array_join("ocr_flags", "|")).withColumn("entity_type_hints", F.array_join("entity_type_hints", "|"))
 
 
@@ -128,7 +134,7 @@ def junk(spark: SparkSession, d: str) -> DataFrame:
 
 def junk_in_pages(spark: SparkSession, d: str) -> DataFrame:
     """R3 with paragraphs: the mentions found in the pages' own ones, judged by where they stand too."""
-    text = _structure(spark, d)[2]
+    text = cut(_texts(spark, d))
     found = extraction.mentions(text, Graph(spark, d).entities)
     rows = found.select("paragraph_id", "surface_form", normalize_name(F.col("surface_form")).alias("normalized_form"), F.concat_ws("|", "paragraph_id", F.col("start_offset").cast("string")).alias("mention_id"))
     return detectors.junk_mentions(rows, text).groupBy("issue_class", "reason").agg(F.count("target_id").alias("mentions"))
@@ -224,7 +230,7 @@ def entity_groups(spark: SparkSession, d: str) -> DataFrame:
 def group_contexts(spark: SparkSession, d: str) -> DataFrame:
     """R2, with the mentions found in the pages' own paragraphs: those of mention_drafts are numbered otherwise."""
     g = Graph(spark, d)
-    text = _structure(spark, d)[2]
+    text = cut(_texts(spark, d))
     named = small_or_plain(g.entities.select("entity_id", normalize_name(F.col("name")).alias("form")))
     found = extraction.mentions(text, g.entities).withColumn("form", normalize_name(F.col("surface_form"))).join(named, "form")
     counts = g.edges.groupBy("entity_id").agg(F.count("claim_id").alias("n"))
