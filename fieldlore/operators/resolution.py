@@ -7,6 +7,7 @@ the best candidate are columns and windows.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldlore.functions.text import similarity
+from fieldlore.functions.text import similarity, subsequence_with
 
 REFERS, MAYBE, GAP, TOGETHER = 0.85, 0.65, 0.05, 0.03
 BOOSTS, ABSENT = (0.05, 0.03, 0.01), -0.02
@@ -47,10 +48,13 @@ class Block:
         # twice the common characters over both lengths bounds the ratio from above
         near = np.minimum(self.counts, own).sum(axis=1)
         bound = 2.0 * near / np.maximum(self.sizes + size, 1)
-        wanted = set(np.flatnonzero(bound >= least - 1e-4).tolist())
-        # below the bound only common words, or one being a part of the other, can reach the threshold
-        for w in set(form.split()):
-            wanted.update(self.by_word.get(w, ()))
+        longest = subsequence_with(form)
+        # matching blocks are a common subsequence, so that the longest one bounds the ratio more closely
+        wanted = {i for i in np.flatnonzero(bound >= least - 1e-4).tolist() if 2.0 * longest(self.names[i]) >= (least - 1e-4) * (size + len(self.names[i]))}
+        # below the bounds only common words, or one being a part of the other, can reach the threshold
+        words = set(form.split())
+        shared = Counter(i for w in words for i in self.by_word.get(w, ()))
+        wanted.update(i for i, n in shared.items() if n >= (least - 1e-4) * max(len(words), len(self.words[i])))
         wanted.update(i for i in np.flatnonzero(near >= np.minimum(self.sizes, size)).tolist() if form in self.names[i] or self.names[i] in form)
         return [(form, self.names[i], s) for i in sorted(wanted) if (s := similarity(form, self.names[i])) >= least]
 
