@@ -47,7 +47,7 @@ def rule_claims(spark: SparkSession, d: str) -> DataFrame:
     """X1 to X4 and X12 over the pages' paragraphs: valid claims."""
     rows = extraction.sentences(_texts(spark, d))
     valid = rows.where(extraction.reject_reason(F.col("sentence")).isNull())
-    return extraction.classified(valid).select("paragraph_id", "position", "claim_type", "score", "extraction_confidence", "epistemic_status")
+    return extraction.classified(valid).select("paragraph_id", "position", "claim_type", F.round("score", 6).alias("score"), "extraction_confidence", "epistemic_status")
 
 
 def classified(spark: SparkSession, d: str) -> DataFrame:
@@ -393,3 +393,23 @@ def _review_sql() -> str:
 _REVIEW = _review_sql()
 ORACLES |= {name: _REVIEW + ORACLES[of].removeprefix(_EXACT) for name, of in (("r7_proposals", "r7_exact"), ("g17_tiers", "g17_exact"))}
 ORACLES["t3_review_queue"] = _REVIEW + "SELECT * FROM done WHERE status = 'queued' ORDER BY priority_score DESC, impact_size DESC, confidence DESC, proposal_id LIMIT 50"
+
+#: Lines that go on are joined, so all of them are; a mark before a capital ends a sentence, but not behind the period of
+#: an abbreviation.
+_short = "|".join(sorted(extraction.ABBREVIATIONS))
+_SENTENCES = (
+    _PARAGRAPHS.replace("WITH page AS", "WITH RECURSIVE page AS", 1)
+    + r", whole AS (SELECT doc_id || printf(':paragraph:%05d:p%04d', n, page_number) AS paragraph_id, array_to_string(list_filter(list_transform(string_split(k, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' ') AS w FROM clean), "
+    + rf"kept AS (SELECT paragraph_id, regexp_replace(w, '(?i)\b({_short})\.([.!?])(\s+)', '\1.\2' || chr(2), 'g') AS w FROM whole), "
+    + r"cut_up AS (SELECT paragraph_id, list_filter(list_transform(string_split(regexp_replace(w, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(replace(x, chr(2), ' '))), lambda x: x <> '') AS ss FROM kept), "
+    + r"sent AS (SELECT paragraph_id, generate_subscripts(ss, 1) - 1 AS position, unnest(ss) AS sentence FROM cut_up) "
+)
+_OF_SENTENCES = "(SELECT paragraph_id || '#' || position AS claim_id, sentence AS source_sentence FROM sent)"
+ORACLES["x1_rule_claims"] = (
+    _SENTENCES
+    + "SELECT string_split(claim_id, '#')[1] AS paragraph_id, string_split(claim_id, '#')[2]::int AS position, claim_type, score, extraction_confidence, epistemic_status FROM ("
+    + ORACLES["x2_classified"].replace(_C, _OF_SENTENCES)
+    + ") JOIN ("
+    + ORACLES["x12_validated"].replace(_C, _OF_SENTENCES)
+    + ") USING (claim_id) WHERE reason IS NULL"
+)
