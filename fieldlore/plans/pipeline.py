@@ -413,3 +413,7 @@ ORACLES["x1_rule_claims"] = (
     + ORACLES["x12_validated"].replace(_C, _OF_SENTENCES)
     + ") USING (claim_id) WHERE reason IS NULL"
 )
+
+from fieldlore.plans import measure_sql  # noqa: E402
+
+ORACLES["x14_measurements"] = measure_sql.measurements(f"(SELECT claim_id, claim_type, source_sentence AS sentence FROM {_C})")
