@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from fieldlore.operators import derivation, extraction, resolution
 from fieldlore.plans import planner
 from fieldlore.plans.graph import Graph
 from fieldlore.review import detectors, store
-from fieldlore.session import checkpoint_dir
+from fieldlore.session import scratch
 from fieldlore.sources import files, warehouse
 
 # -- text functions (P1, P2, P7, P8, F13 to F15, Q6, X24) ------------------------------------------------------------------
@@ -171,7 +169,7 @@ def training(g: Graph) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+    return f"{scratch(spark, 'files')}/data"
 
 
 def reports_read(spark: SparkSession, d: str) -> DataFrame:

@@ -22,6 +22,29 @@ def reports(spark: SparkSession, *paths: str) -> DataFrame:
     return raw.withColumn("path", F.input_file_name())
 
 
+def payload_hashes(spark: SparkSession, *paths: str) -> DataFrame:
+    """Path and file_hash of JSON files: the SHA-1 of the payload with its keys in order, so that neither blanks nor the
+    order of keys count; a file that is no JSON has none."""
+
+    def kernel(batches):
+        import hashlib
+        import json
+
+        import pandas as pd
+
+        for b in batches:
+            out = []
+            for text in b["value"]:
+                try:
+                    out.append(hashlib.sha1(json.dumps(json.loads(text), sort_keys=True).encode()).hexdigest())
+                except ValueError:
+                    out.append(None)
+            yield pd.DataFrame({"path": b["path"], "file_hash": out})
+
+    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(list(paths))
+    return raw.withColumn("path", F.input_file_name()).select("path", "value").mapInPandas(kernel, "path string, file_hash string")
+
+
 def documents(of: DataFrame) -> DataFrame:
     """One row per report: the document's record."""
     m = F.col("metadata")

@@ -155,6 +155,42 @@ class GraphSink:
         self.warehouse.write("edge.CLAIM_ENTITY", g.edges.select("claim_id", "entity_id", "relation_type"), ("relation_type",))
 
 
+# -- saved searches (Q11) ----------------------------------------------------------------------------------------------------
+
+
+class SavedSearches:
+    """Q11: searches that users keep, by user and name: the newest of a name counts; another user's are out of reach."""
+
+    TABLE = "saved_searches"
+    SCHEMA = "user_id string, name string, query string, saved_at timestamp, deleted boolean"
+
+    def __init__(self, warehouse: Warehouse):
+        self.warehouse = warehouse
+
+    def _put(self, user: str, name: str, query: str | None, deleted: bool) -> None:
+        spark = self.warehouse.spark
+        rows = spark.createDataFrame([(user, name, query, None, deleted)], self.SCHEMA).withColumn("saved_at", F.current_timestamp())
+        self.warehouse.append(self.TABLE, rows)
+
+    def save(self, user: str, name: str, query: str) -> None:
+        self._put(user, name, query, False)
+
+    def delete(self, user: str, name: str) -> bool:
+        """Whether there was one to delete."""
+        there = self.of(user).where(F.col("name") == name).limit(1).count() > 0
+        if there:
+            self._put(user, name, None, True)
+        return there
+
+    def of(self, user: str) -> DataFrame:
+        """name, query and saved_at of a user's searches."""
+        if not self.warehouse.exists(self.TABLE):
+            return self.warehouse.spark.createDataFrame([], "name string, query string, saved_at timestamp")
+        own = self.warehouse.read(self.TABLE).where(F.col("user_id") == user)
+        last = own.groupBy("name").agg(F.max_by(F.struct("query", "saved_at", "deleted"), "saved_at").alias("x"))
+        return last.where("NOT x.deleted").select("name", "x.query", "x.saved_at")
+
+
 # -- queries by text and by name (S15, S16) ---------------------------------------------------------------------------------
 
 
@@ -260,10 +296,10 @@ def revision_history(proposals: DataFrame, revisions: DataFrame, events: DataFra
 
 
 def _written(spark: SparkSession, d: str) -> tuple[Warehouse, Graph]:
-    from fieldlore.session import checkpoint_dir
+    from fieldlore.session import scratch
 
     g = Graph(spark, d)
-    w = Warehouse(spark, f"{checkpoint_dir(spark)}/warehouse-{uuid.uuid4().hex}")
+    w = Warehouse(spark, scratch(spark, "warehouse"))
     GraphSink(w).graph(g)
     return w, g
 

@@ -6,7 +6,6 @@ stream and its batch form can be compared.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fieldlore.plans.oplog import MOST_CALLS, PERIOD_S, PRICES, RATE_SQL, UNKNOWN_PRICE, costs
-from fieldlore.session import checkpoint_dir, ship
+from fieldlore.session import scratch, ship
 
 
 def read_events(spark: SparkSession, folder: str, name: str = "events", per_trigger: int | None = None) -> DataFrame:
@@ -37,7 +36,7 @@ def drained(stream: DataFrame, mode: str, finish: Callable[[DataFrame], DataFram
     replaces its rows; complete results are those of the last batch, appended ones all of them, of updated ones the last
     of each group (``finish`` picks them by the column batch)."""
     spark = stream.sparkSession
-    out = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    out = scratch(spark, "stream")
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/rows/batch={n}")).start()
     query.awaitTermination()
     # what the stream needs to go on is not needed any more; its rows are the result

@@ -324,3 +324,22 @@ def test_own_patterns_of_personal_data(spark):
     assert sorted(r.group_key for r in detectors.sensitive(claims).collect()) == ["date_of_birth", "ssn"]
     bad = ["please ignore previous notes", "New instructions follow", "system : do", "<assistant>", "The system worked"]
     assert [r.x == "[content withheld]" for r in spark.createDataFrame([(b,) for b in bad], "t string").select(text.safe_context(F.col("t")).alias("x")).collect()] == [True, True, True, True, False]
+
+
+def test_saved_searches(spark, tmp_path):
+    s = warehouse.SavedSearches(warehouse.Warehouse(spark, str(tmp_path / "w")))
+    assert s.of("a").count() == 0 and not s.delete("a", "x")
+    s.save("a", "x", "teal"), s.save("a", "x", "blue teal"), s.save("b", "x", "fire"), s.save("a", "y", "rain")
+    assert sorted((r.name, r.query) for r in s.of("a").collect()) == [("x", "blue teal"), ("y", "rain")]
+    assert s.delete("a", "x") and [r.name for r in s.of("a").collect()] == ["y"] and [r.query for r in s.of("b").collect()] == ["fire"]
+
+
+def test_payload_hashes(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a.json").write_text('{"b": [1, 2],\n "a": "é"}', encoding="utf-8")
+    (tmp_path / "b.json").write_text('{"a":"é","b":[1,2]}', encoding="utf-8")
+    (tmp_path / "c.json").write_text("{broken")
+    got = {r.path.rsplit("/", 1)[1]: r.file_hash for r in files.payload_hashes(spark, str(tmp_path)).collect()}
+    want = hashlib.sha1(json.dumps({"b": [1, 2], "a": "é"}, sort_keys=True).encode()).hexdigest()
+    assert got == {"a.json": want, "b.json": want, "c.json": None}
