@@ -41,7 +41,7 @@ def payload_hashes(spark: SparkSession, *paths: str) -> DataFrame:
                     out.append(None)
             yield pd.DataFrame({"path": b["path"], "file_hash": out})
 
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(list(paths))
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(list(paths), wholetext=True)
     return raw.withColumn("path", F.input_file_name()).select("path", "value").mapInPandas(kernel, "path string, file_hash string")
 
 
