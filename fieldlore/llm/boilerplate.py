@@ -1,15 +1,18 @@
 """Lines repeated across one source's documents.
 
 Lines are folded: letter case, spacing, punctuation and stray marks go, and letters and digits that scans mistake for
-each other share a class, while different digits stay different. A first pass counts, for each source, the documents
-that hold each folded line (64-bit keys, one row per document and line). Lines in at least a tenth of a
-source's documents represent their cluster: since misread writings fold to the same line, a cluster as large as the
-threshold has such a line.
-A second pass reads the pages again and finds the lines that are, or nearly are, a representative. For candidates
-locality-sensitive hashing takes pieces of the line with numbers masked: pieces at a fixed stride from its start, and the
-one at its end, are looked up among all pieces of the representatives of the same source (lines and representatives are
-joined by source and piece, never by source alone), and a third of them (two at least, of a short line one) must meet.
-Then the numbers must agree and the folded lines nearly so. Clusters with too few documents of the source are dropped.
+each other share a class, while different digits stay different. Two lines are linked if their numbers agree and the
+folded lines nearly so (``NEAR``); linked lines are one cluster, and clusters that stand in enough documents of their
+source are given, however their writings are spread.
+
+Every pair of a part is judged. A source up to twice ``PART`` documents is one part. A larger one is divided by its
+documents' hash: a cluster with a share of all documents has at least that share in some part, so what has it in any part
+is a candidate. Of each candidate, lines that all its lines in that part are linked to (``_cover``) go to all parts of
+the source, meet every line there, and documents are counted over all parts. Lines of a large source are of a cluster
+if they are linked to one of those; lines that are all linked to each other are always found whole.
+
+Pairs are left out before their longest common subsequence is measured only by bounds on it: length, bigrams (one more
+or less character changes at most three) and characters in common.
 
 Defined results: pages that are null, empty or blank have no lines; documents with a null series have no source; a
 page or document given twice counts once; line numbers count every line from 1; an empty table gives no lines.
@@ -18,21 +21,25 @@ page or document given twice counts once; line numbers count every line from 1;
 from __future__ import annotations
 
 import functools
+import math
 import re
 import unicodedata
-import zlib
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAST_LETTERS, LEAST_DOCUMENTS, LEAST_SHARE = 15, 4, 0.2
-#: A representative stands in at least this share of what a cluster needs.
+#: A writing that alone stands in this share of what a cluster of a part needs is a candidate too.
 REPRESENTATIVE = 0.5
-#: Length of a piece, and the least ratio of the folded lines' longest common subsequence.
-PIECE, NEAR = 10, 0.88
+#: The least ratio of the folded lines' longest common subsequence.
+NEAR = 0.88
+#: Documents of a part of a large source (up to twice as many), pairs that are judged at once, and bits of a word.
+PART, PAIRS, WORD = 64, 1 << 18, 64
 #: Classes of characters that scans mistake for each other (fixed values); each has at most one digit.
 CLASSES = ("il1jt!|f", "oce0aqd", "s5", "nuv", "b8h", "g9y", "z2")
 
@@ -98,83 +105,145 @@ def key_of(folded: str) -> int:
     return xxhash.xxh64_intdigest(folded) - (1 << 63)
 
 
-@functools.cache
-def numbers_gone() -> dict[int, None]:
-    return {ord(d): None for d in "3467"}
-
-
 def letters(line: str) -> int:
-    return sum(c.isalpha() for c in line)
+    return sum(map(str.isalpha, line))
 
 
 def numbers(line: str) -> list[str]:
     """The numbers of a line with the letters that scans put for digits read back."""
-    read = (re.sub(r"\W", "", w).translate(LIKE_DIGITS) for w in re.findall(r"[\w.,]*\d[\w.,]*", line))
+    if not DIGIT.search(line):
+        return []
+    runs = (w for word in line.split() if DIGIT.search(word) for w in RUN.findall(word))
+    read = (w.replace(".", "").replace(",", "").translate(LIKE_DIGITS) for w in runs if DIGIT.search(w))
     return [w for w in read if w.isdigit()]
 
 
+DIGIT, RUN = re.compile(r"\d"), re.compile(r"[\w.,]+")
 LIKE_DIGITS = str.maketrans("lIOoSsB", "1100558")
 
 
-def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        yield pd.DataFrame({"doc_id": b["doc_id"], "keys": [list({key_of(f) for f in fold_page(t) if len(f) >= LEAST_LETTERS - 2}) for t in b["raw_ocr_text"]]})
-
-
-def _writings(wanted):
-    """key, folded and line of the lines whose key is wanted (of all lines if wanted is None), once a task."""
-
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[int, tuple[str, str]] = {}
-        for b in batches:
-            new = {}
-            for t in b["raw_ocr_text"]:
-                for f, line in zip(fold_page(t), t.split("\n")):
-                    if len(f) >= LEAST_LETTERS - 2 and (k := key_of(f)) not in seen and (wanted is None or k in wanted.value):
-                        new[k] = (f, line)
-                        if wanted is not None:
-                            seen[k] = new[k]
-            yield pd.DataFrame([(k, f, line) for k, (f, line) in new.items()], columns=["key", "folded", "line"])
-
-    return kernel
-
-
-def masked(folded: str) -> bytes:
-    """Folded text with its numbers gone."""
-    return folded.translate(numbers_gone()).encode()
-
+class Lines:
+    """Different folded lines, with what bounds the longest common subsequence of any two; characters count by 32 slots."""
+
+    def __init__(self, folded: list[str]):
+        self.folded, n = folded, len(folded)
+        self.length = np.array([len(f) for f in folded], dtype=np.int64)
+        c = np.frombuffer("".join(folded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        line, slot = np.repeat(np.arange(n), self.length), c % 32
+        at = np.arange(len(c)) - np.repeat(np.cumsum(self.length) - self.length, self.length)
+        self.characters = np.bincount(line * 32 + slot, minlength=32 * n).reshape(n, 32).astype(np.int16)
+        # which bigrams a line has, as bits by hash: a bigram more or less changes one bit at most
+        there, whole = np.zeros((n, 256), dtype=bool), line[:-1] == line[1:]
+        there[line[:-1][whole], (((c[:-1] * 1_000_003 + c[1:]) * 40_503 >> 7) % 256)[whole]] = True
+        self.bigrams = np.packbits(there, axis=1).view(np.uint64)
+        # the slots of a line's first WORD characters, and where it has each slot, as bits
+        short = at < WORD
+        self.slots = np.full((n, WORD), 32, dtype=np.uint8)
+        self.slots[line[short], at[short]] = slot[short]
+        self.where = np.zeros((n, 33), dtype=np.uint64)
+        np.bitwise_or.at(self.where, (line[short], slot[short]), np.uint64(1) << at[short].astype(np.uint64))
+
+    def most_common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Length of the longest common subsequence of slots, of lines up to WORD (``names.common`` for all at once)."""
+        v = np.full(len(i), ~np.uint64(0))
+        for at in range(int(self.length[j].max(initial=0))):
+            u = v & self.where[i, self.slots[j, at]]
+            v = (v + u) | (v - u)
+        return np.bitwise_count(~v).astype(np.int64)
+
+    def linked(self, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int]]:
+        """The pairs that are nearly equal."""
+        from fieldlore.llm.names import common
+
+        for i, j in _batches(pairs):
+            a, b = self.length[i], self.length[j]
+            most = (1 - NEAR) * (a + b) + 1e-9
+            keep = np.abs(a - b) <= np.minimum(most, 0.2 * np.maximum(a, b))
+            i, j, most = i[keep], j[keep], most[keep]
+            keep = np.bitwise_count(self.bigrams[i] ^ self.bigrams[j]).sum(axis=1, dtype=np.int64) <= 3 * most
+            i, j, most = i[keep], j[keep], most[keep]
+            keep = np.abs(self.characters[i] - self.characters[j]).sum(axis=1) <= most
+            i, j, most = i[keep], j[keep], most[keep]
+            a, b = self.length[i], self.length[j]
+            keep = np.maximum(a, b) > WORD
+            short = np.flatnonzero(~keep)
+            keep[short] = (a + b)[short] - 2 * self.most_common(i[short], j[short]) <= most[short]
+            for x, y in zip(i[keep].tolist(), j[keep].tolist()):
+                if 2 * common(self.folded[x], self.folded[y]) >= NEAR * (len(self.folded[x]) + len(self.folded[y])):
+                    yield x, y
+
+
+def _batches(pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of few lines are put together, those of many divided."""
+    left, right, n = [], [], 0
+    for i, j in pairs:
+        for at in range(0, len(i), PAIRS):
+            left.append(i[at : at + PAIRS])
+            right.append(j[at : at + PAIRS])
+            n += len(left[-1])
+            if n >= PAIRS:
+                yield np.concatenate(left), np.concatenate(right)
+                left, right, n = [], [], 0
+    if n:
+        yield np.concatenate(left), np.concatenate(right)
+
+
+def _crossed(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of one of the left with one of the right, some rows of them at a time."""
+    rows = max(1, PAIRS // max(1, len(right)))
+    for at in range(0, len(left), rows):
+        part = left[at : at + rows]
+        yield np.repeat(part, len(right)), np.tile(right, len(part))
+
+
+def _within(ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of different ones, each once."""
+    if len(ids) <= 256:
+        i, j = _triangle(len(ids))
+        yield ids[i], ids[j]
+        return
+    for i, j in _crossed(ids, ids):
+        yield i[i < j], j[i < j]
 
-def pieces(line: bytes, stride: int) -> list[bytes]:
-    """The pieces of a masked line at a stride, and the one at its end."""
-    out = [line[i : i + PIECE] for i in range(0, max(1, len(line) - PIECE + 1), stride)]
-    return out if out[-1] == line[-PIECE:] else [*out, line[-PIECE:]]
 
-
-@functools.lru_cache(10_000)
-def all_pieces(folded: str) -> frozenset[bytes]:
-    return frozenset(pieces(masked(folded), 1))
-
-
-def least_hits(n: int) -> int:
-    """Of n pieces of a line, so many must meet its representative: all but these may hold a misread spot."""
-    return 1 if n < 3 else max(2, (n + 2) // 3)
-
-
-def same(folded: str, line: str, other: str, written: str) -> bool:
-    """Whether two lines agree but for misread spots, numbers included."""
-    from fieldlore.llm.names import ratio
-
-    return abs(len(folded) - len(other)) <= 0.2 * len(other) and ratio(folded, other) >= NEAR and numbers(line) == numbers(written)
-
-
-def _clusters(pdf: pd.DataFrame) -> pd.DataFrame:
-    """series, key, cluster: the representatives of one source, joined where they are nearly the same."""
-    rows = sorted(zip(pdf["key"], pdf["folded"], pdf["line"]))
-    root = {k: k for k, _, _ in rows}
-    at: dict[bytes, list[int]] = {}
-    for n, (_, f, _) in enumerate(rows):
-        for p in all_pieces(f):
-            at.setdefault(p, []).append(n)
+@functools.cache
+def _triangle(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
+class Part:
+    """The lines of some documents of one source by their folded writing: documents, places, and numbers as written.
+    Lines with too few letters link others, but have no places."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        self.documents: dict[str, set[str]] = {}
+        self.places: dict[str, set[tuple[str, str, int]]] = {}
+        self.numbers: dict[str, set[tuple[str, ...]]] = {}
+        for doc, page, t in set(zip(pdf["doc_id"], pdf["page_id"], pdf["raw_ocr_text"])):
+            for n, (f, line) in enumerate(zip(fold_page(t), t.split("\n"))):
+                enough = letters(line) >= LEAST_LETTERS
+                if not enough and len(f) < LEAST_LETTERS - 2:
+                    continue
+                if f not in self.numbers:
+                    self.documents[f], self.places[f], self.numbers[f] = set(), set(), set()
+                self.numbers[f].add(tuple(numbers(line)))
+                if enough:
+                    self.documents[f].add(doc)
+                    self.places[f].add((doc, page, n + 1))
+
+
+def _by_numbers(written: list[Iterable]) -> dict:
+    by = defaultdict(list)
+    for n, own in enumerate(written):
+        for x in own:
+            by[x].append(n)
+    return {x: np.array(ids) for x, ids in by.items()}
+
+
+def _clusters(folded: list[str], written: list[Iterable]) -> tuple[list[list[int]], dict[int, set[int]]]:
+    """Clusters of linked lines, and the lines that each is linked to."""
+    near: dict[int, set[int]] = defaultdict(set)
+    root = list(range(len(folded)))
 
     def find(k: int) -> int:
         while root[k] != k:
@@ -182,149 +251,84 @@ def _clusters(pdf: pd.DataFrame) -> pd.DataFrame:
             k = root[k]
         return k
 
-    for n, (k, f, line) in enumerate(rows):
-        for m in {m for p in pieces(masked(f), PIECE) for m in at.get(p, ()) if m != n}:
-            if same(f, line, rows[m][1], rows[m][2]):
-                a, b = sorted((find(k), find(rows[m][0])))
-                root[b] = a
-    return pd.DataFrame({"series": pdf["series"].iloc[0], "key": [k for k, _, _ in rows], "cluster": [find(k) for k, _, _ in rows]})
-
-
-class PieceMap:
-    """Which pieces representatives have, as bits by hash: small for every worker, wrong for a few pieces in a hundred,
-    which the comparison afterwards sorts out."""
-
-    def __init__(self, lines: list[str]):
-        hashes = {zlib.crc32(p) for f in lines for p in pieces(masked(f), 1)}
-        self.mask = (1 << max(10, (32 * len(hashes)).bit_length())) - 1
-        self.bits = bytearray((self.mask + 1) // 8)
-        for h in hashes:
-            h &= self.mask
-            self.bits[h >> 3] |= 1 << (h & 7)
-
-    def meets(self, line: bytes) -> bool:
-        """Whether enough of a masked line's pieces at the stride are known."""
-        own = pieces(line, PIECE)
-        need, mask, bits = least_hits(len(own)), self.mask, self.bits
-        spare = len(own) - need
-        for piece in own:
-            h = zlib.crc32(piece) & mask
-            if bits[h >> 3] >> (h & 7) & 1:
-                need -= 1
-                if not need:
-                    return True
-            else:
-                spare -= 1
-                if spare < 0:
-                    return False
-        return False
-
-
-def _suspects(index):
-    """Lines with the key of a representative, or sharing a third of their pieces with any (all lines if index is None)."""
-
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, known = index.value if index else ((), None)
-        for b in batches:
-            rows = []
-            for doc, page, t in zip(b["doc_id"], b["page_id"], b["raw_ocr_text"]):
-                lines, folded = t.split("\n"), fold_text(t)
-                for n, (f, m) in enumerate(zip(folded.split("\n"), masked(folded).split(b"\n"))):
-                    if len(f) < LEAST_LETTERS - 3:
-                        continue
-                    k = key_of(f)
-                    if index and k not in keys and not known.meets(m):
-                        continue
-                    if letters(lines[n]) >= LEAST_LETTERS:
-                        rows.append((doc, page, n + 1, k, f, lines[n]))
-            yield pd.DataFrame(rows, columns=["doc_id", "page_id", "line_no", "key", "folded", "line"])
-
-    return kernel
-
-
-def _pieces_of(stride: int, schema: tuple[str, ...]):
-    """Each row's other columns and the hashes of its folded line's pieces, each once, with how many must meet."""
-
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            own = [pieces(masked(f), stride) for f in b["folded"]]
-            b["pieces"] = [sorted({zlib.crc32(p) for p in x}) for x in own]
-            b["least"] = [min(least_hits(len(x)), len(set(x))) for x in own]
-            yield b[[*schema, "pieces", "least"]]
-
-    return kernel
-
-
-def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        keep = [same(*x) for x in zip(b["folded"], b["line"], b["other"], b["written"])]
-        yield b.loc[keep, ["series", "folded", "line", "cluster"]]
-
-
-def _own(maps):
-    """Of the suspects of all sources those that share enough pieces with a representative of their own."""
-
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = maps.value
-        for b in batches:
-            yield b[[s in known and known[s].meets(masked(f)) for s, f in zip(b["series"], b["folded"])]]
-
-    return kernel
-
-
-def of_own_source(met: DataFrame, representatives: DataFrame) -> DataFrame:
-    """Fewer of the suspects, where the representatives of all sources fit into every worker; else all of them."""
-    from fieldlore import session
-
-    if representatives.count() > session.BROADCAST_ROWS:
-        return met
-    by: dict[str, list[str]] = {}
-    for r in representatives.select("series", "folded").toLocalIterator():
-        by.setdefault(r.series, []).append(r.folded)
-    maps = met.sparkSession.sparkContext.broadcast({s: PieceMap(lines) for s, lines in by.items()})
-    return met.mapInPandas(_own(maps), met.schema)
-
-
-def suspects(read: DataFrame, written: DataFrame) -> DataFrame:
-    """The lines worth comparing; all of them if the representatives are too many for every worker."""
-    from fieldlore import session
-
-    index = None
-    if written.count() <= session.BROADCAST_ROWS:
-        rows = [(r.key, r.folded) for r in written.toLocalIterator()]
-        index = read.sparkSession.sparkContext.broadcast((frozenset(k for k, _ in rows), PieceMap([f for _, f in rows])))
-    return read.mapInPandas(_suspects(index), "doc_id string, page_id string, line_no int, key bigint, folded string, line string")
-
-
-def near_lines(rest: DataFrame, representatives: DataFrame) -> DataFrame:
-    """The lines that nearly are a representative of their own source: those that share enough pieces with one, compared."""
-    from fieldlore.session import small_or_plain
-
-    known = ("series", "cluster", "folded", "line")
-    # equal lines of a source are compared once, and only their numbers travel with their pieces
-    written = rest.select("series", "folded", "line").distinct().withColumn("id", F.xxhash64("series", "folded", "line"))
-    left = written.mapInPandas(_pieces_of(PIECE, ("series", "id")), "series string, id bigint, pieces array<bigint>, least int")
-    right = representatives.select(*known).withColumn("other_id", F.xxhash64(*known))
-    right_pieces = right.mapInPandas(_pieces_of(1, ("series", "other_id")), "series string, other_id bigint, pieces array<bigint>, least int")
-    exploded = lambda df, *c: df.select("series", *c, F.explode("pieces").alias("p")).select(F.xxhash64("series", "p").alias("piece"), *c)
-    hits = exploded(left, "id", "least").join(small_or_plain(exploded(right_pieces, "other_id")), "piece").groupBy("id", "least", "other_id").agg(F.count("piece").alias("n")).where("n >= least")
-    met = hits.select("id", "other_id").join(written, "id").join(small_or_plain(right.select("other_id", "series", "cluster", F.col("folded").alias("other"), F.col("line").alias("written"))), ["other_id", "series"])
-    near = met.where(F.abs(F.length("folded") - F.length("other")) <= 0.2 * F.length("other"))
-    alike = near.select("series", "folded", "line", "cluster", "other", "written").mapInPandas(_alike, "series string, folded string, line string, cluster bigint").distinct()
-    return rest.join(alike, ["series", "folded", "line"]).select("doc_id", "page_id", "line_no", "series", "cluster")
-
-
-def writings(read: DataFrame, keys: DataFrame) -> DataFrame:
-    """key, folded and line of each wanted key: the smallest of its writings."""
-    from fieldlore import session
-
-    schema, text = "key bigint, folded string, line string", read.select("raw_ocr_text")
-    if keys.count() <= session.BROADCAST_ROWS:
-        wanted = read.sparkSession.sparkContext.broadcast(frozenset(r.key for r in keys.toLocalIterator()))
-        found = text.mapInPandas(_writings(wanted), schema)
-    else:
-        found = text.mapInPandas(_writings(None), schema).join(keys, "key")
-    return found.groupBy("key").agg(F.min_by("folded", F.struct("folded", "line")).alias("folded"), F.min_by("line", F.struct("folded", "line")).alias("line"))
+    blocks = [ids for ids in _by_numbers(written).values() if len(ids) > 1]
+    for x, y in Lines(folded).linked(pair for ids in blocks for pair in _within(ids)):
+        near[x].add(y)
+        near[y].add(x)
+        a, b = sorted((find(x), find(y)))
+        root[b] = a
+    out = defaultdict(list)
+    for n in range(len(folded)):
+        out[find(n)].append(n)
+    return list(out.values()), near
+
+
+def _cover(cluster: list[int], near: dict[int, set[int]], weight: list[int]) -> list[int]:
+    """Lines of a cluster that all the others are linked to, the most frequent first."""
+    left, out = set(cluster), []
+    for n in sorted(cluster, key=lambda n: (-weight[n], -len(near[n]), n)):
+        if n in left:
+            out.append(n)
+            left -= near[n] | {n}
+    return out
+
+
+#: Rows of a part: the lines of a source that is one part, or the candidates (folded, numbers) of a larger one.
+FOUND = "series string, page_id string, line_no int, cluster bigint, documents bigint, folded string, numbers string"
+
+
+def _found(pdf: pd.DataFrame) -> pd.DataFrame:
+    part = Part(pdf)
+    folded, rows = sorted(part.numbers), []
+    written = [part.numbers[f] for f in folded]
+    series, whole, size = pdf["series"].iloc[0], pdf["parts"].iloc[0] == 1, int(pdf["of_part"].iloc[0])
+    clusters, near = _clusters(folded, written)
+    least = math.ceil(LEAST_SHARE * size - 1e-9)
+    weight = [len(part.documents[f]) for f in folded]
+    chosen = set()
+    for cluster in clusters:
+        documents = len(set().union(*(part.documents[folded[n]] for n in cluster)))
+        if whole and documents >= max(LEAST_DOCUMENTS, least):
+            first = min(key_of(folded[n]) for n in cluster)
+            rows += [(series, page, line, first, documents, None, None) for n in cluster for _, page, line in part.places[folded[n]]]
+        elif not whole and documents >= least:
+            chosen.update(_cover(cluster, near, weight))
+    if not whole:
+        chosen.update(n for n, w in enumerate(weight) if w > 1 and w >= REPRESENTATIVE * LEAST_SHARE * size)
+    rows += [(series, None, None, None, None, folded[n], " ".join(x)) for n in sorted(chosen) for x in sorted(written[n])]
+    return pd.DataFrame(rows, columns=["series", "page_id", "line_no", "cluster", "documents", "folded", "numbers"])
+
+
+def _candidates(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The candidates of all parts of a source, linked ones with one cluster."""
+    written: dict[str, set[str]] = defaultdict(set)
+    for f, x in zip(pdf["folded"], pdf["numbers"]):
+        written[f].add(x)
+    folded, rows = sorted(written), []
+    for cluster in _clusters(folded, [written[f] for f in folded])[0]:
+        first = min(key_of(folded[n]) for n in cluster)
+        rows += [(folded[n], x, first) for n in cluster for x in sorted(written[folded[n]])]
+    out = pd.DataFrame(rows, columns=["folded", "numbers", "cluster"])
+    out.insert(0, "series", pdf["series"].iloc[0])
+    return out
+
+
+def _met(pdf: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+    """The lines of a part that are, or are linked to, a candidate of their source."""
+    rows = set()
+    if len(pdf) and len(candidates):
+        part, cluster = Part(pdf), dict(zip(candidates["folded"], candidates["cluster"]))
+        known: dict[str, set[str]] = defaultdict(set)
+        for f, x in zip(candidates["folded"], candidates["numbers"]):
+            known[f].add(x)
+        folded, others = sorted(f for f in part.numbers if part.places[f]), sorted(known)
+        own, theirs = (_by_numbers(x) for x in ([{" ".join(x) for x in part.numbers[f]} for f in folded], [known[f] for f in others]))
+        pairs = (pair for x in own.keys() & theirs.keys() for pair in _crossed(own[x], theirs[x] + len(folded)))
+        hits = {(folded[i], others[j - len(folded)]) for i, j in Lines(folded + others).linked(pairs)} | {(f, f) for f in folded if f in known}
+        rows = {(doc, page, line, cluster[other]) for f, other in hits for doc, page, line in part.places[f]}
+    out = pd.DataFrame(sorted(rows), columns=["doc_id", "page_id", "line_no", "cluster"])
+    out.insert(0, "series", pdf["series"].iloc[0] if len(pdf) else None)
+    return out
 
 
 def repeated_lines(pages: DataFrame, records: DataFrame) -> DataFrame:
@@ -333,22 +337,19 @@ def repeated_lines(pages: DataFrame, records: DataFrame) -> DataFrame:
 
     read = pages.where("raw_ocr_text IS NOT NULL AND doc_id IS NOT NULL AND page_id IS NOT NULL").select("doc_id", "page_id", "raw_ocr_text")
     sources = records.where("series IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("series").alias("series"))
-    sizes = sources.groupBy("series").agg(F.count("doc_id").alias("size"))
-    own = read.select("doc_id", "raw_ocr_text").mapInPandas(_keys, "doc_id string, keys array<bigint>")
-    of_document = own.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys")).join(sources, "doc_id")
-    counted = of_document.select("series", F.explode("keys").alias("key")).groupBy("series", "key").agg(F.count("key").alias("documents")).where("documents > 1")
-    often = counted.join(small_or_plain(sizes), "series").where(F.col("documents") >= REPRESENTATIVE * LEAST_SHARE * F.col("size")).select("series", "key")
-    often = cut(often)
-    written = cut(writings(read, often.select("key").distinct()))
-    clusters = cut(often.join(written, "key").groupBy("series").applyInPandas(_clusters, "series string, key bigint, cluster bigint"))
-    representatives = cut(clusters.join(written, "key"))
-    met = cut(of_own_source(suspects(read, written).join(sources, "doc_id"), representatives))
-    own = ["doc_id", "page_id", "line_no", "series", "cluster"]
-    exact = met.join(clusters, ["series", "key"]).select(*own)
-    rest = met.join(clusters, ["series", "key"], "left_anti").join(clusters.select("series").distinct(), "series", "left_semi")
-    lines = cut(exact.union(near_lines(rest, representatives)).distinct())
-    large = lines.groupBy("series", "cluster").agg(F.count_distinct("doc_id").alias("documents")).join(sizes, "series").where((F.col("documents") >= LEAST_DOCUMENTS) & (F.col("documents") >= LEAST_SHARE * F.col("size") - 1e-9)).select("series", "cluster", "documents")
-    return lines.join(large, ["series", "cluster"]).select("page_id", "line_no", "series", "cluster", "documents")
+    sizes = sources.groupBy("series").agg(F.count("doc_id").alias("size")).withColumn("parts", F.greatest(F.lit(1), F.floor(F.col("size") / PART)).cast("int"))
+    placed = cut(sources.join(sizes, "series").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")))
+    of_part = placed.groupBy("series", "part").agg(F.count("doc_id").alias("of_part"))
+    texts = read.join(placed.join(of_part, ["series", "part"]), "doc_id")
+    found = cut(texts.groupBy("series", "part").applyInPandas(_found, FOUND))
+    candidates = cut(found.where("folded IS NOT NULL").select("series", "folded", "numbers").distinct().groupBy("series").applyInPandas(_candidates, "series string, folded string, numbers string, cluster bigint"))
+    large = placed.join(candidates.select("series").distinct(), "series", "left_semi")
+    for_parts = candidates.join(sizes, "series").select(*candidates.columns, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    met = read.join(small_or_plain(large), "doc_id").select("doc_id", "page_id", "raw_ocr_text", "series", "part").groupBy("series", "part").cogroup(for_parts.groupBy("series", "part")).applyInPandas(_met, "series string, doc_id string, page_id string, line_no int, cluster bigint")
+    lines = cut(met)
+    enough = lines.groupBy("series", "cluster").agg(F.count_distinct("doc_id").alias("documents")).join(sizes.select("series", "size"), "series").where((F.col("documents") >= LEAST_DOCUMENTS) & (F.col("documents") >= LEAST_SHARE * F.col("size") - 1e-9)).select("series", "cluster", "documents")
+    across = lines.join(enough, ["series", "cluster"]).select("page_id", "line_no", "series", "cluster", "documents")
+    return found.where("page_id IS NOT NULL").select(*across.columns).union(across)
 
 
 def without_lines(pages: DataFrame, lines: DataFrame) -> DataFrame:
