@@ -1,7 +1,8 @@
 """Attribute-value rows into wide tables.
 
-The entity-by-attribute grid is completed per entity type, the read values are left joined, collected into an
-array sorted by attribute position, and fixed indices of that array are projected through casts by type.
+The read values of an entity are collected into an array sorted by attribute position, the positions of its type's
+grid that have none are added as empty cells, and fixed indices of that array are projected through casts by type.
+The grid is completed inside the array and not by a join of rows, so rows are shuffled once, by entity.
 
 Defined results: null or blank keys and keys that are no wanted attribute are ignored; a value that says that
 nothing is known, or cannot be read as the attribute's type, counts as missing; of several readable values the
@@ -15,8 +16,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldlore.session import small_or_plain
-
 #: Words that say that nothing is known (fixed values, compared in lower case without outer spaces).
 NOTHING = ("", "-", "--", "?", "n/a", "na", "n.a.", "none", "none given", "nil", "null", "nan", "unknown", "unk", "unk.", "not known", "not given", "not recorded", "tbd", "t.b.d.", "see card", "missing", "no data")
 TRUE, FALSE = ("true", "t", "yes", "y", "1"), ("false", "f", "no", "n", "0")
@@ -27,8 +26,10 @@ SQL_TYPES = {"string": "string", "int": "int", "double": "double", "boolean": "b
 
 def normal_key(key: Column) -> Column:
     """snake_case of a key however it is written: 'Tenure Start:', 'tenureStart' and ' TENURE-START' agree."""
-    spaced = F.regexp_replace(F.trim(key), r"(?<=[a-z0-9])(?=[A-Z])", "_")
-    return F.regexp_replace(F.regexp_replace(F.lower(spaced), r"[^\p{L}\p{N}]+", "_"), r"^_+|_+$", "")
+    own = F.trim(key)
+    spaced = F.regexp_replace(own, r"([a-z0-9])([A-Z])", "$1_$2")
+    # most keys are written so and need one match only; \z is the very end, $ also stands before a last line break
+    return F.when(own.rlike(r"^[a-z0-9]++(?:_[a-z0-9]++)*+\z"), own).otherwise(F.btrim(F.regexp_replace(F.lower(spaced), r"[^\p{L}\p{N}]+", "_"), F.lit("_")))
 
 
 def plain_number(text: Column) -> Column:
@@ -56,7 +57,7 @@ def with_reading(rows: DataFrame) -> DataFrame:
         rows.withColumn("_v", F.trim(F.regexp_replace("prop_value", r"[\s\u00a0]+", " ")))
         .withColumn("_low", F.lower("_v"))
         .withColumn("_v", F.when(~F.col("_low").isin(*NOTHING), v))
-        .withColumn("_plain", F.when(kind.isin("int", "double"), plain_number(v)))
+        .withColumn("_plain", F.when(kind.isin("int", "double"), F.when(v.rlike(r"^[+-]?\d++(?:\.\d++)?\z"), v).otherwise(plain_number(v))))
         .withColumn("_number", F.when(F.col("_plain").rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.col("_plain").try_cast("double")))
         .withColumn("_date", F.when(kind == "date", F.regexp_replace(F.initcap(v), r",(?=\d)", ", ")))
         .withColumn("_date", read_date(date))
@@ -72,15 +73,17 @@ def with_reading(rows: DataFrame) -> DataFrame:
     )
 
 
-def readable_cells(rows: DataFrame, attributes: DataFrame) -> DataFrame:
-    """One row per filled cell: entity_type, name, attribute, first (text) and list (all texts in file order)."""
-    wanted = small_or_plain(attributes.select("entity_type", "attribute", "value_type", normal_key(F.col("attribute")).alias("_key")).dropDuplicates(["entity_type", "_key"]))
+def readable_cells(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row per entity and readable value: entity_type, name, position, value, seed_row (of its first writing), and
+    for each entity with rows without one a row whose position and value are null.
+
+    Rows without a reading stay: a filter on the value would be moved into the join with all steps of the reading
+    written out in it, each as often as a later one refers to it.
+    """
     keyed = rows.where("entity_type IS NOT NULL AND name IS NOT NULL").select("entity_type", "name", "seed_row", "prop_value", normal_key(F.col("prop_key")).alias("_key"))
-    read = with_reading(keyed.join(wanted, ["entity_type", "_key"])).where("value IS NOT NULL")
-    # repeated facts melt before the shuffle, so no entity gathers more than its distinct values
-    once = read.groupBy("entity_type", "name", "attribute", "value").agg(F.min("seed_row").alias("seed_row"))
-    cells = once.groupBy("entity_type", "name", "attribute").agg(F.min_by("value", F.struct("seed_row", "value")).alias("first"), F.array_sort(F.collect_list(F.struct("seed_row", "value")))["value"].alias("list"))
-    return cells
+    read = with_reading(keyed.join(wanted, ["entity_type", "_key"], "left")).withColumn("position", F.when(F.col("value").isNotNull(), F.col("position")))
+    # one shuffle, by entity, in which repeated facts melt before they are gathered: no entity gathers more than its distinct values
+    return read.repartition("entity_type", "name").groupBy("entity_type", "name", "position", "value").agg(F.min("seed_row").alias("seed_row"))
 
 
 def wide(rows: DataFrame, attributes: DataFrame) -> DataFrame:
@@ -91,19 +94,31 @@ def wide(rows: DataFrame, attributes: DataFrame) -> DataFrame:
     places: dict[str, list[str]] = {}
     kinds: dict[str, str] = {}
     for entity_type, attribute, value_type in schema:
-        places.setdefault(entity_type, []).append(attribute)
+        if attribute not in places.setdefault(entity_type, []):
+            places[entity_type].append(attribute)
         kinds[attribute] = value_type if kinds.get(attribute, value_type) == value_type else "string"
-    entities = rows.where("entity_type IS NOT NULL AND name IS NOT NULL").select("entity_type", "name").distinct()
-    own = F.create_map(*[x for t, names in places.items() for x in (F.lit(t), F.array(*[F.struct(F.lit(i).alias("position"), F.lit(a).alias("attribute")) for i, a in enumerate(names)]))]) if places else None
-    if own is None:
-        return entities
-    grid = entities.select("entity_type", "name", F.explode_outer(F.try_element_at(own, F.col("entity_type"))).alias("at")).select("entity_type", "name", "at.position", "at.attribute")
-    joined = grid.join(readable_cells(rows, attributes), ["entity_type", "name", "attribute"], "left")
-    arrays = joined.groupBy("entity_type", "name").agg(F.array_sort(F.collect_list(F.struct("position", "first", "list"))).alias("cells"))
+    if not places:
+        return rows.where("entity_type IS NOT NULL AND name IS NOT NULL").select("entity_type", "name").distinct()
+    wanted = rows.sparkSession.createDataFrame([(t, a, k, places[t].index(a)) for t, a, k in schema], "entity_type string, attribute string, value_type string, position int")
+    wanted = F.broadcast(wanted.select("entity_type", normal_key(F.col("attribute")).alias("_key"), "value_type", "position"))
+    cells = readable_cells(rows, wanted).groupBy("entity_type", "name").agg(F.sort_array(F.collect_list(F.when(F.col("position").isNotNull(), F.struct("position", "seed_row", "value")))).alias("cells"))
+    # the grid: the first cell of each position, and an empty one for each position of the type that has none
+    grid = F.try_element_at(F.create_map(*[x for t, names in places.items() for x in (F.lit(t), F.array(*[F.lit(i) for i in range(len(names))]))]), F.col("entity_type"))
+    first = F.filter("cells", lambda c, i: (i == 0) | (c["position"] != F.get("cells", i - 1)["position"]))
+    empty = F.transform(F.array_except(grid, F.col("cells.position")), lambda at: F.struct(at.alias("position"), F.lit(None).cast("bigint").alias("seed_row"), F.lit(None).cast("string").alias("value")))
+    arrays = cells.withColumn("grid", F.sort_array(F.concat(first, empty)))
+
+    def all_at(at: int) -> Column:
+        return F.filter("cells", lambda c: c["position"] == at)["value"]
+
     columns = []
     for attribute, kind in kinds.items():
-        cell = F.coalesce(*[F.when(F.col("entity_type") == t, F.get("cells", F.lit(names.index(attribute)))) for t, names in places.items() if attribute in names])
-        columns.append((cell["list"] if kind == "string list" else cell["first"].try_cast(SQL_TYPES[kind])).alias(attribute))
+        own = [(t, names.index(attribute)) for t, names in places.items() if attribute in names]
+        if kind == "string list":
+            listed = F.coalesce(*[F.when(F.col("entity_type") == t, all_at(at)) for t, at in own])
+            columns.append(F.when(F.size(listed) > 0, listed).alias(attribute))
+        else:
+            columns.append(F.coalesce(*[F.when(F.col("entity_type") == t, F.get("grid", F.lit(at))) for t, at in own])["value"].try_cast(SQL_TYPES[kind]).alias(attribute))
     return arrays.select("entity_type", "name", *columns)
 
 

@@ -35,6 +35,25 @@ def test_dates(spark, text):
     assert eav.wide(rows, spark.createDataFrame(ATTRS, ATTR)).first().hired_on == datetime.date(1933, 4, 19)
 
 
+def test_wide_reads_once_and_shuffles_once(spark):
+    cells = eav.filled(eav.wide(spark.createDataFrame([(1, "P", "Ann", "pay", "5", None)], SEED), spark.createDataFrame(ATTRS, ATTR)))
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    # the steps of the reading are written out once, in no join or filter, and rows move by entity alone
+    assert plan.count("initcap(") == 1 and plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+
+
+def test_wide_lists_in_file_order_and_like_keys(spark):
+    rows = [
+        (9, "P", "Ann", "alias", "c", None), (2, "P", "Ann", "alias", "b", None), (3, "P", "Ann", "alias", "a", None), (4, "P", "Ann", "alias", "b", None), (1, "P", "Ann", "role", "x", None),
+        (0, "P", "Ann", "ok", "no", None), (5, "P", "Ann", "role", "w", None), (6, "P", "Ann", "PAY", "$7", None), (8, "P", "Bob", "roleOf\n", "z", None),
+    ]
+    attrs = [*ATTRS, ("P", "pay_", "string"), ("P", "role_of", "string")]  # two attributes of one normal key have both its values
+    out = {r.name: r for r in eav.wide(spark.createDataFrame(rows, SEED), spark.createDataFrame(attrs, ATTR)).collect()}
+    ann, bob = out["Ann"], out["Bob"]
+    assert (ann["alias"], ann.role, ann.ok, ann.pay, ann.pay_, ann.role_of) == (["b", "a", "c"], "x", False, 7.0, "$7", None)
+    assert (bob.role_of, bob["alias"], bob.role, bob.pay) == ("z", None, None, None)
+
+
 def test_wide_empty(spark):
     assert eav.filled(eav.wide(spark.createDataFrame([], SEED), spark.createDataFrame(ATTRS, ATTR))).count() == 0
 
